@@ -89,6 +89,15 @@ def with_columns(row: str, df: DataFrame, added: dict[str, Column]) -> DataFrame
     return df.select(*kept, *(c.alias(n) for n, c in added.items()))
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds ``value`` so that it is evaluated once a row.
+
+    The optimizer may otherwise copy a costly expression into every filter and lambda that
+    uses the column, and a lambda would evaluate it once an element. It doesn't look through a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def text_or_empty(column: str = "text") -> Column:
     """The text as a string, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

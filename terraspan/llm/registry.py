@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import op2_simhash, op10_sharding
+from . import op1_decontaminate, op2_simhash, op3_mixing, op10_sharding
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate.query,
     "op2_simhash": op2_simhash.query,
+    "op3_mixing": op3_mixing.query,
     "op10_sharding": op10_sharding.query,
 }
 
 SQL = {
+    "op1_decontaminate": op1_decontaminate.SQL,
     "op10_sharding": op10_sharding.SQL,
 }
