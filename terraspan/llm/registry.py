@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_decontaminate, op2_simhash, op3_mixing, op5_toxicity, op10_sharding
+from . import op1_decontaminate, op2_simhash, op3_mixing, op4_telephony, op5_toxicity, op10_sharding
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.query,
     "op2_simhash": op2_simhash.query,
     "op3_mixing": op3_mixing.query,
+    "op4_telephony": op4_telephony.query,
     "op5_toxicity": op5_toxicity.query,
     "op10_sharding": op10_sharding.query,
 }
