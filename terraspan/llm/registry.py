@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_decontaminate, op2_simhash, op3_mixing, op4_telephony, op5_toxicity, op6_chat, op8_warc, op9_lines, op10_sharding
+from . import op1_decontaminate, op2_simhash, op3_mixing, op4_telephony, op5_toxicity, op6_chat, op7_html, op8_warc, op9_lines, op10_sharding
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_telephony": op4_telephony.query,
     "op5_toxicity": op5_toxicity.query,
     "op6_chat": op6_chat.query,
+    "op7_html": op7_html.query,
     "op8_warc": op8_warc.query,
     "op9_lines": op9_lines.query,
     "op10_sharding": op10_sharding.query,
