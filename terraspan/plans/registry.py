@@ -1,4 +1,9 @@
 """The queries of the library and their oracles in SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import geo_queries, raster_queries
+
+MODULES = (raster_queries, geo_queries)
+QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
+SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
