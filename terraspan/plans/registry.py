@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import geo_queries, raster_queries
+from . import geo_queries, raster_queries, scene_queries
 
-MODULES = (raster_queries, geo_queries)
+MODULES = (raster_queries, geo_queries, scene_queries)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.SQL.items()}
