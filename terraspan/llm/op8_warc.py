@@ -5,7 +5,9 @@ text writer with the record terminator as line separator writes valid WARC 1.1 f
 store that Spark writes to. Of records with equal payloads of at least ``LEAST`` bytes, the
 one with the largest page_id is a response and the others are revisit records without a
 payload that name it. The group's response comes from a partial aggregate over (digest,
-size), joined back on the digest; AQE splits that join where one payload is hot.
+size), joined back on the digest. Payloads that occur once are out of that join's right side,
+which is broadcast if its counted rows allow it, so pages aren't shuffled; else AQE splits
+the join where one payload is hot.
 
 Reading: the data source ``warc`` plans partitions of whole files, accepts equality and
 ``In`` predicates on ``record_type`` and equality on the header columns ``page_id``,
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .common import scratch_path, table, text_or_empty
+from .common import materialize, maybe_broadcast, scratch_path, table, text_or_empty
 
 LEAST = 1000
 END = "\r\n\r\n"
@@ -50,8 +52,8 @@ def records(pages: DataFrame) -> DataFrame:
     base = pages.select(page.alias("page_id"), F.regexp_replace(F.col("url").cast("string"), r"[\r\n]+", "").alias("url"), html.alias("html"))
     base = base.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     largest = base.filter(F.col("size") >= LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("_n"))
-    largest = largest.filter("_n > 1").select("digest", "size", "response")
-    linked = base.join(largest, ["digest", "size"], "left")
+    largest = materialize(largest.filter("_n > 1").select("digest", "size", "response"))
+    linked = base.join(maybe_broadcast(largest), ["digest", "size"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     kind = F.when(revisit, "revisit").otherwise("response")
     block = F.when(revisit, F.lit("")).otherwise(F.col("html"))
