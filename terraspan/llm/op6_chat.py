@@ -3,9 +3,10 @@
 Native: DataFrame functions only. ``link`` takes calls ``(call_id, name, arguments, depends)``
 with arguments as JSON text and depends as an array of call ids, and results ``(call_id,
 content)``. Results meet calls by a hash join on the identifier. Calls are ordered
-topologically in rounds: a call whose dependencies all have a level gets the next one; a
-call in or behind a cycle keeps a null level. Rounds are joins on identifiers over what is
-left, so no task holds a conversation, however long. Arguments are checked against schemas,
+topologically: a call's level is the longest way back to a call without dependencies; in or
+behind a cycle it is null. Chains are measured by pointer doubling and what joins several
+chains in rounds, all by joins on identifiers, so no task holds a conversation and a
+conversation of n turns takes log2(n) rounds. Arguments are checked against schemas,
 an operator parameter compiled into column expressions, and the record is written as
 canonical JSON: keys in order, no blanks, one escape for each character that needs one.
 
@@ -60,25 +61,55 @@ def quoted(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(F.to_json(F.to_variant_object(F.array(value))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(value)))) - 2))
 
 
+def _chains(depends: DataFrame) -> DataFrame:
+    """``(node, root, dist)`` of calls with one dependency: the first call before them with none or several, and how far.
+
+    Pointers double in every round, so a chain of n calls takes log2(n) rounds. What still points
+    into the chains after as many rounds as could be needed is in or behind a cycle, and is left out.
+    """
+    one = depends.groupBy("call_id").agg(F.count(F.lit(1)).alias("_n"), F.min("on_id").alias("root")).filter("_n = 1")
+    now = materialize(one.select(F.col("call_id").alias("node"), "root", F.lit(1).cast("long").alias("dist")))
+    for _ in range(now.count().bit_length() + 1):
+        ahead = now.select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("dist").alias("_dist"))
+        both = now.join(ahead, F.col("root") == F.col("_node"), "left")
+        after = materialize(both.select("node", F.coalesce("_root", "root").alias("root"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_node").isNotNull().alias("moved")))
+        release(now)
+        now = after.drop("moved")
+        now._scratch_path = after._scratch_path
+        if after.filter("moved").isEmpty():
+            return now
+    return now.join(now.select(F.col("node").alias("root")), "root", "left_anti").select("node", "root", "dist")
+
+
 def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
-    """``(call_id, level)`` for all calls outside and not behind cycles, given edges ``(call_id, on_id)`` among them."""
-    left = materialize(depends.select("call_id", "on_id").distinct())
-    waiting = left.select("call_id").distinct()
-    done = [calls.select("call_id").join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0))]
-    ready, at = materialize(done[0]), 0
-    done = [ready]
-    while not left.isEmpty() and not ready.isEmpty():
-        at += 1
-        rest = materialize(left.join(ready.select(F.col("call_id").alias("on_id")), "on_id", "left_anti").select("call_id", "on_id"))
-        freed = left.select("call_id").distinct().join(rest.select("call_id").distinct(), "call_id", "left_anti")
-        ready = materialize(freed.withColumn("level", F.lit(at)))
+    """``(call_id, level)`` for all calls outside and not behind cycles, given edges ``(call_id, on_id)`` among them.
+
+    Chains are measured by ``_chains``; only calls with several dependencies are then freed in
+    rounds, one round for each that lie behind one another.
+    """
+    depends = materialize(depends.select("call_id", "on_id").distinct())
+    chains = _chains(depends)
+    behind = depends.join(chains.select(F.col("node").alias("call_id")), "call_id", "left_anti").join(chains.withColumnRenamed("node", "on_id"), "on_id", "left")
+    single = depends.groupBy("call_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("call_id")
+    left = materialize(behind.join(single, "call_id", "left_semi").select("call_id", F.coalesce("root", "on_id").alias("on_id"), (F.coalesce("dist", F.lit(0)) + 1).alias("step"), F.lit(0).cast("long").alias("least")))
+    known = materialize(calls.select("call_id").distinct().join(depends.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
+    done, fresh = [known], known
+    while not left.isEmpty() and not fresh.isEmpty():
+        met = left.join(fresh.withColumnRenamed("call_id", "on_id"), "on_id", "left")
+        part = met.groupBy("call_id").agg(
+            F.max(F.greatest("least", F.coalesce(F.col("level") + F.col("step"), F.lit(0)))).alias("level"), F.count(F.when(F.col("level").isNull() & (F.col("step") > 0), 1)).alias("_open"),
+            F.collect_list(F.when(F.col("level").isNull() & (F.col("step") > 0), F.struct("on_id", "step"))).alias("_rest"),
+        )
+        part = materialize(part)
+        fresh = part.filter("_open = 0").select("call_id", "level")
         release(left)
-        left = rest
-        done.append(ready)
+        left = materialize(part.filter("_open > 0").select("call_id", F.explode("_rest").alias("r"), F.col("level").alias("least")).select("call_id", "r.on_id", "r.step", "least"))
+        done.append(fresh)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    along = chains.join(out.withColumnRenamed("call_id", "root"), "root").select(F.col("node").alias("call_id"), (F.col("level") + F.col("dist")).alias("level"))
+    return out.unionByName(along).withColumn("level", F.col("level").cast("int"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
