@@ -134,3 +134,56 @@ def clip_lines(lines: DataFrame, cam: geo.Camera, space: bool = False) -> DataFr
     pieces = pairs.withColumn("piece", F.sum(begins.cast("int")).over(w))
     out = pieces.select("line_id", "piece", F.explode(F.array_compact(F.array(F.when(flip, cross), F.when(F.col("seen"), own)))).alias("p"))
     return out.select("line_id", "piece", F.col("p.seq").alias("seq"), (cam.cx + F.col("p.x") * cam.radius).alias("sx"), (cam.cy - F.col("p.y") * cam.radius).alias("sy"))
+
+
+def clip_rings(rings: DataFrame, cam: geo.Camera) -> DataFrame:
+    """Loops ``(ring_id, loop, seq, sx, sy)`` of the near side of closed rings ``(ring_id, idx, x, y, z)``, joined along the limb.
+
+    Visible chains run from where the ring comes over the limb to where it goes behind it. From an
+    exit the outline follows the limb counter-clockwise to the nearest entry, in steps of about two
+    degrees, two at least. Following entries is sequential, so a ring is clipped in one call.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def crossing(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        at = (p + (q - p) * (p[2] / (p[2] - q[2])))[:2]
+        size = np.hypot(*at)
+        return at / size if size > geo.TINY else at * 0
+
+    def loops(v: np.ndarray) -> list[np.ndarray]:
+        near = v[:, 2] > 0
+        if len(v) < 3 or not near.any():
+            return []
+        if near.all():
+            return [v[:, :2]]
+        chains = []
+        for s in np.flatnonzero(near & ~np.roll(near, 1)):
+            run = int(np.argmin(np.roll(near, -s)))  # points up to the next hidden one
+            idx = (s + np.arange(run)) % len(v)
+            chains.append(np.vstack([crossing(v[s - 1], v[s]), v[idx, :2], crossing(v[idx[-1]], v[(idx[-1] + 1) % len(v)])]))
+        enter = np.array([np.arctan2(c[0, 1], c[0, 0]) for c in chains])
+        leave = np.array([np.arctan2(c[-1, 1], c[-1, 0]) for c in chains])
+        free, out = set(range(len(chains))), []
+        while free:
+            at, parts = min(free), []
+            while at in free:
+                free.remove(at)
+                turn = np.mod(enter - leave[at], 2 * np.pi)
+                ahead = int(np.argmin(turn))
+                steps = max(2, int(np.ceil(turn[ahead] / (2 * np.pi) * 180)))
+                arc = leave[at] + turn[ahead] * np.arange(1, steps + 1) / steps
+                parts += [chains[at], np.stack([np.cos(arc), np.sin(arc)], axis=1)]
+                at = ahead
+            out.append(np.vstack(parts))
+        return out
+
+    def clip(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("idx")
+        found = loops(frame[["x", "y", "z"]].to_numpy())
+        rows = [(frame["ring_id"].iloc[0], k, i, cam.cx + x * cam.radius, cam.cy - y * cam.radius) for k, loop in enumerate(found) for i, (x, y) in enumerate(loop)]
+        return pd.DataFrame(rows, columns=["ring_id", "loop", "seq", "sx", "sy"])
+
+    turned = rings.select("ring_id", "idx", *(c.alias(n) for n, c in zip("xyz", geo.rotate(cam, tuple(F.col(c) for c in "xyz")))))
+    key = rings.schema["ring_id"].dataType.simpleString()
+    return turned.groupBy("ring_id").applyInPandas(clip, f"ring_id {key}, loop int, seq int, sx double, sy double")

@@ -301,6 +301,17 @@ pp AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce
 mm AS (SELECT ring_id, count(*) AS n, sum(x) AS mx, sum(y) AS my, sum(z) AS mz, sum(y * nz - z * ny) AS ax, sum(z * nx - x * nz) AS ay, sum(x * ny - y * nx) AS az, sum(acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, x * nx + y * ny + z * nz)))) AS perimeter FROM pp GROUP BY 1)"""
 
 
+def q_clip_rings(spark, sf_dir):
+    """Nations' rings, filled: how many loops and points each leaves, and its area on the screen."""
+    rings = unit(clean(spark, sf_dir)).select("ring_id", "idx", *"xyz")
+    loops = curves.clip_rings(rings, CAM)
+    w = Window.partitionBy("ring_id", "loop").orderBy("seq")
+    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(first)) for c in ("sx", "sy"))
+    edges = loops.withColumn("_a", (F.col("sx") * ny - nx * F.col("sy")) / 2)
+    return edges.groupBy("ring_id").agg(F.countDistinct("loop").alias("loops"), F.count(F.lit(1)).alias("points"), F.round(F.abs(F.sum("_a")), 3).alias("area"))
+
+
 def q_clip(spark, sf_dir, space=False):
     """Each nation's customers joined up in turn, clipped by the view."""
     p = unit(places(spark, sf_dir)).select(F.expr("id div 30").alias("line_id"), (F.col("id") % 30).alias("idx"), *((F.col(c) * (1.15 if space else 1.0)).alias(c) for c in "xyz"))
@@ -337,7 +348,7 @@ QUERIES = {
     "geo_places": q_places, "geo_project": q_project, "geo_hemisphere": q_hemisphere, "geo_unproject": q_unproject, "geo_displace": q_displace, "geo_geodesic": q_geodesic, "geo_geodesic_ring": q_geodesic_ring,
     "geo_small_circles": q_small_circles, "geo_graticule": q_graticule, "orbit_positions": q_orbit_positions, "orbit_rings": q_orbit_rings, "orbit_ground_tracks": q_ground_tracks, "orbit_trails": q_trails,
     "track_hold": q_track_hold, "track_loop": q_track_loop, "field_quantise": q_field, "field_palette": q_palette, "field_overlay": q_overlay, "field_ground": q_ground, "ring_clean": q_clean_rings,
-    "ring_counts": q_ring_counts, "ring_measures": q_ring_measures, "ring_orient": q_orient_rings, "clip_globe": q_clip, "clip_space": q_clip_space, "text_readings": q_readings,
+    "ring_counts": q_ring_counts, "ring_measures": q_ring_measures, "ring_orient": q_orient_rings, "clip_globe": q_clip, "clip_space": q_clip_space, "clip_rings": q_clip_rings, "text_readings": q_readings,
 }
 
 M = sql_micro
