@@ -50,7 +50,7 @@ def sample(frames: DataFrame, queries: DataFrame, loop: bool = False, duration:
     b = F.when(held_first | F.col("_closing"), F.col("_first")).when(held_last, F.col("_last")).otherwise(F.col("_q._value"))
     u = F.when(F.col("_n").isNull(), F.lit(None)).when(held_first, 0.0).when(F.col("_closing"), closing).when(held_last, 0.0).otherwise(inside)
     held = held_first | (held_last & ~F.col("_closing"))
-    out = placed.withColumn("a", a).withColumn("b", b).withColumn("mix", F.when(held, 0.0).otherwise(eased(u, ease)))
+    out = placed.withColumn("a", a).withColumn("b", b).withColumn("mix", F.when(F.col("_n").isNull(), F.lit(None).cast("double")).when(held, 0.0).otherwise(eased(u, ease)))
     return out.select(*queries.columns, "a", "b", "mix")
 
 

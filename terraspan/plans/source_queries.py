@@ -64,7 +64,7 @@ STATS = f"WITH {rq.SAMPLES} {rq.PREDICTED} {rq.BORDERED}, joined AS (SELECT 1 AS
 SQL = {
     "source_terrain": f"{STATS} SELECT st.z, st.ty, st.tx, error, low, high, sum(s.h * (r * 10 + c + 1))::BIGINT AS checksum FROM st JOIN stored s ON s.z = st.z AND s.ty = st.ty AND s.tx = st.tx GROUP BY ALL",
     "source_terrain_pruned": f"{STATS} SELECT z, ty, tx, low, high FROM st WHERE z = 1 AND tx IN (2, 5)",
-    "source_geojson": f"WITH {CLEAN} SELECT ring_id // 2 AS polygon, ring_id % 2 AS ring, idx, {M('lon')} AS lon, {M('lat')} AS lat FROM kept",
+    "source_geojson": f"WITH {CLEAN} SELECT dense_rank() OVER (ORDER BY ring_id // 2) - 1 AS polygon, dense_rank() OVER (PARTITION BY ring_id // 2 ORDER BY ring_id) - 1 AS ring, idx, {M('lon')} AS lon, {M('lat')} AS lat FROM kept",
     "source_outline_counts": f"WITH {CLEAN} SELECT count(DISTINCT ring_id // 2) AS polygons, count(DISTINCT ring_id) AS rings, count(*) AS points FROM kept",
     "source_models": f"WITH v AS ({HUT} UNION ALL {MAST}), {FACE_ROWS} SELECT f.*, {M('round(x, 4)')} AS x, {M('round(y, 4)')} AS y, {M('round(z, 4)')} AS z FROM faces f JOIN v ON v.model = f.model AND v.i = f.a",
 }
