@@ -98,6 +98,14 @@ def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until the table has no such column (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str = "text") -> Column:
     """The text as a string, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

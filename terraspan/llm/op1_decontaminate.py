@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, pinned, table, text_or_empty
+from .common import fresh, materialize, maybe_broadcast, pinned, table, text_or_empty
 from .op2_simhash import STAND_IN, row_id
 
 WORDS = 5
@@ -91,8 +91,9 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item is found."""
-    bad = materialize(contained(docs, items).select(F.col("_id").alias("_row_id")).distinct())
-    return docs.withColumn("_row_id", row_id()).join(maybe_broadcast(bad), "_row_id", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_row_id")
+    bad = materialize(contained(docs, items).select(F.col("_id").alias(key)).distinct())
+    return docs.withColumn(key, row_id()).join(maybe_broadcast(bad), key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import fresh, materialize, table, text_or_empty
 from .components import connected_components
 
 MAX_BITS = 3
@@ -223,9 +223,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Without any id in a class, the row with the smallest text hash stays. Repeated rows count as one.
     """
-    kept = classes(docs).filter("_id = rep").select(F.col("rep").alias("_row_id")).distinct()
-    with_id = docs.withColumn("_row_id", row_id())
-    return with_id.join(kept, "_row_id", "left_semi").dropDuplicates(["_row_id"]).drop("_row_id").select(*docs.columns)
+    key = fresh(docs, "_row_id")
+    kept = classes(docs).filter("_id = rep").select(F.col("rep").alias(key)).distinct()
+    return docs.withColumn(key, row_id()).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

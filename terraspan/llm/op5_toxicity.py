@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_or_empty
+from .common import fresh, materialize, release, table, text_or_empty
 
 THRESHOLD = 0.7
 #: Labelled rows that learning may read.
@@ -288,20 +288,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(whole, Trees().fit(x, y), isotonic(out_of_fold, y), total[1] / sum(total.values()))
 
 
-def _scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def _scores(docs: DataFrame, model: Model, keep: list[str], name: str = "_score") -> DataFrame:
+    source = fresh(docs, "_scored_text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = model.score(b.column("_scored_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got, pa.float64())], names=[*keep, "_score"])
+            got = model.score(b.column(source).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got, pa.float64())], names=[*keep, name])
 
-    given = docs.select(*keep, text_or_empty().alias("_scored_text"))
-    schema = docs.select(*keep).schema.add("_score", "double")
+    given = docs.select(*keep, text_or_empty().alias(source))
+    schema = docs.select(*keep).schema.add(name, "double")
     return given.mapInArrow(run, schema)
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that score below the threshold, with their columns."""
-    return _scores(docs, model, docs.columns).filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "_score")
+    return _scores(docs, model, docs.columns, name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import fresh, materialize, table, text_or_empty
 from .op2_simhash import row_id
 
 WORDS = 50
@@ -123,16 +123,18 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
 def strip(docs: DataFrame, least: int = WORDS, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) with ``text`` rewritten, and ``n_lines, n_removed`` added."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("text", "n_lines", "n_removed")]
+    source, key, marks = fresh(docs, "_text"), fresh(docs, "_row_id"), fresh(docs, "spans")
     schema = docs.select(*keep).schema.add("text", "string").add("n_lines", "integer").add("n_removed", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [without(t, [(s["first"], s["last"]) for s in spans or ()]) for t, spans in zip(b.column("_text").to_pylist(), b.column("spans").to_pylist())]
+            made = [without(t, [(s["first"], s["last"]) for s in spans or ()]) for t, spans in zip(b.column(source).to_pylist(), b.column(marks).to_pylist())]
             texts, n, removed = zip(*made) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(removed, pa.int32())], names=[*keep, "text", "n_lines", "n_removed"])
 
-    given = docs.select(*keep, text_or_empty().alias("_text"), row_id().alias("_row_id"))
-    joined = given.join(repeated(docs, least), "_row_id", "left").select(*keep, "_text", "spans")
+    given = docs.select(*keep, text_or_empty().alias(source), row_id().alias(key))
+    found = repeated(docs, least).select(F.col("_row_id").alias(key), F.col("spans").alias(marks))
+    joined = given.join(found, key, "left").select(*keep, source, marks)
     return joined.mapInArrow(run, schema)
 
 
