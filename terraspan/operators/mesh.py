@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..storage import materialize
 
 #: How deep chunks and the mesh are, the level aimed for, pixels at which a triangle splits, weight of depth.
 CHUNK_LEVEL, MESH_LEVEL, TARGET_LEVEL, UNBUILT = 2, 9, 2, -2
@@ -163,16 +164,19 @@ def front_facing(cam: geo.Camera) -> Column:
 def select_leaves(spark: SparkSession, cam: geo.Camera, width: float, height: float, deepest: int, pixels: float = SPLIT_PIXELS, lift: float = 0.0) -> DataFrame:
     """``(k, level, a, b, c)``: triangles of the view-dependent quadtree that aren't split further.
 
-    A level at a time: culled ones go, oversized ones are split, the rest are leaves. The loop is
-    over levels, ``deepest`` at most, and only builds the plan; nothing is collected.
+    A level at a time: culled ones go, oversized ones are split, the rest are leaves. Each level
+    is written before the next is split off from it, so none is computed twice; the loop is over
+    levels, ``deepest`` at most, and ends when nothing is left to split.
     """
     now, leaves = octahedron(spark), None
     for level in range(deepest + 1):
-        kept = now.filter(~culled(cam, width, height, F.lit(level), lift))
         grows = oversized(cam, pixels) if level < deepest else F.lit(False)
-        done = kept.filter(~grows).withColumn("level", F.lit(level))
+        kept = materialize(now.filter(~culled(cam, width, height, F.lit(level), lift)).withColumn("grows", grows))
+        done = kept.filter(~F.col("grows")).withColumn("level", F.lit(level))
         leaves = done if leaves is None else leaves.unionByName(done)
-        now = split(kept.filter(grows))
+        if kept.filter("grows").isEmpty():
+            break
+        now = split(kept.filter("grows").drop("grows"))
     return leaves.select("k", "level", "a", "b", "c")
 
 

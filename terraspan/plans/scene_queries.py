@@ -306,6 +306,24 @@ def _quadtree_sql() -> str:
 
 QUADTREE = _quadtree_sql()
 
+
+def _stitch_sql() -> str:
+    """Edges of leaves, cut at corners of other leaves, up to four times over."""
+    half = lambda a, b: ", ".join(f"({a}{c} + {b}{c}) / sqrt(({a}x + {b}x) * ({a}x + {b}x) + ({a}y + {b}y) * ({a}y + {b}y) + ({a}z + {b}z) * ({a}z + {b}z)) AS m{c}" for c in "xyz")
+    ends = lambda a, b, p, q: ", ".join(f"{s}{c} AS {t}{c}" for s, t in ((a, p), (b, q)) for c in "xyz")
+    sides = " UNION ALL ".join(f"SELECT k, '{side}' AS side, {ends(a, b, 'p', 'q')} FROM leaves" for side, a, b in (("ab", "a", "e"), ("bc", "e", "c"), ("ca", "c", "a")))
+    corners = " UNION ".join(f"SELECT {', '.join(f'{t}{c} AS {c}' for c in 'xyz')} FROM leaves" for t in CORNERS)
+    halves = " UNION ALL ".join(f"SELECT k, side, {ends(a, b, 'p', 'q')}, steps FROM cut{{n}}" for a, b in (("p", "m"), ("m", "q")))
+    parts, source = [], "SELECT *, 0 AS steps FROM sides"
+    for n in range(1, mesh.STITCH_DEPTH + 1):
+        parts.append(f"mid{n} AS (SELECT *, {half('p', 'q')} FROM ({source})), cut{n} AS (SELECT k, side, {', '.join(t + c for t in 'pqm' for c in 'xyz')}, {n} AS steps FROM mid{n} SEMI JOIN corners o ON o.x = mx AND o.y = my AND o.z = mz)")
+        source = halves.format(n=n)
+    cuts = " UNION ALL ".join(f"SELECT k, side, steps, mx, my, mz FROM cut{n}" for n in range(1, mesh.STITCH_DEPTH + 1))
+    return f"{QUADTREE}, sides AS ({sides}), corners AS ({corners}), {', '.join(parts)}, cuts AS ({cuts})"
+
+
+STITCH = _stitch_sql()
+
 QUERIES = {
     "morph_resample": q_resample, "morph_align": q_align, "morph_match": q_match, "morph_blend": q_morph_blend, "morph_polygons": q_morph, "label_boxes": q_label_boxes, "label_declutter": q_declutter, "label_overlaps": q_overlaps,
     "scene_anchors": q_anchors, "model_vertices": q_model_vertices, "model_faces": q_model_faces, "model_faults": q_model_faults, "model_paint": q_paint, "scene_layers": q_layers, "mesh_chunks": q_chunks, "mesh_caps": q_caps,
@@ -337,6 +355,10 @@ SQL = {
   SELECT k, i::INTEGER AS i, j::INTEGER AS j, {', '.join(M(f'{c} / sqrt(x * x + y * y + z * z)') + f' AS {c}' for c in 'xyz')} FROM v""",
     "mesh_indices": """WITH t AS (SELECT i, j, (i - 1) * i // 2 AS above, i * (i + 1) // 2 AS r FROM range(1, 17) a(i), range(16) b(j) WHERE j < i)
   SELECT i, j, true AS up, above + j AS a, r + j AS b, r + j + 1 AS c FROM t UNION ALL SELECT i, j, false, above + j, r + j + 1, above + j + 1 FROM t WHERE j < i - 1""",
+    "quadtree_edges": f"""{QUADTREE}, p AS (SELECT {', '.join(f"concat_ws(',', {M(t + 'x')}, {M(t + 'y')}, {M(t + 'z')}) AS p{t}" for t in CORNERS)} FROM leaves),
+  e AS (SELECT least(pa, pe) AS u, greatest(pa, pe) AS v FROM p UNION ALL SELECT least(pe, pc), greatest(pe, pc) FROM p UNION ALL SELECT least(pc, pa), greatest(pc, pa) FROM p), n AS (SELECT count(*) AS n FROM e GROUP BY u, v)
+SELECT n, count(*) AS edges FROM n GROUP BY n""",
+    "quadtree_stitch": f"""{STITCH} SELECT k, side, steps::INTEGER AS steps, {', '.join(M('m' + c) + f' AS {c}' for c in 'xyz')} FROM cuts WHERE steps > 0""",
     "quadtree_leaves": f"{QUADTREE} SELECT k, l AS level, front FROM leaves",
     "quadtree_bulge": f"SELECT n_nationkey AS level, {M('(1 - cos(acos(1 / sqrt(3.0::DOUBLE)) / pow(2, n_nationkey))) * 1000')} AS bulge FROM nation",
 }

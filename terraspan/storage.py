@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -22,6 +22,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: computed once, and not again after a lost executor."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def filesystem(path: str):
     """``(file system, path in it)`` of a local or remote path."""
     from pyarrow import fs
