@@ -10,8 +10,9 @@ differs by at most one bit in one of them, so both agree on one of that segment'
 one-wildcard variants. Variants are dealt by their value, sorted and read as runs. A run
 longer than RUN is never compared with itself: its rows go on to the next level, which
 cuts what is left of the fingerprint again (16 + 16 bits, then 8 + 8) and adds a variant
-of that to the key. After the third level 53 bits are fixed and 11 are free, so a run holds
-at most 2,048 fingerprints. Only edges of a spanning forest leave a run, never all pairs.
+of that to the key. Variants that may be that frequent are known from counts beforehand and
+skip the first level, so no task reads them; on the second level 46 bits are fixed and a run
+holds at most 2^18 fingerprints, on the third 53 bits and at most 2,048. Only edges of a spanning forest leave a run, never all pairs.
 Equal fingerprints are one node from the start, so a group of copies costs one row.
 
 Defined cases: a null text is the empty text; rows with a null ``doc_id`` take part, and a
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, table, text_or_empty
+from .common import fresh, materialize, maybe_broadcast, table, text_or_empty
 from .components import connected_components
 
 MAX_BITS = 3
@@ -188,16 +189,44 @@ def _runs(last: bool):
     return run
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """``(key)``: the first level's variants that more than RUN rows could have.
+
+    Such a variant stands for two segment values, so one of them has more than RUN / 2 rows. Values
+    are counted by a partial aggregate, and only the few that are so frequent give their variants.
+    """
+    halves = F.array(*(F.struct(F.lit(s).alias("side"), F.expr(f"shiftrightunsigned(fp, {32 * s}) & 4294967295L").alias("segment")) for s in (0, 1)))
+    counted = rows.select(F.explode(halves).alias("h")).groupBy("h.side", "h.segment").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > RUN // 2)
+    # a fingerprint that has the frequent value as this segment, and its variants of this segment
+    stand_in = counted.select(F.lit(0).cast("long").alias("key"), F.expr("shiftleft(segment, 32 * side)").alias("fp"), F.lit(0).alias("at"), F.col("side"))
+    made = None
+    for side in (0, 1):
+        one = stand_in.filter(F.col("side") == side).select("key", "fp", "at").mapInArrow(_variants(1), _KEYED).filter(F.col("at") == 32 * (1 - side)).select("key")
+        made = one if made is None else made.unionByName(one)
+    return made.distinct()
+
+
+_KEYED = "key long, fp long, at int"
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all links among the distinct fingerprints ``fp``."""
     found = []
     rows = nodes.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(0).alias("at"))
+    crowded = materialize(_crowded(rows))
+    passed_on = None
     for level in (1, 2, 3):
-        variants = rows.mapInArrow(_variants(level), "key long, fp long, at int")
+        variants = rows.mapInArrow(_variants(level), _KEYED)
+        if level == 1 and not crowded.isEmpty():
+            # these rows never meet in one task: they go to the second level, where a run is of 2^18 rows at most
+            passed_on = variants.join(maybe_broadcast(crowded), "key", "left_semi")
+            variants = variants.join(maybe_broadcast(crowded), "key", "left_anti")
         dealt = variants.repartition("key").sortWithinPartitions("key")
         out = materialize(dealt.mapInArrow(_runs(last=level == 3), "hot boolean, key long, fp long, at int"))
         found.append(out.filter("not hot").select(F.col("fp").alias("a"), F.col("key").alias("b")))
         rows = out.filter("hot").select("key", "fp", "at")
+        if level == 1 and passed_on is not None:
+            rows = rows.unionByName(passed_on)
         if level < 3 and rows.isEmpty():
             break
     edges = found[0]

@@ -55,7 +55,10 @@ def brute_links(fps):
     return {frozenset(g) for g in groups.values()}
 
 
-def test_links_against_brute_force(spark):
+@pytest.mark.parametrize("run", [4096, 6])
+def test_links_against_brute_force(spark, monkeypatch, run):
+    """With runs of 6 at most, crowded variants skip the first level and the deeper levels are used."""
+    monkeypatch.setattr(op2_simhash, "RUN", run)
     r = random.Random(2)
     fps = {r.getrandbits(64) for _ in range(60)}
     for centre in list(fps)[:6]:
