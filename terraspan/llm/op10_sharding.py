@@ -46,6 +46,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, keep_row: boo
     })
 
 
+def cut(docs: DataFrame, position: str, shards: int = SHARDS) -> DataFrame:
+    """Adds ``size, text_crc32, shard, slot`` to rows whose order is given: ``position`` counts them from 0 and goes.
+
+    Shards are consecutive runs of that order with the bounds of ``shard``; no shuffle.
+    """
+    total, text = docs.count(), text_or_empty()
+    base = docs.select(
+        F.struct(*(c for c in docs.columns if c != position)).alias("_row"), (F.octet_length(text).cast("long") + 8).alias("_size"), F.crc32(text.cast("binary")).alias("_crc"),
+        F.col(position).cast("long").alias("_at"), F.expr(f"cast((`{position}` * {shards}) div {max(1, total)} as int)").alias("_shard"),
+    )
+    return with_columns("_row", base, {
+        "size": F.col("_size"), "text_crc32": F.col("_crc"), "shard": F.col("_shard"),
+        "slot": (F.col("_at") - F.expr(f"(_shard * {total}L + {shards - 1}) div {shards}")).cast("long"),
+    })
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for every document; law ``rows``."""
     out = shard(table(spark, sf_dir, "documents"), keep_row=False)
