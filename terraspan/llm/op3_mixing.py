@@ -34,8 +34,9 @@ from .ranking import rank_in_groups, seeded_digest
 
 BLOCKS = 1 << 16
 SEED = 3
-#: Weights are whole multiples of the total over this, so windows are exact in 64-bit integers.
-UNITS = 10_000
+#: Weights are whole multiples of the total over this: fine enough that rounding moves a source by under 1e-4
+#: blocks, and small enough that windows are exact (BLOCKS times UNITS is 2^50; fractions of such numbers differ as doubles).
+UNITS = 1 << 34
 
 
 def windows(blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,6 +75,15 @@ def earliest_deadline_first(source: np.ndarray, release: np.ndarray, deadline: n
     return slot
 
 
+def whole_weights(share: np.ndarray) -> np.ndarray:
+    """Positive weights as whole numbers of sum UNITS, by largest remainders; at least 1 each."""
+    exact = share / share.sum() * UNITS
+    whole = np.floor(exact).astype(np.int64)
+    short = UNITS - int(whole.sum())
+    whole[np.argsort(whole - exact, kind="stable")[: max(0, short)]] += 1
+    return np.maximum(1, whole)
+
+
 def plan(sources: pd.DataFrame, block_rows: int) -> pd.DataFrame:
     """The schedule of sources ``(source, rows, weight)``: a row per block with its rows' first position ``start``."""
     s = sources.sort_values("source").reset_index(drop=True)
@@ -84,9 +94,8 @@ def plan(sources: pd.DataFrame, block_rows: int) -> pd.DataFrame:
             continue
         rows = s["rows"].to_numpy(dtype=np.int64)[tier]
         share = weight[tier] if weight[tier[0]] > 0 else np.ones(len(tier))
-        whole = np.maximum(1, np.rint(share / share.sum() * UNITS)).astype(np.int64)
         blocks = -(-rows // block_rows)
-        who, block, release, deadline = windows(blocks, whole)
+        who, block, release, deadline = windows(blocks, whole_weights(share))
         slot = earliest_deadline_first(who, release, deadline)
         size = np.minimum(block_rows, rows[who] - block * block_rows)
         order = np.argsort(slot)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -157,6 +158,22 @@ def test_pfair_windows(sizes, weights):
         assert (np.abs(done - fluid) < 1 + 1e-9).all()
 
 
+@pytest.mark.parametrize("rows", [[21845, *[2185] * 20], [int(9000 / k) + 1 for k in range(1, 1001)], [30000, *[1] * 30000]], ids=["hot", "zipf", "many"])
+def test_deviation_from_unrounded_weights(rows):
+    """At full size every source is within a block of the fluid mix of its real weight, up to rounding."""
+    rows = np.array(rows)
+    weight = np.sqrt(rows)
+    names = [f"{i:05}" for i in range(len(rows))]
+    got = op3_mixing.plan(pd.DataFrame({"source": names, "rows": rows, "weight": weight}), 1)
+    source, block, slot = got["_s"].astype(int).to_numpy(), got["_b"].to_numpy(), got["slot"].to_numpy()
+    assert len(slot) == rows.sum() > 50_000
+    ends = np.sort(rows / weight)
+    order = np.argsort(rows / weight, kind="stable")
+    reached = np.cumsum(rows[order]) + np.r_[np.cumsum(weight[order][::-1])[::-1][1:], 0] * ends
+    fluid = lambda t: np.minimum(rows[source], weight[source] * np.interp(t, np.r_[0, reached], np.r_[0, ends]))
+    assert (np.abs(block - fluid(slot)) < 1.001).all() and (np.abs(block + 1 - fluid(slot + 1)) < 1.001).all()
+
+
 def test_mix_is_whole_and_repeatable(spark):
     rows = [(i, f"t{i}", f"s{i % 7 % 3}") for i in range(200)] + [(200, "x", None), (201, "y", ""), (5, "t5", "s2")]
     got = op3_mixing.mix(documents(spark, rows), blocks=50).collect()
