@@ -178,8 +178,8 @@ faces AS (SELECT * FROM box UNION ALL SELECT * FROM mast)"""
 
 
 def q_paint(spark, sf_dir):
-    """Suppliers' places carry a hut or a mast each."""
-    s = unit(places(spark, sf_dir).filter("id % 40 = 7"))
+    """Customers' places carry a hut or a mast each."""
+    s = unit(places(spark, sf_dir))
     p = s.select(F.col("id").alias("placement"), F.when(F.col("id") % 2 == 0, "hut").otherwise("mast").alias("model"), *"xyz", F.lit(0.03).alias("size"), (F.col("id") * 17 % 360).cast("double").alias("turn"))
     return scene.paint(p, *models(spark), CAM).select("placement", "f", micro(F.col("depth")).alias("depth"), "colour", F.dense_rank().over(_by_depth()).alias("rank"))
 
@@ -262,7 +262,7 @@ def q_chunk_indices(spark, sf_dir):
 def q_rebuild(spark, sf_dir):
     """Chunks that want it, sampled on an 128-step grid each, from the raster of ``lineitem``; summed up per chunk."""
     stored = raster_queries.stored(spark, sf_dir)
-    built = mesh.rebuilt(spark, state(spark, sf_dir).filter("k < 16"), 40, lambda p: raster.sample_heights(p, stored, 1, raster_queries.T))
+    built = mesh.rebuilt(spark, state(spark, sf_dir), 40, lambda p: raster.sample_heights(p, stored, 1, raster_queries.T))
     return built.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("detail"), F.sum(micro(F.col("height"))).alias("total"))
 
 
