@@ -1,0 +1,139 @@
+"""Near copies by Jaccard similarity of word shingles: MinHash bands bring pairs, the sets decide.
+
+Text rule: A-Z are lower-cased, words are runs without space and bytes 9-13, a shingle is
+WIDTH consecutive words; a text with fewer words is one shingle of all its words. Texts are
+near copies if their sets of shingles (as 64-bit hashes) have Jaccard similarity 0.8 or more,
+and a class is a connected component of such links. Equal sets are one node from the start.
+
+Two nodes meet in a bucket if they agree in a band of ROWS minima; at similarity 0.8 they
+meet in none of BANDS bands with probability 3e-5. A small bucket gives all its pairs. A
+large one never does: a leader is compared with all others, and is then done. While the rest
+lies in more than one component, up to LEADERS nodes outside the bucket's largest component
+are compared with all nodes of other components, and are done. So every pair of a bucket is
+compared, unless other links join it already, and a round's pairs are in proportion to the rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, maybe_broadcast
+from .components import connected_components
+
+WIDTH = 5
+BANDS, ROWS = 20, 4
+#: The largest bucket that gives all its pairs.
+SMALL = 8
+#: Leaders a bucket and round, after the first round.
+LEADERS = 4
+_ODD = np.random.default_rng(5).integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = np.random.default_rng(6).integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    parts = map(b" ".join, zip(*(words[k:] for k in range(WIDTH)))) if len(words) >= WIDTH else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The buckets of a set, one a band; none for the empty set, which only equals itself."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096] * _ODD + _ADD
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1))
+    return [xxhash.xxh3_64_intdigest(m.tobytes(), seed=k) for k, m in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _signed(x) -> pa.Array:
+    return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node, n, flat, ends = [], [], [], [0]
+        for text in b.column("_text").to_pylist():
+            hashes = shingles(text)
+            node.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+            n.append(len(hashes))
+            flat += bands(hashes)
+            ends.append(len(flat))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(flat))
+        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), _signed(node), pa.array(n, pa.int32()), lists], names=["_id", "_hash", "node", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            sets = [shingles(t) for t in part.column("_text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "hashes"])
+
+
+def _alike(p: Column, q: Column) -> Column:
+    """Whether sets of these sizes can have similarity 0.8."""
+    return F.least(p, q) * 5 >= F.greatest(p, q) * 4
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have Jaccard similarity 0.8 or more."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("_y"))
+    met = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("_both"), (F.size("_x") + F.size("_y")).alias("_sum"))
+    return materialize(met.filter("_both * 5 >= (_sum - _both) * 4").select("a", "b"))
+
+
+def _met(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of a leader and the rows of its bucket that may be like it and aren't of its component."""
+    pairs = rows.join(maybe_broadcast(leaders), "bucket").filter((F.col("component") != F.col("_component")) & _alike(F.col("n"), F.col("_n")))
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+
+
+def representatives(given: DataFrame) -> DataFrame:
+    """``(_id, _hash)`` of one row of each class of ``(_id, _hash, _text)``: the smallest; ``_hash`` is of the text."""
+    rows = materialize(given.mapInArrow(_signatures, "_id long, _hash long, node long, n int, bands array<long>"))
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("least")))
+    dealt = materialize(rows.select(F.explode("bands").alias("bucket"), "node", "n").distinct())
+    counts = materialize(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_of")).filter("_of > 1"))
+    shared = materialize(dealt.join(maybe_broadcast(counts), "bucket"))
+    asked = materialize(shared.select("node").distinct().join(nodes, "node").select("node", "least.*"))
+    sets = materialize(given.join(maybe_broadcast(asked), ["_id", "_hash"]).dropDuplicates(["node"]).select("node", "_text").mapInArrow(_sets, "node long, hashes array<long>"))
+
+    few = shared.filter(F.col("_of") <= SMALL)
+    other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("_n"))
+    pairs = few.join(other, "bucket").filter((F.col("node") < F.col("b")) & _alike(F.col("n"), F.col("_n"))).select(F.col("node").alias("a"), "b")
+    open_ = shared.filter(F.col("_of") > SMALL).select("bucket", "node", "n", F.col("node").alias("component"))
+    best = F.min(F.struct("node", "n", "component"))
+    chosen = lambda df, *keys: materialize(df.groupBy("bucket", *keys).agg(best.alias("_l")).select("bucket", F.col("_l.node").alias("leader"), F.col("_l.n").alias("_n"), F.col("_l.component").alias("_component")))
+    leaders = chosen(open_)
+    pairs = pairs.unionByName(_met(open_, leaders))
+    edges = None
+    while True:
+        found = _verified(pairs, sets)
+        edges = found if edges is None else edges.unionByName(found)
+        joined = materialize(connected_components(edges))
+        undone = open_.drop("component").join(maybe_broadcast(leaders.select("bucket", F.col("leader").alias("node"))), ["bucket", "node"], "left_anti")
+        undone = undone.join(maybe_broadcast(joined), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+        split = undone.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_of")).groupBy("bucket")
+        split = materialize(split.agg(F.max_by("component", F.struct("_of", "component")).alias("_main"), F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").select("bucket", "_main"))
+        if split.isEmpty():
+            break
+        open_ = materialize(undone.join(maybe_broadcast(split), "bucket"))
+        leaders = chosen(open_.filter("component <> _main"), F.expr(f"pmod(xxhash64(component), {LEADERS})"))
+        open_ = open_.drop("_main")
+        pairs = _met(open_, leaders)
+    members = nodes.join(joined, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
+    return members.groupBy("component").agg(F.min("least").alias("_l")).select("_l.*")

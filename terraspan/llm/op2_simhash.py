@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, maybe_broadcast, table, text_or_empty
 from .components import connected_components
+from .jaccard import representatives
 
 MAX_BITS = 3
 #: The longest run that one task compares with itself. Above 2,048 the third level needs no fourth.
@@ -248,13 +249,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the smallest id stays.
+    """The documents without near copies (see ``jaccard``): of each class the row with the smallest id stays.
 
-    Without any id in a class, the row with the smallest text hash stays. Repeated rows count as one.
+    Without any id in a class, the row with the smallest text hash stays. Rows equal in id and text count as one.
     """
-    key = fresh(docs, "_row_id")
-    kept = classes(docs).filter("_id = rep").select(F.col("rep").alias(key)).distinct()
-    return docs.withColumn(key, row_id()).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    key, text_key = fresh(docs, "_row_id"), fresh(docs, "_text_hash")
+    keyed = docs.withColumn(key, row_id()).withColumn(text_key, F.xxhash64(text_or_empty()))
+    given = keyed.select(F.col(key).alias("_id"), F.col(text_key).alias("_hash"), text_or_empty().alias("_text"))
+    kept = representatives(given).select(F.col("_id").alias(key), F.col("_hash").alias(text_key))
+    return keyed.join(kept, [key, text_key], "left_semi").dropDuplicates([key, text_key]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
