@@ -9,9 +9,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of narrow keys (about 16 bytes each) under which a side may be broadcast. 2,000,000
-#: such rows are about 32 MB raw, well inside a small executor; larger sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Raw bytes up to which a side may be broadcast; a hash table of it takes about twice that. Larger sides are shuffled.
+BROADCAST_BYTES = 24 << 20
+#: Bytes of a row's fixed part and of a column of fixed width, as Spark lays rows out.
+ROW_BYTES, COLUMN_BYTES = 16, 8
+
+#: What tells rows of documents apart: the id (null ids last) and the text. One id may have several texts.
+KEY = ["_no_id", "_id", "_hash"]
+KEY_SCHEMA = "_no_id boolean, _id long, _hash long"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,14 +74,32 @@ def release(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a materialized narrow table has at most ``rows`` rows (Parquet footers answer)."""
-    return df.count() <= rows
+def small_enough(df: DataFrame) -> bool:
+    """Whether a materialized table is at most BROADCAST_BYTES: rows times the fixed width, plus the measured length of strings and arrays."""
+    fixed = ROW_BYTES + COLUMN_BYTES * len(df.columns)
+    more = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    more += [F.length(F.to_json(f.name)) for f in df.schema if f.dataType.simpleString().startswith(("array", "struct", "map"))]
+    if not more:
+        return df.count() * fixed <= BROADCAST_BYTES  # Parquet footers answer
+    got = df.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(c.cast("long")), F.lit(0)) for c in more)).first()
+    return got[0] * fixed + sum(got[1:]) <= BROADCAST_BYTES
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, a materialized table, with a broadcast hint if its measured size allows, else as it is (shuffle join)."""
+    return F.broadcast(df) if small_enough(df) else df
+
+
+def key_columns(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """The KEY columns of a table of documents; the order of KEY is that of ids, then of text hashes."""
+    given = F.col(doc_id).cast("long")
+    values = (given.isNull(), F.coalesce(given, F.lit(0).cast("long")), F.xxhash64(text_or_empty(text)))
+    return [v.alias(k) for k, v in zip(KEY, values)]
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows, else as it is (shuffle join)."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def id_of_key() -> Column:
+    """The ``doc_id`` of KEY columns."""
+    return F.when(~F.col(KEY[0]), F.col(KEY[1]))
 
 
 def with_columns(row: str, df: DataFrame, added: dict[str, Column]) -> DataFrame:

@@ -6,11 +6,13 @@ near copies if their sets of shingles (as 64-bit hashes) have Jaccard similarity
 and a class is a connected component of such links. Equal sets are one node from the start.
 
 Two nodes meet in a bucket if they agree in a band of ROWS minima; at similarity 0.8 they
-meet in none of BANDS bands with probability 3e-5. A small bucket gives all its pairs. A
-large one never does: a leader is compared with all others, and is then done. While the rest
-lies in more than one component, up to LEADERS nodes outside the bucket's largest component
-are compared with all nodes of other components, and are done. So every pair of a bucket is
-compared, unless other links join it already, and a round's pairs are in proportion to the rows.
+meet in none of BANDS bands with probability 0.003, at 0.9 with 1e-7. Bands are long so that texts which only share a
+passage don't meet: at similarity 0.3 a pair meets with probability 0.005. A small bucket
+gives all its pairs. A large one never does: a leader is compared with all others, and is
+then done. While the rest lies in more than one component, some nodes outside the bucket's
+largest component (LEADERS, doubled each round) are compared with all nodes of other
+components, and are done. So every pair of a bucket is compared, unless other links join it
+already. Components are carried from round to round: new links are between components.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import KEY, KEY_SCHEMA, materialize, maybe_broadcast, release
 from .components import connected_components
 
 WIDTH = 5
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 25, 7
 #: The largest bucket that gives all its pairs.
-SMALL = 8
-#: Leaders a bucket and round, after the first round.
+SMALL = 4
+#: Leaders a bucket in the second round.
 LEADERS = 4
 _ODD = np.random.default_rng(5).integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(6).integers(1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64)
@@ -71,7 +73,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat += bands(hashes)
             ends.append(len(flat))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(flat))
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_hash"), _signed(node), pa.array(n, pa.int32()), lists], names=["_id", "_hash", "node", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEY), _signed(node), pa.array(n, pa.int32()), lists], names=[*KEY, "node", "n", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,41 +92,58 @@ def _alike(p: Column, q: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have Jaccard similarity 0.8 or more."""
+    """Of the pairs ``(a, b, p, q)`` with components p and q, the links ``(a, b)`` of components whose nodes have Jaccard similarity 0.8 or more."""
     left, right = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("_y"))
-    met = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_x", "_y")).alias("_both"), (F.size("_x") + F.size("_y")).alias("_sum"))
-    return materialize(met.filter("_both * 5 >= (_sum - _both) * 4").select("a", "b"))
+    met = pairs.distinct().join(left, "a").join(right, "b").select("p", "q", F.size(F.array_intersect("_x", "_y")).alias("_both"), (F.size("_x") + F.size("_y")).alias("_sum"))
+    return met.filter("_both * 5 >= (_sum - _both) * 4").select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+
+def _pair(node: str, component: str, other: str, other_component: str) -> list[Column]:
+    """Both orders of a pair as one."""
+    first = F.col(node) < F.col(other)
+    sides = (F.struct(F.col(node).alias("n"), F.col(component).alias("c")), F.struct(F.col(other).alias("n"), F.col(other_component).alias("c")))
+    low, high = F.when(first, sides[0]).otherwise(sides[1]), F.when(first, sides[1]).otherwise(sides[0])
+    return [low["n"].alias("a"), high["n"].alias("b"), low["c"].alias("p"), high["c"].alias("q")]
 
 
 def _met(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of a leader and the rows of its bucket that may be like it and aren't of its component."""
+    """Pairs of a leader and the rows of its bucket that may be like it and aren't of its component."""
     pairs = rows.join(maybe_broadcast(leaders), "bucket").filter((F.col("component") != F.col("_component")) & _alike(F.col("n"), F.col("_n")))
-    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    return pairs.select(*_pair("node", "component", "leader", "_component"))
+
+
+def _leaders(rows: DataFrame, *keys) -> DataFrame:
+    best = F.min(F.struct("node", "n", "component")).alias("_l")
+    return materialize(rows.groupBy("bucket", *keys).agg(best).select("bucket", F.col("_l.node").alias("leader"), F.col("_l.n").alias("_n"), F.col("_l.component").alias("_component")))
 
 
 def representatives(given: DataFrame) -> DataFrame:
-    """``(_id, _hash)`` of one row of each class of ``(_id, _hash, _text)``: the smallest; ``_hash`` is of the text."""
-    rows = materialize(given.mapInArrow(_signatures, "_id long, _hash long, node long, n int, bands array<long>"))
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("_id", "_hash")).alias("least")))
+    """The KEY columns of one row of each class of (KEY, ``_text``): the smallest."""
+    rows = materialize(given.mapInArrow(_signatures, f"{KEY_SCHEMA}, node long, n int, bands array<long>"))
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("least")))
     dealt = materialize(rows.select(F.explode("bands").alias("bucket"), "node", "n").distinct())
     counts = materialize(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("_of")).filter("_of > 1"))
     shared = materialize(dealt.join(maybe_broadcast(counts), "bucket"))
     asked = materialize(shared.select("node").distinct().join(nodes, "node").select("node", "least.*"))
-    sets = materialize(given.join(maybe_broadcast(asked), ["_id", "_hash"]).dropDuplicates(["node"]).select("node", "_text").mapInArrow(_sets, "node long, hashes array<long>"))
+    sets = materialize(given.join(maybe_broadcast(asked), KEY).dropDuplicates(["node"]).select("node", "_text").mapInArrow(_sets, "node long, hashes array<long>"))
+    release(rows)
 
-    few = shared.filter(F.col("_of") <= SMALL)
+    own = shared.withColumn("component", F.col("node"))
+    few, open_ = own.filter(F.col("_of") <= SMALL), own.filter(F.col("_of") > SMALL).drop("_of")
     other = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("_n"))
-    pairs = few.join(other, "bucket").filter((F.col("node") < F.col("b")) & _alike(F.col("n"), F.col("_n"))).select(F.col("node").alias("a"), "b")
-    open_ = shared.filter(F.col("_of") > SMALL).select("bucket", "node", "n", F.col("node").alias("component"))
-    best = F.min(F.struct("node", "n", "component"))
-    chosen = lambda df, *keys: materialize(df.groupBy("bucket", *keys).agg(best.alias("_l")).select("bucket", F.col("_l.node").alias("leader"), F.col("_l.n").alias("_n"), F.col("_l.component").alias("_component")))
-    leaders = chosen(open_)
+    pairs = few.join(other, "bucket").filter((F.col("node") < F.col("b")) & _alike(F.col("n"), F.col("_n"))).select(*_pair("node", "node", "b", "b"))
+    leaders = _leaders(open_)
     pairs = pairs.unionByName(_met(open_, leaders))
-    edges = None
+    joined, many = None, LEADERS
     while True:
-        found = _verified(pairs, sets)
-        edges = found if edges is None else edges.unionByName(found)
-        joined = materialize(connected_components(edges))
+        found = materialize(connected_components(_verified(pairs, sets)))
+        if joined is None:
+            joined = found
+        elif not found.isEmpty():  # components join components
+            moved = found.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+            old = joined.join(maybe_broadcast(moved), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+            fresh = moved.join(joined.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("_to").alias("component"))
+            joined = materialize(old.unionByName(fresh))
         undone = open_.drop("component").join(maybe_broadcast(leaders.select("bucket", F.col("leader").alias("node"))), ["bucket", "node"], "left_anti")
         undone = undone.join(maybe_broadcast(joined), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
         split = undone.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_of")).groupBy("bucket")
@@ -132,8 +151,8 @@ def representatives(given: DataFrame) -> DataFrame:
         if split.isEmpty():
             break
         open_ = materialize(undone.join(maybe_broadcast(split), "bucket"))
-        leaders = chosen(open_.filter("component <> _main"), F.expr(f"pmod(xxhash64(component), {LEADERS})"))
-        open_ = open_.drop("_main")
+        leaders = _leaders(open_.filter("component <> _main"), F.expr(f"pmod(xxhash64(component), {many})"))
+        open_, many = open_.drop("_main"), many * 2
         pairs = _met(open_, leaders)
     members = nodes.join(joined, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
     return members.groupBy("component").agg(F.min("least").alias("_l")).select("_l.*")

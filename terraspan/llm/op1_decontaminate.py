@@ -1,8 +1,10 @@
 """Operator 1: benchmark items inside documents, by size-partitioned MinHash containment search.
 
 Native: DataFrame functions only. Words are runs of letters and digits in lower case,
-shingles five words (a text with fewer words is one shingle of all its words). An item is
-found in a document that has at least ``THRESHOLD`` of its distinct shingles.
+shingles five words. An item of fewer words is one shingle of all its words, and documents
+are also cut into shingles of each such width that an item has, so short items are found
+inside long texts too. An item is found in a document that has at least ``THRESHOLD`` of
+its distinct shingles.
 
 A document is far larger than an item, so their Jaccard similarity is near zero and a fixed
 signature of the document would miss items. The items are therefore the indexed side: they
@@ -17,10 +19,10 @@ shingles' text, not on hashes.
 The index is broadcast only if its counted rows allow it, and shuffled otherwise; so are
 the candidates. Long documents are probed whole.
 
-Defined cases: null or wordless texts match nothing; an item of one to four words matches
-only documents that are the same words and no more; repeated items are each reported, as
-are repeated rows once per ``doc_id``; rows with a null ``doc_id`` are reported with null
-(one row per text and item); empty tables give no rows; extra columns are ignored.
+Defined cases: null or wordless texts match nothing; repeated items (of one ``item_id``) count as
+one; rows equal in ``doc_id`` and text are reported once, texts of one ``doc_id`` each, rows with a null
+``doc_id`` with null (one row per text and item); empty tables give no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, maybe_broadcast, pinned, table, text_or_empty
-from .op2_simhash import STAND_IN, row_id
+from .common import KEY, fresh, id_of_key, key_columns, materialize, maybe_broadcast, pinned, table, text_or_empty
 
 WORDS = 5
 #: In tenths, so that the least count is exact: ceil(8 s / 10).
@@ -41,18 +42,26 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _each_shingle(words: Column, make) -> Column:
-    """``make(words, i)`` for the 0-based start i of each shingle of the array column ``words``."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - WORDS, F.lit(0)))
-    return F.when(F.size(words) == 0, F.array()).otherwise(F.transform(starts, lambda i: make(words, i)))
+def _each_shingle(words: Column, width: int, make) -> Column:
+    """``make(words, i, width)`` for the 0-based start i of each shingle of ``width`` words of the array column ``words``."""
+    starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0))))
+    return F.coalesce(F.transform(starts, lambda i: make(words, i, width)), F.array())
 
 
-def _hash(words: Column, i: Column) -> Column:
-    return F.xxhash64(*(F.get(words, i + k) for k in range(WORDS)))
+def _hash(words: Column, i: Column, width: int) -> Column:
+    return F.xxhash64(*(F.get(words, i + k) for k in range(width)))
 
 
-def _joined(words: Column, i: Column) -> Column:
-    return F.array_join(F.slice(words, i + 1, WORDS), " ")
+def _joined(words: Column, i: Column, width: int) -> Column:
+    return F.array_join(F.slice(words, i + 1, width), " ")
+
+
+def _by_width(width: Column, make, widths=range(1, WORDS + 1)) -> Column:
+    """``make(w)`` for the w that equals ``width``."""
+    out = F.when(width == widths[0], make(widths[0]))
+    for w in widths[1:]:
+        out = out.when(width == w, make(w))
+    return out
 
 
 def _need(count: Column) -> Column:
@@ -60,40 +69,50 @@ def _need(count: Column) -> Column:
 
 
 def index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The items ``(item_id, shingles, n_shingles, need)`` and the index ``(hash, item_id, need)``."""
+    """The items ``(item_id, width, shingles, n_shingles, need)`` and the index ``(hash, width, item_id, need)``."""
     given = pinned(items.select("item_id", text_or_empty().alias("_text")), "_words", words_of(F.col("_text"))).filter(F.size("_words") > 0)
+    given = given.withColumn("width", F.least(F.size("_words"), F.lit(WORDS)))
+    cut = lambda make: _by_width(F.col("width"), lambda w: _each_shingle(F.col("_words"), w, make))
     made = given.select(
-        "item_id", F.array_distinct(_each_shingle(F.col("_words"), _joined)).alias("shingles"),
-        F.array_sort(F.array_distinct(_each_shingle(F.col("_words"), _hash))).alias("_hashes"),
+        "item_id", "width", F.array_distinct(cut(_joined)).alias("shingles"), F.array_sort(F.array_distinct(cut(_hash))).alias("_hashes"),
     ).withColumn("n_shingles", F.size("shingles")).withColumn("need", _need(F.col("n_shingles")))
     made = made.withColumn("_class", F.floor(F.log2(F.col("n_shingles"))).cast("int"))
     largest = made.groupBy("_class").agg(F.max("n_shingles").alias("_largest"))
     made = materialize(made.join(largest, "_class").drop("_class"))
     k = F.col("_largest") - _need(F.col("_largest")) + 1
-    entries = made.select("item_id", "need", F.explode(F.slice("_hashes", F.lit(1), k)).alias("hash"))
-    return made.select("item_id", "shingles", "n_shingles", "need"), materialize(entries)
+    entries = made.select("item_id", "width", "need", F.explode(F.slice("_hashes", F.lit(1), k)).alias("hash"))
+    return materialize(made.select("item_id", "width", "shingles", "n_shingles", "need")), materialize(entries)
+
+
+def _with_width(width: int):
+    return lambda h: F.struct(h.alias("hash"), F.lit(width).alias("width"))
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(_id, doc_id, item_id, n_shingles, n_found)`` for every item found in a document."""
+    """``(KEY, doc_id, item_id, n_shingles, n_found)`` for every item found in a document."""
     whole, entries = index(items)
-    given = docs.select(row_id().alias("_id"), text_or_empty().alias("_text"))
-    hashed = pinned(given, "_words", words_of(F.col("_text"))).select("_id", _each_shingle(F.col("_words"), _hash).alias("_hashes"))
-    probes = hashed.select("_id", F.size("_hashes").alias("_size"), F.explode_outer("_hashes").alias("hash"))
-    hits = probes.join(maybe_broadcast(entries), "hash").filter(F.col("_size") >= F.col("need"))
-    candidates = materialize(hits.select("_id", "item_id").distinct())
-    pairs = given.join(maybe_broadcast(candidates), "_id").join(maybe_broadcast(whole.select("item_id", "shingles", "n_shingles", "need"), 10_000), "item_id")
+    widths = sorted(r["width"] for r in whole.select("width").distinct().collect()) or [WORDS]  # WORDS rows at most
+    given = docs.select(*key_columns(), text_or_empty().alias("_text"))
+    words = pinned(given, "_words", words_of(F.col("_text")))
+    hashed = words.select(*KEY, F.concat(*(F.transform(_each_shingle(F.col("_words"), w, _hash), _with_width(w)) for w in widths)).alias("_hashes"))
+    probes = hashed.select(*KEY, F.size("_hashes").alias("_size"), F.explode_outer("_hashes").alias("hash"))
+    probes = probes.select(*KEY, "_size", "hash.*")
+    hits = probes.join(maybe_broadcast(entries), ["hash", "width"]).filter(F.col("_size") >= F.col("need"))
+    candidates = materialize(hits.select(*KEY, "item_id").distinct())
+    pairs = given.join(maybe_broadcast(candidates), KEY).join(maybe_broadcast(whole), "item_id")
     pairs = pinned(pairs, "_words", words_of(F.col("_text")))
-    found = pinned(pairs, "n_found", F.size(F.array_intersect("shingles", _each_shingle(F.col("_words"), _joined)))).filter(F.col("n_found") >= F.col("need"))
-    found = found.groupBy("_id", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
-    return found.withColumn("doc_id", F.when(F.col("_id") < STAND_IN, F.col("_id")))
+    there = _by_width(F.col("width"), lambda w: _each_shingle(F.col("_words"), w, _joined), widths)
+    found = pinned(pairs, "n_found", F.size(F.array_intersect("shingles", there))).filter(F.col("n_found") >= F.col("need"))
+    found = found.groupBy(*KEY, "item_id", "n_shingles").agg(F.max("n_found").alias("n_found"))
+    return found.withColumn("doc_id", id_of_key())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item is found."""
-    key = fresh(docs, "_row_id")
-    bad = materialize(contained(docs, items).select(F.col("_id").alias(key)).distinct())
-    return docs.withColumn(key, row_id()).join(maybe_broadcast(bad), key, "left_anti").select(*docs.columns)
+    names = [fresh(docs, k) for k in KEY]
+    bad = materialize(contained(docs, items).select(*(F.col(k).alias(n) for k, n in zip(KEY, names))).distinct())
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(key_columns(), names)))
+    return keyed.join(maybe_broadcast(bad), names, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +126,12 @@ WITH words AS (
   SELECT DISTINCT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w, 'd' AS kind FROM documents
   UNION ALL
   SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), 'b' FROM benchmark
+), widths AS (SELECT DISTINCT least(len(w), 5) AS width FROM words WHERE kind = 'b' AND len(w) > 0
 ), shingles AS (
-  SELECT DISTINCT kind, id, array_to_string(w[i + 1 : i + 5], ' ') AS s
-  FROM (SELECT kind, id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM words WHERE len(w) > 0)
-), items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'b')
+  SELECT DISTINCT kind, id, width, array_to_string(w[i + 1 : i + width], ' ') AS s
+  FROM (SELECT kind, id, w, width, unnest(range(0, len(w) - width + 1)) AS i FROM words, widths WHERE len(w) >= width AND (kind = 'd' OR width = least(len(w), 5)))
+), items AS (SELECT id, width, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'b')
 SELECT d.id AS doc_id, i.id AS item_id, i.n::INTEGER AS n_shingles, count(*)::INTEGER AS n_found, round(count(*)::DOUBLE / i.n, 6) AS containment
-FROM items i JOIN shingles d ON d.kind = 'd' AND d.s = i.s
+FROM items i JOIN shingles d ON d.kind = 'd' AND d.width = i.width AND d.s = i.s
 GROUP BY d.id, i.id, i.n HAVING count(*) * 10 >= i.n * 8
 """

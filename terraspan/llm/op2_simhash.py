@@ -28,24 +28,16 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, maybe_broadcast, table, text_or_empty
+from .common import KEY, fresh, key_columns, materialize, maybe_broadcast, table, text_or_empty
 from .components import connected_components
 from .jaccard import representatives
 
 MAX_BITS = 3
 #: The longest run that one task compares with itself. Above 2,048 the third level needs no fourth.
 RUN = 4096
-#: From here on are stand-ins for null ids: they follow every real id.
-STAND_IN = 1 << 62
-
-
-def row_id() -> Column:
-    """``doc_id``, or for null a stand-in above all real ids that depends on the text alone."""
-    stand_in = F.lit(STAND_IN) + F.expr("shiftrightunsigned(xxhash64(coalesce(cast(text as string), '')), 3)")
-    return F.coalesce(F.col("doc_id").cast("long"), stand_in)
 
 
 def fingerprint(text: str | None) -> int:
@@ -64,13 +56,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(t) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("doc_id"), pa.array(fps)], names=["_id", "doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(_id, doc_id, fp)``, one row per document; no shuffle."""
-    given = docs.select(row_id().alias("_id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    return given.mapInArrow(_fingerprints, "_id long, doc_id long, fp long")
+    """``(doc_id, fp)``, one row per document; no shuffle."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
+    return given.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _mix(key: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -220,8 +212,9 @@ def links(nodes: DataFrame) -> DataFrame:
         variants = rows.mapInArrow(_variants(level), _KEYED)
         if level == 1 and not crowded.isEmpty():
             # these rows never meet in one task: they go to the second level, where a run is of 2^18 rows at most
-            passed_on = variants.join(maybe_broadcast(crowded), "key", "left_semi")
-            variants = variants.join(maybe_broadcast(crowded), "key", "left_anti")
+            few = maybe_broadcast(crowded)
+            passed_on = variants.join(few, "key", "left_semi")
+            variants = variants.join(few, "key", "left_anti")
         dealt = variants.repartition("key").sortWithinPartitions("key")
         out = materialize(dealt.mapInArrow(_runs(last=level == 3), "hot boolean, key long, fp long, at int"))
         found.append(out.filter("not hot").select(F.col("fp").alias("a"), F.col("key").alias("b")))
@@ -237,32 +230,30 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``(_id, doc_id, fp, rep)``: every row with the smallest ``_id`` of its class (see ``row_id``)."""
+    """``(doc_id, fp, component_id)``: every row with the smallest id of its class, null if no row of it has one."""
     fps = materialize(fingerprints(docs))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("_id").alias("least")))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = connected_components(links(nodes))
     members = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     members = members.select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    reps = members.groupBy("component").agg(F.min("least").alias("rep"))
-    by_fp = members.join(reps, "component").select("fp", "rep")
-    return fps.join(by_fp, "fp").select("_id", "doc_id", "fp", "rep")
+    ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_fp = members.join(ids, "component").select("fp", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without near copies (see ``jaccard``): of each class the row with the smallest id stays.
 
-    Without any id in a class, the row with the smallest text hash stays. Rows equal in id and text count as one.
+    Rows are told apart by id and text, so one id with two texts is two documents; of one id's texts in a class
+    the smallest hash stays, and rows without an id stay only in a class without any. Rows equal in both count as one.
     """
-    key, text_key = fresh(docs, "_row_id"), fresh(docs, "_text_hash")
-    keyed = docs.withColumn(key, row_id()).withColumn(text_key, F.xxhash64(text_or_empty()))
-    given = keyed.select(F.col(key).alias("_id"), F.col(text_key).alias("_hash"), text_or_empty().alias("_text"))
-    kept = representatives(given).select(F.col("_id").alias(key), F.col("_hash").alias(text_key))
-    return keyed.join(kept, [key, text_key], "left_semi").dropDuplicates([key, text_key]).select(*docs.columns)
+    names = [fresh(docs, k) for k in KEY]
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(key_columns(), names)))
+    given = docs.select(*key_columns(), text_or_empty().alias("_text"))
+    kept = representatives(given).select(*(F.col(k).alias(n) for k, n in zip(KEY, names)))
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and class."""
-    rep = F.when(F.col("rep") < STAND_IN, F.col("rep"))
-    return classes(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), rep.alias("component_id"),
-    )
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,30 +1,33 @@
 """Operator 7: the main text of web pages, with a suffix array per host against boilerplate.
 
 A page is read into blocks (text between block-level tags, character references decoded,
-white space collapsed), each in a zone: article, chrome (menus, headers, footers, sidebars,
+white space collapsed), each in a zone: article, marked (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments, hidden parts: told by element, role or class), or
-open (neither). The words of all blocks outside articles are the page's stream. The host's
-suffix array over the streams of its distinct pages gives the substrings of at least
-``DEPTH`` words that two or more of them share; words that they cover are removed and the
-unique runs between them are kept. Then what remains of chrome goes too, since a menu
-or advert needn't repeat, and what remains open is kept only on pages without an article.
-Article text is never removed for being repeated: pages may quote or copy each other.
-
-The array is built up to depth DEPTH, all that coverage needs: two suffixes share DEPTH
-words if and only if their 128-bit keys of that prefix agree. Sorting and comparing
-neighbours is then an aggregate over the keys, a partial one (do their pages differ?), so neither a host with a
-third of all pages nor a footer on every page comes together in one task. Positions meet
-repeated keys in a join that AQE can split.
+open (neither). The words of all blocks outside articles are the page's token stream. The
+host's suffix array over the streams of its distinct pages gives the substrings of at least
+``DEPTH`` words that two or more distinct pages share. On every page, the words that they
+cover are removed first, whatever the markup says of them, and the unique runs between them
+are kept. Markup decides about what the array leaves: a menu or advert that occurs once is
+no main text either. Article text is never removed for being repeated: pages quote and copy
+each other's articles, and the contract's text is the article's.
+
+The array is cut at depth DEPTH, all that coverage needs: a longer repeat is covered by its
+substrings of that length, and two suffixes share DEPTH words if and only if their 128-bit
+keys of host and prefix agree. So sorting and comparing neighbours is an aggregate over
+prefixes, a partial one (do their pages differ?), and neither a host with a third of all
+pages nor a footer on every page comes together in one task. Positions meet repeated
+prefixes in a join that AQE can split.
 
 Defined cases: null or empty html gives the empty text; malformed markup, unclosed elements
-and cut-off pages are read as far as they go; a null or unparsable url belongs to the host
-""; equal pages count as one; repeated rows get equal results; an empty table gives no rows;
-extra columns are ignored.
+and cut-off pages are read as far as they go, in one pass; a null or unparsable url belongs
+to the host ""; equal pages count as one; repeated rows get equal results; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,15 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, table, text_or_empty
+from .common import materialize, maybe_broadcast, table, text_or_empty
 
 DEPTH = 6
-ARTICLE, OPEN, CHROME = 0, 1, 2
+ARTICLE, OPEN, MARKED = 0, 1, 2
 
 #: Fixed values of HTML: block-level elements, elements without an end, elements whose text isn't markup.
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math object canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 #: Elements and roles that are never main text, and words of class or id that mark them.
 CHROME_TAGS = frozenset("nav footer aside form head menu dialog button select option search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -51,7 +54,7 @@ PAGE_WORDS = CHROME_WORDS | {"header", "topbar"}
 #: Of these, the words that mark an article itself, whose class often names what goes with it.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsor sponsored sidebar widget related comment comments".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[\s_-]+")
 
@@ -69,60 +72,130 @@ def _marked(attributes: str, words: frozenset = CHROME_WORDS) -> bool:
     return False
 
 
+class Scan:
+    """A search for each of some strings whose positions only grow, so a string that doesn't come any more is looked for once."""
+
+    def __init__(self, text: str):
+        self.text, self.next = text, {}
+
+    def find(self, wanted: str, at: int) -> int:
+        """The first place from ``at`` on, or the end of the text."""
+        known = self.next.get(wanted, -1)
+        if known < at:
+            found = self.text.find(wanted, at)
+            known = self.next[wanted] = len(self.text) if found < 0 else found
+        return known
+
+
+def _tag_end(html: str, scan: Scan, at: int) -> int:
+    """The place of the ``>`` that ends the tag whose attributes begin at ``at``, or -1 if it isn't closed. Quoted values may hold a ``>``."""
+    while True:
+        end = scan.find(">", at)
+        if end == len(html):
+            return -1
+        double, single = scan.find('"', at), scan.find("'", at)
+        quote = min(double, single)
+        if quote > end:
+            return end
+        close = scan.find(html[quote], quote + 1)
+        if close == len(html):  # a quote that is never closed is no quote
+            return end
+        at = close + 1
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, bool, int]]:
+    """``(text, "", False, end)`` for text and ``(attributes, name, closing, end)`` for tags, in one pass. Comments and declarations are left out.
+
+    The consumer may send back the place from which to go on. A ``<`` that begins no tag is text, as is a tag that isn't closed.
+    """
+    scan, at, n = Scan(html), 0, len(html)
+    while at < n:
+        low = scan.find("<", at)
+        if low > at:
+            yield html[at:low], "", False, low
+            at = low
+            continue
+        if html.startswith("<!--", at):
+            at = min(n, scan.find("-->", at + 4) + 3)
+            continue
+        if html[at + 1 : at + 2] in ("!", "?"):
+            at = min(n, scan.find(">", at) + 1)
+            continue
+        closing = html[at + 1 : at + 2] == "/"
+        name = NAME.match(html, at + 1 + closing)
+        end = _tag_end(html, scan, name.end()) if name else -1
+        if end < 0:
+            if not name and closing:  # an end tag without a name is a comment
+                at = min(n, scan.find(">", at) + 1)
+                continue
+            after = scan.find("<", at + 1)
+            yield html[at:after], "", False, after
+            at = after
+            continue
+        at = (yield html[name.end() : end], name[0].lower(), closing, end + 1) or end + 1
+
+
 def blocks(html: str) -> list[tuple[int, str]]:
     """``(zone, text)`` of the page's non-empty blocks, in page order."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether article, whether chrome
-    low = None
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether article, whether marked
+    opened: Counter = Counter()
+    low = Scan(html.lower()) if html.isascii() else Scan("".join(c.lower() if c < "\x80" else c for c in html))  # of the same length
 
     def end_block() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                _, article, chrome = stack[-1] if stack else ("", False, False)
-                out.append((CHROME if chrome else ARTICLE if article else OPEN, text))
-
-    at = 0
-    while m := TOKEN.match(html, at):
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0][0] != "<" or m[0] == "<":
-                held.append(m[0])
+                _, article, marked = stack[-1] if stack else ("", False, False)
+                out.append((MARKED if marked else ARTICLE if article else OPEN, text))
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    reader = tokens(html)
+    go_on = None
+    while True:
+        try:
+            text, name, closing, at = reader.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if not name:
+            held.append(text)
             continue
-        name = name.lower()
-        if name in RAW and not m[1]:
+        if name in RAW and not closing:
             if name in BLOCK:
                 end_block()
-            low = html.lower() if low is None else low
-            if not m[3].endswith("/"):
+            if not text.endswith("/"):
                 end = low.find("</" + name, at)
-                at = len(html) if end < 0 else max(low.find(">", end) + 1, end + 2)
+                go_on = min(len(html), low.find(">", end) + 1)
             continue
         if name not in BLOCK and name not in CHROME_TAGS:
-            if not m[1] and "hidden" not in m[3] and "none" not in m[3]:
+            if not closing and "hidden" not in text and "none" not in text:
                 continue
-            if not m[1] or not any(s[0] == name for s in stack):
-                if m[1] or name in VOID or not _marked(m[3]):
+            if not closing or not opened[name]:
+                if closing or name in VOID or not _marked(text):
                     continue
         end_block()
         if name in VOID:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if closing:
+            if opened[name]:
+                while pop() != name:
+                    pass
         else:
             if name in ("p", "li") and stack and stack[-1][0] == name:  # their end may be left out
-                stack.pop()
-            _, article, chrome = stack[-1] if stack else ("", False, False)
+                pop()
+            _, article, marked = stack[-1] if stack else ("", False, False)
             begins = name in ("article", "main")
             words = ARTICLE_WORDS if begins else CHROME_WORDS if article else PAGE_WORDS
-            chrome = chrome or name in CHROME_TAGS or name == "header" and not article or name not in ("body", "html") and _marked(m[3], words)
-            stack.append((name, article or begins, chrome))
+            marked = marked or name in CHROME_TAGS or name == "header" and not article or name not in ("body", "html") and _marked(text, words)
+            stack.append((name, article or begins, marked))
+            opened[name] += 1
     end_block()
     return out
 
@@ -145,22 +218,18 @@ def suffixes(host: str, page: list[tuple[int, str]], depth: int = DEPTH) -> list
     return out
 
 
-def undecided(page: list[tuple[int, str]]) -> bool:
-    """Whether the page has open text and no article, so that coverage decides what is kept."""
-    zones = {zone for zone, _ in page}
-    return OPEN in zones and ARTICLE not in zones
-
+def assemble(page: list[tuple[int, str]], starts: list[int], depth: int = DEPTH) -> tuple[str, int, int]:
+    """The main text, given the positions in the page's stream where a shared substring of ``depth`` words begins.
 
-def assemble(page: list[tuple[int, str]], starts: list[int], depth: int = DEPTH) -> str:
-    """The main text, given the positions in the page's stream where a shared substring of ``depth`` words begins."""
-    has_article = any(zone == ARTICLE for zone, _ in page)
+    Also the number of words that the array removed, and that markup removed of the rest.
+    """
     total = sum(len(text.split(" ")) for zone, text in page if zone != ARTICLE)
     covered = np.zeros(total + depth + 1, dtype=np.int64)
     for s in starts:
         covered[s] += 1
         covered[s + depth] -= 1
     covered = np.cumsum(covered) > 0
-    kept, at = [], 0
+    kept, at, marked = [], 0, 0
     for zone, text in page:
         if zone == ARTICLE:
             kept.append(text)
@@ -168,9 +237,11 @@ def assemble(page: list[tuple[int, str]], starts: list[int], depth: int = DEPTH)
         words = text.split(" ")
         unique = [w for k, w in enumerate(words) if not covered[at + k]]
         at += len(words)
-        if zone == OPEN and not has_article and unique:
+        if zone == MARKED:
+            marked += len(unique)
+        elif unique:
             kept.append(" ".join(unique))
-    return " ".join(kept)
+    return " ".join(kept), int(covered.sum()), marked
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,35 +252,37 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page, host, html in zip(*(b.slice(i, 512).column(c).to_pylist() for c in ("_page", "host", "_html"))):
                 whole = blocks(html)
                 content = xxhash.xxh64_intdigest("\0".join(f"{z}{t}" for z, t in whole).encode("utf-8", "surrogatepass"))
-                open_ = undecided(whole)
-                rows += [(page, open_, content, *s) for s in suffixes(host, whole)]
+                rows += [(page, content, *s) for s in suffixes(host, whole)]
             if rows:
-                page, open_, content, at, high, low = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(open_), signed(content), pa.array(at, pa.int32()), signed(high), signed(low)], names=["_page", "undecided", "content", "at", "high", "low"])
+                page, content, at, high, low = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), signed(content), pa.array(at, pa.int32()), signed(high), signed(low)], names=["_page", "content", "at", "high", "low"])
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 512):
             part = b.slice(i, 512)
-            texts = [assemble(blocks(h), at or []) for h, at in zip(part.column("_html").to_pylist(), part.column("starts").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            made = [assemble(blocks(h), at or []) for h, at in zip(part.column("_html").to_pylist(), part.column("starts").to_pylist())]
+            texts, repeated, marked = zip(*made)
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64()), pa.array(marked, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated", "n_marked"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` of every page. Pages are parsed twice, which costs less than keeping them parsed."""
+    """``(page_id, url, text, n_chars, n_repeated, n_marked)`` of every page: its main text, and the words removed as repeated over the host and as marked.
+
+    Pages are parsed twice, which costs less than keeping them parsed.
+    """
     page, url = pages.schema["page_id"].dataType.simpleString(), pages.schema["url"].dataType.simpleString()
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     html = text_or_empty("html")
     given = pages.select(F.xxhash64(F.col("page_id"), F.col("url"), html).alias("_page"), "page_id", "url", host.alias("host"), html.alias("_html"))
-    array = materialize(given.select("_page", "host", "_html").mapInArrow(_suffixes, "_page long, undecided boolean, content long, at int, high long, low long"))
+    array = materialize(given.select("_page", "host", "_html").mapInArrow(_suffixes, "_page long, content long, at int, high long, low long"))
     shared = array.groupBy("high", "low").agg(F.min("content").alias("_a"), F.max("content").alias("_b")).filter("_a < _b")
-    hits = array.filter("undecided").join(shared.select("high", "low"), ["high", "low"], "left_semi")
+    shared = materialize(shared.select("high", "low"))
+    hits = array.join(maybe_broadcast(shared), ["high", "low"], "left_semi")
     starts = materialize(hits.groupBy("_page").agg(F.collect_set("at").alias("starts")))
-    numbers = starts.agg(F.coalesce(F.sum(F.size("starts") + 4), F.lit(0))).first()[0]
-    found = F.broadcast(starts) if numbers <= BROADCAST_ROWS else starts
-    joined = given.join(found, "_page", "left").select("page_id", "url", "_html", "starts")
-    return joined.mapInArrow(_assembled, f"page_id {page}, url {url}, text string, n_chars long")
+    joined = given.join(maybe_broadcast(starts), "_page", "left").select("page_id", "url", "_html", "starts")
+    return joined.mapInArrow(_assembled, f"page_id {page}, url {url}, text string, n_chars long, n_repeated long, n_marked long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
