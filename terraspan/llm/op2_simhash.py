@@ -28,41 +28,41 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import KEY, fresh, key_columns, materialize, maybe_broadcast, table, text_or_empty
 from .components import connected_components
-from .jaccard import representatives
 
 MAX_BITS = 3
 #: The longest run that one task compares with itself. Above 2,048 the third level needs no fourth.
 RUN = 4096
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of one text."""
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit fingerprint of one text, of shingles of ``width`` words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= 3 else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=max(1, len(words) - 2))
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=max(1, len(words) - width + 1))
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # a very long text in pieces
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.array([fingerprint(t) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, *keep: Column, width: int = 3) -> DataFrame:
+    """The columns ``keep`` and ``fp``, one row per document; no shuffle."""
+    given = docs.select(*keep, text_or_empty().alias("_text"))
+    names = given.columns[:-1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, width) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(fps)], names=[*names, "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``, one row per document; no shuffle."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    return given.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return given.mapInArrow(run, given.drop("_text").schema.add("fp", "long"))
 
 
 def _mix(key: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -229,28 +229,31 @@ def links(nodes: DataFrame) -> DataFrame:
     return edges
 
 
+def classified(fps: DataFrame, order: Column) -> DataFrame:
+    """``(fp, least)``: each fingerprint of the materialized ``fps`` with the least ``order`` of its class."""
+    nodes = materialize(fps.groupBy("fp").agg(F.min(order).alias("least")))
+    joined = connected_components(links(nodes))
+    members = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return members.select("fp", "component").join(members.groupBy("component").agg(F.min("least").alias("least")), "component").select("fp", "least")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)``: every row with the smallest id of its class, null if no row of it has one."""
-    fps = materialize(fingerprints(docs))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = connected_components(links(nodes))
-    members = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    members = members.select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = members.join(ids, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    fps = materialize(fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id")))
+    return fps.join(classified(fps, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The documents without near copies (see ``jaccard``): of each class the row with the smallest id stays.
+def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The documents without near copies: of each class, by fingerprints of ``width``-word shingles, the row with the smallest id stays.
 
     Rows are told apart by id and text, so one id with two texts is two documents; of one id's texts in a class
     the smallest hash stays, and rows without an id stay only in a class without any. Rows equal in both count as one.
     """
     names = [fresh(docs, k) for k in KEY]
+    fps = materialize(fingerprints(docs, *key_columns(), width=width))
+    kept = classified(fps, F.struct(*KEY)).select("least.*").distinct()
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(key_columns(), names)))
-    given = docs.select(*key_columns(), text_or_empty().alias("_text"))
-    kept = representatives(given).select(*(F.col(k).alias(n) for k, n in zip(KEY, names)))
+    kept = kept.select(*(F.col(k).alias(n) for k, n in zip(KEY, names)))
     return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 

