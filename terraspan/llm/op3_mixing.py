@@ -8,8 +8,9 @@ blocks, one block a slot, meets all deadlines, so at any slot each source is les
 block ahead of or behind its target. When a source runs out its share goes to the others in
 proportion, so all rows are kept: the mix has every document exactly once.
 
-The schedule is over blocks, not rows: ``BLOCKS`` blocks in all (and at most one more a
-source), with block size N / BLOCKS, so the one task that schedules holds as much at any N.
+The schedule is over blocks, not rows. A block is a fixed share of the mix, 1 / ``BLOCKS`` (and
+each source's last may be short), so shares deviate by less than 1 / BLOCKS of all rows at any N,
+and the one task that schedules holds as much. A finer mix takes a larger ``blocks``.
 A source's rank is found by ``ranking`` without a task that holds a whole source.
 
 Defined cases: null and empty source are one source, ``""``; without given weights a source
@@ -143,10 +144,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, blocks: int = BLOCKS,
 
 def in_order(mixed: DataFrame) -> DataFrame:
     """The rows of ``mix`` as consecutive partitions in order of position, ``position`` included."""
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = mixed.count()
-    at = F.expr(f"cast((position * {n}) div {max(1, total)} as int)")
-    return mixed.repartitionById(n, at).sortWithinPartitions("position")
+    return mixed.repartitionByRange("position").sortWithinPartitions("position")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ inputs of a score.
 
 Learning reads a bounded sample: of the labelled rows allowed for training, the
 ``SAMPLE_ROWS`` first in a seeded digest's order, equal texts once. Lexicon counts and features run on the
-executors; what comes to the driver is at most ``CANDIDATES`` counted entries and
-SAMPLE_ROWS feature vectors. Two folds keep the trees honest: a row's training features come
+executors; what comes to the driver is the entries that enough toxic texts of the sample
+have, and at most SAMPLE_ROWS feature vectors. Two folds keep the trees honest: a row's training features come
 from the other fold's lexicon, and the calibration sees predictions of trees that haven't
 seen the row. Scoring is one pass over all texts, without a shuffle.
 
@@ -37,8 +37,6 @@ from .common import fresh, materialize, release, table, text_or_empty
 THRESHOLD = 0.7
 #: Labelled rows that learning may read.
 SAMPLE_ROWS = 12_000
-#: Lexicon entries that are counted in clean texts, and that are kept.
-CANDIDATES, LEXICON = 20_000, 4_000
 #: Least toxic texts with an entry (and this share of them), and least smoothed log odds.
 LEAST_TEXTS, LEAST_SHARE, LEAST_WEIGHT = 3, 0.004, 2.0
 TREES, DEPTH, BIN_COUNT, RATE, LEAF = 60, 3, 32, 0.2, 5
@@ -209,6 +207,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     chosen = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y")).orderBy(F.md5(F.concat(F.lit("5|"), F.col("doc_id").cast("string"))), "doc_id").limit(rows)
     joined = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # SAMPLE_ROWS rows at most
     once = joined.withColumn("_sha", F.sha2("text", 256)).groupBy("_sha").agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    once = once.orderBy("_sha").limit(rows)  # ids that occur more than once may have brought more
     return once.select("text", "y", (F.conv(F.substring("_sha", 1, 4), 16, 10).cast("int") % 2).alias("fold"))
 
 
@@ -245,8 +244,7 @@ def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean
             weight = float(np.log((a + 0.5) / (n_toxic - a + 1)) - np.log((b + 0.5) / (n_clean - b + 1)))
             if weight >= LEAST_WEIGHT:
                 weights[e] = weight
-    ranked = sorted(weights, key=lambda e: (-weights[e] * np.sqrt(toxic[e]), e))[:LEXICON]
-    return Lexicon({e: weights[e] for e in ranked})
+    return Lexicon(weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -264,9 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return sample.filter(F.col("y") == y).mapInArrow(_counted(wanted), schema).groupBy("entry").agg(
             *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))
 
-    top = counted(1, None).filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS).orderBy(F.desc(F.col("n0") + F.col("n1")), "entry").limit(CANDIDATES).collect()
+    # what a lexicon of either fold or of both could take; the sample bounds it
+    enough = F.greatest(*(F.col(f"n{f}") / max(LEAST_TEXTS, LEAST_SHARE * size.get((1, f), 0)) for f in (0, 1)), (F.col("n0") + F.col("n1")) / max(LEAST_TEXTS, LEAST_SHARE * total[1]))
+    top = counted(1, None).filter(enough >= 1).collect()
     toxic = [{r["entry"]: r[f"n{f}"] for r in top} for f in (0, 1)]
-    rest = counted(0, frozenset(toxic[0])).collect()  # CANDIDATES rows at most
+    rest = counted(0, frozenset(toxic[0])).collect()
     clean = [{r["entry"]: r[f"n{f}"] for r in rest} for f in (0, 1)]
     by_fold = [_lexicon(toxic[f], clean[f], size.get((1, f), 0), size.get((0, f), 0)) for f in (0, 1)]
     whole = _lexicon(*({e: c[0].get(e, 0) + c[1].get(e, 0) for e in c[0] | c[1]} for c in (toxic, clean)), total[1], total[0])

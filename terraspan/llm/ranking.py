@@ -24,19 +24,20 @@ def seeded_digest(seed: int, *columns: Column) -> Column:
 def rank_in_groups(df: DataFrame, group: str, digest: str, ties: list[str], rank: str, size: str) -> DataFrame:
     """Adds the 1-based ``rank`` by (``digest``, ``ties``) in each ``group`` and the group's ``size``.
 
-    ``digest`` holds hexadecimal digits that are uniform over the rows. Null is a group of its own.
+    ``digest`` holds hexadecimal digits that are uniform over the rows; ``group`` isn't null. The join and the
+    window have the same keys, so rows are shuffled once.
     """
     binned = df.withColumn("_bin", F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"))
     counts = binned.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(group)
     before = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col(group).alias("_g"), F.col("_bin").alias("_b"),
+        group, "_bin",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(size),
     )
     inner = Window.partitionBy(group, "_bin").orderBy(digest, *ties)
-    joined = binned.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bin") == F.col("_b")))
-    return joined.withColumn(rank, F.col("_before") + F.row_number().over(inner)).drop("_bin", "_g", "_b", "_before")
+    joined = binned.join(offsets, [group, "_bin"])
+    return joined.withColumn(rank, F.col("_before") + F.row_number().over(inner)).drop("_bin", "_before")
 
 
 def rank_by_fraction(df: DataFrame, fraction: str, ties: list[str], position: str, total: str) -> DataFrame:

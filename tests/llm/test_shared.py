@@ -26,7 +26,7 @@ RUNS = {
     "op2": lambda s, d: op2_simhash.classes(d),
     "op2_keep": lambda s, d: op2_simhash.dedup(d),
     "op3": lambda s, d: op3_mixing.mix(d),
-    "op4": lambda s, d: op4_telephony.media(d, d.columns),
+    "op4": lambda s, d: op4_telephony.described(op4_telephony.store(d, d.columns)),
     "op5": lambda s, d: op5_toxicity.accept(d, op5_toxicity.fit(d, labels(s, [(4, 1, 0), (5, None, None), (None, 1, 1), (77, 0, 1)]))),
     "op9": lambda s, d: op9_lines.strip(d),
     "op10": lambda s, d: op10_sharding.shard(d),

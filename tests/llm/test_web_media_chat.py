@@ -130,18 +130,34 @@ def test_codecs():
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "é" * 288, "x" * 576, "y" * 577, words(20_000)])
-def test_media_round_trip(text):
+def test_media_round_trip(monkeypatch, text):
     n, payload = op4_telephony.payload_of(text)
-    got = op4_telephony.describe(["before", text, "after"])[1]
+    media = op4_telephony.wav(payload)
+    got = op4_telephony.features_of(media)
     data = (text or "").encode()
     want = data + b"\xff" * (-len(data) % 576 if data else 576)
-    assert payload == want and n == got["n_bytes"] == len(data)
+    assert payload == want and n == len(data)
     assert got["payload_sha256"] == hashlib.sha256(want).hexdigest() and got["tail_crc32"] == zlib.crc32(want[-32:])
-    tag, rate, back = op4_telephony.read_wav(got["media"])
-    assert (tag, rate, back) == (op4_telephony.MULAW, 8000, want) and got["media_sha256"] == hashlib.sha256(got["media"]).hexdigest()
-    assert got == op4_telephony.describe([text])[0]
-    wide = op4_telephony.read_wav(op4_telephony.to_pcm(got["media"]))
-    assert wide[:2] == (op4_telephony.PCM, 16000) and len(wide[2]) == 4 * len(want)
+    assert op4_telephony.read_wav(media) == (op4_telephony.MULAW, 8000, want) and got["media_sha256"] == hashlib.sha256(media).hexdigest()
+    wide = op4_telephony.read_wav(op4_telephony.to_pcm(media))
+    assert wide[:2] == (op4_telephony.PCM, 16000) and len(wide[2]) == 4 * len(want) and f"pcm16k_crc={zlib.crc32(wide[2])}" in got["feature"]
+    pcm = op4_telephony.MULAW_TABLE[np.frombuffer(want, np.uint8)].tolist()
+    assert f"crossings={sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))};" in got["feature"] and f"mulaw_rms={int((sum(x * x for x in pcm) // len(pcm)) ** 0.5)};" in got["feature"]
+    monkeypatch.setattr(op4_telephony, "SLICE", 2 * 576)
+    assert op4_telephony.features_of(media) == got
+
+
+def test_media_columns(spark, tmp_path):
+    """Files written as columns, read back and described."""
+    from fixtures import AWKWARD, documents
+
+    docs = documents(spark, AWKWARD, clash=True)
+    op4_telephony.store(docs, docs.columns, pcm=True).write.parquet(str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_sha256, bytes(r.pcm)) for r in op4_telephony.described(stored).collect()), key=str)
+    made = [op4_telephony.payload_of(t) for _, t in AWKWARD]
+    want = [(i, n, hashlib.sha256(p).hexdigest(), op4_telephony.to_pcm(op4_telephony.wav(p))) for (i, _), (n, p) in zip(AWKWARD, made)]
+    assert got == sorted(want, key=str)
 
 
 def test_call_levels(spark):
