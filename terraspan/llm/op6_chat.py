@@ -8,17 +8,21 @@ behind a cycle it is null. Chains are measured by pointer doubling and what join
 chains in rounds, all by joins on identifiers, so no task holds a conversation and a
 conversation of n turns takes log2(n) rounds. Arguments are checked against schemas,
 an operator parameter compiled into column expressions, and the record is written as
-canonical JSON: keys in order, no blanks, one escape for each character that needs one.
+canonical JSON: keys in order, no blanks, one escape for each character that needs one,
+integral numbers as digits and others as the shortest form of a double. Arguments that fail
+their schema have no canonical object; the record holds their text as a string, unchanged.
 
 ``query`` reads ``conversations`` as calls: a user message is a call of ``reply`` and a system
 message one of ``configure``; the assistant's message of the next turn is the result; a call
-depends on the system message or the answered call before it.
+depends on the system message or the answered call before it. The argument ``words`` counts the
+message's words; so that validation has something to find, by that count modulo 8 some calls
+leave it out (3), give it as a string (5), add a key (6) or break off (7).
 
 Defined cases: a null role or text is empty, other roles than system, user and assistant
 are ignored; repeated or rival messages of one (conv_id, turn) count once, the smallest role
 and text first; messages with a null conv_id or turn are calls without links; a dependency
 that isn't among the calls is dropped; a call without result has a null result; arguments
-that aren't JSON, or lack a key, or have a key of another type or an unknown one, or an
+that aren't JSON (or are too long for Spark's parser, 16 MB), or lack a key, or have a key of another type or an unknown one, or an
 unknown tool name, are listed in ``errors``; empty tables give no rows; extra columns are
 ignored.
 """
@@ -28,37 +32,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import materialize, pinned, release, table
 
-#: Tool name to argument names: the type as ``schema_of_variant`` names it, and whether it's required.
+#: Tool name to argument names: the JSON type (string, integer, number, boolean), and whether it's required.
 SCHEMAS = {
-    "configure": {"instructions": ("STRING", True), "words": ("BIGINT", True)},
-    "reply": {"prompt": ("STRING", True), "words": ("BIGINT", True)},
+    "configure": {"instructions": ("string", True), "words": ("integer", True)},
+    "reply": {"prompt": ("string", True), "words": ("integer", True)},
 }
+#: Fixed values of JSON: the characters with a short escape. Other control characters are written in hexadecimal.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _field(arguments: Column, key: str, kind: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(arguments), f"$.{key}", kind)
+
+
+def _fits(arguments: Column, key: str, wanted: str) -> Column:
+    """Whether the value of ``key`` has the JSON type ``wanted``."""
+    got = F.schema_of_variant(_field(arguments, key, "variant"))
+    number = (got == "BIGINT") | got.startswith("DECIMAL") | (got == "DOUBLE")
+    if wanted == "integer":
+        value = _field(arguments, key, "double")
+        return (got == "BIGINT") | number & (value == F.floor(value)) & (F.abs(value) < 2.0**53)
+    return {"string": got == "STRING", "number": number, "boolean": got == "BOOLEAN"}[wanted]
 
 
 def errors_of(name: Column, arguments: Column, schemas: dict) -> Column:
     """What is wrong with the JSON text ``arguments`` of a call, sorted and joined by commas; empty if nothing."""
     parsed = F.try_parse_json(arguments)
-    kind = F.schema_of_variant(parsed)
-    keys = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
-    unknown = F.when(name.isNull() | ~name.isin(*schemas), F.array(F.lit("unknown tool"))).otherwise(F.array().cast("array<string>"))
-    found = [F.when(parsed.isNull() | ~kind.startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(unknown)]
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    keys = F.coalesce(F.json_object_keys(arguments), _none())
+    unknown = F.when(name.isNull() | ~name.isin(*schemas), F.array(F.lit("unknown tool"))).otherwise(_none())
+    found = [F.when(~is_object, F.array(F.lit("not an object"))).otherwise(unknown)]
     for tool, fields in schemas.items():
         each = []
         for key, (wanted, required) in fields.items():
-            got = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
             missing = F.lit(f"missing {key}") if required else F.lit(None).cast("string")
-            each.append(F.when(~F.array_contains(keys, key), missing).when(got != wanted, F.lit(f"type {key}")))
+            each.append(F.when(~F.array_contains(keys, key), missing).when(~F.coalesce(_fits(arguments, key, wanted), F.lit(False)), F.lit(f"type {key}")))
         extra = F.transform(F.array_except(keys, F.array(*(F.lit(k) for k in fields))), lambda k: F.concat(F.lit("unexpected "), k))
-        checks = F.concat(F.array(*each), extra)
-        found.append(F.when((name == tool) & parsed.isNotNull() & kind.startswith("OBJECT"), checks).otherwise(F.array().cast("array<string>")))
+        found.append(F.when((name == tool) & is_object, F.concat(F.array(*each), extra)).otherwise(_none()))
     return F.array_join(F.array_sort(F.array_compact(F.concat(*found))), ",")
 
 
 def quoted(value: Column) -> Column:
-    """A string as JSON, null as the word null."""
-    return F.when(value.isNull(), F.lit("null")).otherwise(F.to_json(F.to_variant_object(F.array(value))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(value)))) - 2))
+    """A string of any length as JSON, null as the word null."""
+    out = value
+    for c, escape in ESCAPES.items():
+        out = F.replace(out, F.lit(c), F.lit(escape))
+    rare = out
+    for c in map(chr, range(32)):
+        if c not in ESCAPES:
+            rare = F.replace(rare, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    out = F.when(value.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), rare).otherwise(out)
+    return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
+
+
+def canonical(name: Column, arguments: Column, errors: Column, schemas: dict) -> Column:
+    """Valid arguments as a canonical object, others as the string that they are."""
+
+    def written(key: str, wanted: str) -> Column:
+        number = _field(arguments, key, "double")
+        digits = F.coalesce(_field(arguments, key, "long"), number.cast("long")).cast("string")
+        return {
+            "string": quoted(_field(arguments, key, "string")), "integer": digits, "boolean": _field(arguments, key, "boolean").cast("string"),
+            "number": F.when((number == F.floor(number)) & (F.abs(number) < 2.0**53), digits).otherwise(number.cast("string")),
+        }[wanted]
+
+    out = F.when(errors != "", quoted(arguments))
+    for tool, fields in schemas.items():
+        parts = [F.when(_field(arguments, k, "variant").isNotNull(), F.concat(quoted(F.lit(k)), F.lit(":"), written(k, w))) for k, (w, _) in sorted(fields.items())]
+        out = out.when(name == tool, F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}")))
+    return F.coalesce(out, F.lit("null"))
 
 
 def _chains(depends: DataFrame) -> DataFrame:
@@ -124,10 +172,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
     out = calls.drop("depends").join(content, "call_id", "left").join(grouped, "call_id", "left").join(levels(calls.filter("call_id is not null"), edges), "call_id", "left")
     out = out.withColumn("level", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")))
     out = out.withColumn("depends", F.coalesce("depends", F.array().cast("array<string>"))).withColumn("answered", F.coalesce("answered", F.lit(False)))
-    out = out.withColumn("errors", errors_of(F.col("name"), F.col("arguments"), schemas))
-    canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
+    out = pinned(out, "errors", errors_of(F.col("name"), F.col("arguments"), schemas))
+    out = pinned(out, "_canonical", canonical(F.col("name"), F.col("arguments"), F.col("errors"), schemas))
     record = F.concat(
-        F.lit('{"arguments":'), canonical, F.lit(',"depends":['), F.array_join(F.transform("depends", lambda d: F.concat(F.lit('"'), d, F.lit('"'))), ","),
+        F.lit('{"arguments":'), F.col("_canonical"), F.lit(',"depends":['), F.array_join(F.transform("depends", quoted), ","),
         F.lit('],"id":'), quoted(F.col("call_id")), F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), F.lit("null")), F.lit(',"name":'), quoted(F.col("name")),
         F.lit(',"result":'), quoted(F.col("_result")), F.lit(',"valid":'), F.when(F.col("errors") == "", "true").otherwise("false"), F.lit("}"),
     )
@@ -143,9 +191,12 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = said.filter(F.col("role").isin("user", "system")).groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.*")
     words = F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long")
     key = F.when(F.col("role") == "user", "prompt").otherwise("instructions")
+    count, kind = words.cast("string"), words % 8
+    given = F.when(kind == 3, F.lit("")).when(kind == 5, F.concat(F.lit('"words":"'), count, F.lit('",'))).otherwise(F.concat(F.lit('"words":'), count, F.lit(",")))
+    arguments = F.concat(F.lit("{"), given, F.when(kind == 6, F.lit('"more":true,')).otherwise(F.lit("")), F.lit('"'), key, F.lit('":'), F.when(kind == 7, F.lit("")).otherwise(F.concat(quoted(F.col("text")), F.lit("}"))))
     calls = asked.select(
         ident(0).alias("call_id"), F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"),
-        F.concat(F.lit('{"words":'), words.cast("string"), F.lit(',"'), key, F.lit('":'), quoted(F.col("text")), F.lit("}")).alias("arguments"),
+        arguments.alias("arguments"),
         F.array(ident(1), ident(2)).alias("depends"), "conv_id", "turn",
     )
     answers = said.filter((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
@@ -163,7 +214,8 @@ WITH RECURSIVE calls AS (
   SELECT conv_id, turn, conv_id || '-' || turn AS call_id, min(role) AS role
   FROM conversations WHERE role IN ('user', 'system') GROUP BY conv_id, turn
 ), first AS (
-  SELECT c.conv_id, c.turn, c.call_id, c.role, m.text
+  SELECT c.conv_id, c.turn, c.call_id, c.role, m.text, len(list_filter(string_split(m.text, ' '), lambda w: w <> '')) AS n,
+         CASE c.role WHEN 'user' THEN 'prompt' ELSE 'instructions' END AS key
   FROM calls c JOIN (SELECT conv_id, turn, role, min(coalesce(text, '')) AS text FROM conversations GROUP BY ALL) m
     ON m.conv_id = c.conv_id AND m.turn = c.turn AND m.role = c.role
 ), answers AS (
@@ -175,12 +227,18 @@ WITH RECURSIVE calls AS (
   UNION
   SELECT e.call_id, w.level + 1 FROM walk w JOIN edges e ON e.on_id = w.call_id
 ), level AS (SELECT call_id, max(level) AS level FROM walk GROUP BY call_id
-), deps AS (SELECT call_id, string_agg(on_id, ',' ORDER BY on_id) AS depends, string_agg('"' || on_id || '"', ',' ORDER BY on_id) AS quoted FROM edges GROUP BY call_id)
+), deps AS (SELECT call_id, string_agg(on_id, ',' ORDER BY on_id) AS depends, string_agg('"' || on_id || '"', ',' ORDER BY on_id) AS quoted FROM edges GROUP BY call_id
+), judged AS (
+  SELECT *, CASE n % 8 WHEN 3 THEN 'missing words' WHEN 5 THEN 'type words' WHEN 6 THEN 'unexpected more' WHEN 7 THEN 'not an object' ELSE '' END AS errors,
+         CASE n % 8 WHEN 3 THEN '{' WHEN 5 THEN '{"words":"' || n || '",' WHEN 6 THEN '{"words":' || n || ',"more":true,' ELSE '{"words":' || n || ',' END
+           || '"' || key || '":' || CASE n % 8 WHEN 7 THEN '' ELSE to_json(text)::VARCHAR || '}' END AS raw
+  FROM first
+)
 SELECT f.conv_id, f.turn, f.call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, l.level::INTEGER AS level,
-       coalesce(depends, '') AS depends, content IS NOT NULL AS answered, '' AS errors,
-       '{"arguments":{' || CASE role WHEN 'user' THEN '"prompt":' ELSE '"instructions":' END || to_json(f.text)::VARCHAR
-         || ',"words":' || len(list_filter(string_split(f.text, ' '), lambda w: w <> ''))
-         || '},"depends":[' || coalesce(quoted, '') || '],"id":"' || f.call_id || '","level":' || l.level
-         || ',"name":"' || CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || ',"valid":true}' AS record
-FROM first f JOIN level l USING (call_id) LEFT JOIN deps d USING (call_id) LEFT JOIN answers a ON a.conv_id = f.conv_id AND a.turn = f.turn
+       coalesce(depends, '') AS depends, content IS NOT NULL AS answered, errors,
+       '{"arguments":' || CASE errors WHEN '' THEN '{"' || key || '":' || to_json(f.text)::VARCHAR || ',"words":' || n || '}' ELSE to_json(raw)::VARCHAR END
+         || ',"depends":[' || coalesce(quoted, '') || '],"id":"' || f.call_id || '","level":' || l.level
+         || ',"name":"' || CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END || '","result":' || coalesce(to_json(content)::VARCHAR, 'null')
+         || ',"valid":' || CASE errors WHEN '' THEN 'true' ELSE 'false' END || '}' AS record
+FROM judged f JOIN level l USING (call_id) LEFT JOIN deps d USING (call_id) LEFT JOIN answers a ON a.conv_id = f.conv_id AND a.turn = f.turn
 """

@@ -12,9 +12,10 @@ the join where one payload is hot.
 Reading: the data source ``warc`` plans partitions of whole files, accepts equality and
 ``In`` predicates on ``record_type`` and equality on the header columns ``page_id``,
 ``target_uri`` and ``payload_digest``, parses the header block first, and steps over the
-payload of a record that fails them. Without the column ``payload`` in the ``columns``
-option no payload is decoded at all. Files are opened through Arrow's file systems, a local
-or a remote path alike, and read in pieces: memory holds one record.
+payload of a record that fails them, by seeking if it isn't in the piece at hand. Without the
+column ``payload`` in the ``columns`` option no payload is decoded at all. Files are opened
+through Arrow's file systems, a local or a remote path alike, and read in pieces: memory
+holds one record. A file, which is one reading task, has about FILE_BYTES of payload.
 
 Defined cases: a null html is an empty payload; ``page_id`` null is written without the
 header and never is what others refer to unless all are null; rows equal in page_id and
@@ -36,8 +37,8 @@ from .common import materialize, maybe_broadcast, scratch_path, table, text_or_e
 LEAST = 1000
 END = "\r\n\r\n"
 SCHEMA = "page_id long, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload string"
-#: Bytes that the reader asks for at once, and rows of payload that go into one file at most.
-PIECE, FILE_ROWS = 1 << 20, 50_000
+#: Bytes that the reader asks for at once, and of payload for a file, by the mean size of pages.
+PIECE, FILE_BYTES = 1 << 20, 128 << 20
 
 
 def _header(lines: dict[str, Column]) -> Column:
@@ -69,8 +70,9 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """WARC files of at most FILE_ROWS records under ``path``."""
-    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    """WARC files of about FILE_BYTES at most under ``path``."""
+    rows, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_or_empty("html")).cast("long"))).first()
+    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", max(1, rows * FILE_BYTES // max(1, size or 0))).text(path)
 
 
 class _File(InputPartition):
@@ -114,34 +116,36 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         where, name = _files(partition.path)
-        with where.open_input_stream(name) as stream:
-            held = b""
-            while True:
-                while (end := held.find(b"\r\n\r\n")) < 0:
-                    more = stream.read(PIECE)
-                    if not more:
-                        if held.strip():
+        with where.open_input_file(name) as file:
+            size, at = file.size(), 0
+            piece, base = b"", 0  # a piece of the file and where it begins
+            while at < size:
+                end, want = piece.find(b"\r\n\r\n", at - base) if base <= at else -1, PIECE
+                while end < 0:
+                    file.seek(at)
+                    piece, base = file.read(want), at
+                    end, want = piece.find(b"\r\n\r\n"), want * 2
+                    if end < 0 and at + len(piece) >= size:
+                        if piece.strip():
                             raise ValueError(f"a record is cut off in {name}")
                         return
-                    held += more
-                head = self._parse(held[:end])
-                held = held[end + 4 :]
-                size = int(head["content-length"])
+                head = self._parse(piece[at - base : end])
+                body = base + end + 4
+                at = body + int(head["content-length"])
+                if at > size:
+                    raise ValueError(f"a payload is cut off in {name}")
                 row = self._row(head)
-                payload = [] if row is not None and "payload" in self.columns else None
-                left = size + len(END)  # the terminator follows the block
-                while left:
-                    if not held:
-                        held = stream.read(PIECE)
-                        if not held:
-                            raise ValueError(f"a payload is cut off in {name}")
-                    part, held = held[:left], held[left:]
-                    left -= len(part)
-                    if payload is not None:
-                        payload.append(part)
                 if row is not None:
-                    row["payload"] = None if payload is None else b"".join(payload)[:size].decode("utf-8", "surrogatepass")
+                    row["payload"] = None
+                    if "payload" in self.columns:
+                        if at <= base + len(piece):
+                            block = piece[body - base : at - base]
+                        else:
+                            file.seek(body)
+                            block = file.read(at - body)
+                        row["payload"] = block.decode("utf-8", "surrogatepass")
                     yield tuple(row[c] for c in self.columns)
+                at += len(END)  # the terminator follows the block
 
     @staticmethod
     def _parse(block: bytes) -> dict[str, str]:

@@ -95,6 +95,18 @@ def test_archives(spark, tmp_path):
     assert op8_warc.read(spark, path + "0").count() == 0
 
 
+def test_reader_in_small_pieces(spark, tmp_path, monkeypatch):
+    """Headers and payloads across the ends of pieces, and payloads that are stepped over."""
+    rows = [(k, f"http://a/{k}", words(r, k)) for k, r in enumerate([0, 1, 400, 3, 2000, 50, 0, 900])]
+    op8_warc.write(pages(spark, rows).coalesce(1), str(tmp_path / "w"))
+    for piece in (7, 64, 1000, 1 << 20):
+        monkeypatch.setattr(op8_warc, "PIECE", piece)
+        for columns in (["page_id", "payload"], ["page_id"]):
+            reader = op8_warc.WarcReader(str(tmp_path / "w"), columns)
+            got = [r for p in reader.partitions() for r in reader.read(p)]
+            assert sorted(got) == [(k, h) if "payload" in columns else (k,) for k, _, h in rows]
+
+
 def test_pushed_predicates():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
@@ -189,6 +201,21 @@ def test_linking(spark):
     assert got["b"].depends == ["a"] and not got["c"].answered
 
 
+def test_records_are_json(spark):
+    """Every record is read back by a JSON parser, whatever ids, keys, numbers and texts hold."""
+    import json
+
+    odd = 'a"b\\c\n\x00\x1f\u2028é'
+    schemas = {"t": {"s": ("string", False), "i": ("integer", False), "n": ("number", False), "b": ("boolean", False)}}
+    given = ['{"i": 1.0, "n": 1e2}', '{"n":0.5,"b":true,"s":' + json.dumps(odd) + "}", '{"i":1.5}', '{"s":1,"s":2}', odd, "[1]", "{}", '{"i":9007199254740993}', json.dumps({"s": "x" * 3_000_000})]
+    calls = spark.createDataFrame([(odd + str(k), "t", a, [odd + str(k - 1)]) for k, a in enumerate(given)], "call_id string, name string, arguments string, depends array<string>")
+    got = {r.call_id: (json.loads(r.record), r.record) for r in op6_chat.link(calls, spark.createDataFrame([(odd + "0", odd)], "call_id string, content string"), schemas).collect()}
+    args = [got[odd + str(k)][0]["arguments"] for k in range(len(given))]
+    assert args[:8] == [{"i": 1, "n": 100}, {"b": True, "n": 0.5, "s": odd}, *given[2:6], {}, {"i": 9007199254740993}] and args[8]["s"] == "x" * 3_000_000
+    assert '"arguments":{"i":1,"n":100}' in got[odd + "0"][1] and got[odd + "0"][0]["result"] == odd and got[odd + "1"][0]["depends"] == [odd + "0"]
+    assert [got[odd + str(k)][0]["valid"] for k in range(9)] == [True, True, False, False, False, False, True, True, True]
+
+
 def test_awkward_conversations(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, "user", None), (None, 0, "user", "x"), (1, None, "system", "y"), (2, 0, "tool", "z"), (2, 1, None, "w")]
     talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("call_id", F.lit("clash"))
