@@ -72,5 +72,36 @@ def ground(height: Column) -> Column:
     return F.struct(F.when(sea, "sea").otherwise("land").alias("kind"), clamp01(F.when(sea, -height / 6000.0).otherwise(height / 3500.0)).alias("t"))
 
 
+# Fixed values of the lit ground: the highlight's place and radius on the disc, the stop between its colours, colours as red, green, blue.
+FOCUS, INNER, STOP = (-0.25, 0.35), 0.05, 0.55
+SKY, HORIZON, GROUND = (0.431, 0.690, 1.000), (0.118, 0.361, 0.745), (0.020, 0.071, 0.204)
+LAND, LAND_HIGH = (0.322, 0.345, 0.365), (0.860, 0.880, 0.900)
+SEA_LIGHT, LAND_LIGHT = (1.30, 0.45), (1.30, 0.92, 0.30)
+
+
+def gradient(x: Column, y: Column) -> Column:
+    """How far a place of the unit disc lies from the highlight's edge (0) towards the limb (1), along the ray from the focus."""
+    dx, dy = x - FOCUS[0], y - FOCUS[1]
+    far = F.sqrt(dx * dx + dy * dy)
+    along = F.when(far > 0, (FOCUS[0] * dx + FOCUS[1] * dy) / far).otherwise(FOCUS[0])
+    limb = F.sqrt(F.greatest(F.lit(0.0), along * along + (1 - FOCUS[0] ** 2 - FOCUS[1] ** 2))) - along
+    return clamp01((far - INNER) / F.greatest(F.lit(1e-4), limb - INNER))
+
+
+def _ramp(t: Column, stops: tuple) -> Column:
+    """Three stops at 0, STOP and 1, linear between."""
+    a, b, c = stops
+    return F.when(t < STOP, a + (b - a) * (t / STOP)).otherwise(b + (c - b) * ((t - STOP) / (1 - STOP)))
+
+
+def ground_colour(height: Column, x: Column, y: Column) -> Column:
+    """``struct(r, g, b)`` from 0 to 1 and above: the sea takes the gradient's colour, darker with depth; land its brightness only."""
+    t, where = gradient(x, y), ground(height)
+    dim = SEA_LIGHT[0] + (SEA_LIGHT[1] - SEA_LIGHT[0]) * where["t"]
+    sea = [_ramp(t, stops) * dim for stops in zip(SKY, HORIZON, GROUND)]
+    land = [(low + (high - low) * where["t"]) * _ramp(t, LAND_LIGHT) for low, high in zip(LAND, LAND_HIGH)]
+    return F.struct(*(F.when(where["kind"] == "sea", s).otherwise(v).alias(n) for s, v, n in zip(sea, land, "rgb")))
+
+
 def tinted(under: Column, tint: Column, strength: Column) -> Column:
     return under + (tint - under) * strength

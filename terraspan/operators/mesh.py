@@ -13,6 +13,7 @@ from ..storage import materialize
 #: How deep chunks and the mesh are, the level aimed for, pixels at which a triangle splits, weight of depth.
 CHUNK_LEVEL, MESH_LEVEL, TARGET_LEVEL, UNBUILT = 2, 9, 2, -2
 SPLIT_PIXELS, FORESHORTEN, STITCH_DEPTH = 16, 0.25, 4
+# The octahedron's corners and faces; their order defines the chunks' ids.
 AXES = [(0, 1, 0), (0, -1, 0), (0, 0, 1), (1, 0, 0), (0, 0, -1), (-1, 0, 0)]
 FACES = [(0, 2, 3), (0, 3, 4), (0, 4, 5), (0, 5, 2), (1, 3, 2), (1, 4, 3), (1, 5, 4), (1, 2, 5)]
 TRIANGLE = "a struct<x:double,y:double,z:double>, b struct<x:double,y:double,z:double>, c struct<x:double,y:double,z:double>"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.numbers import clamp, round_up
+from . import raster, tracks
 
 #: Padding of a label box, line height, least visible alpha, light direction and share, steps of shading.
 PADDING, LINE, FAINT = 2, 1.2, 0.02
@@ -69,6 +70,36 @@ def anchor_radius(kind: Column, altitude_km: Column, metres: Column, exaggeratio
     return F.when(kind == "surface", base + F.coalesce(metres, F.lit(0.0)) / (geo.EARTH_RADIUS_KM * 1000) * exaggeration).otherwise(base)
 
 
+def _at(lon: Column, lat: Column, radius: Column) -> list[Column]:
+    return [(c * radius).alias(n) for n, c in zip("xyz", geo.to_unit(lon, lat))]
+
+
+def tracking(feed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Adds ``x, y, z`` in globe radii to ``(anchor_id, query_id, time)``: where a label or model is that follows a position feed.
+
+    The feed is ``(anchor_id, at, lon, lat, altitude_km)``; its latest position holds, and the first one before it begins.
+    Anchors without a feed have nulls. The as-of lookup is that of ``tracks``: a union and windows, no join on times.
+    """
+    frames = feed.select(F.col("anchor_id").alias("series_id"), F.col("at").cast("double").alias("at"), F.struct("lon", "lat", "altitude_km").alias("value"))
+    asks = asked.select(F.col("anchor_id").alias("series_id"), "query_id", "time")
+    got = tracks.sample(frames, asks)
+    place = F.col("a")
+    radius = anchor_radius(F.lit("air"), place["altitude_km"], F.lit(0.0), 0.0)
+    return got.select(F.col("series_id").alias("anchor_id"), "query_id", "time", *_at(place["lon"], place["lat"], radius))
+
+
+def on_terrain(anchors: DataFrame, stored: DataFrame, level: int, exaggeration: float, tile: int = raster.TILE) -> DataFrame:
+    """Adds ``answered, x, y, z`` to anchors ``(anchor_id, lon, lat, altitude_km)`` that stand on the terrain as it is displaced.
+
+    The finest level up to ``level`` that holds the place's tile answers (see ``raster.sample_heights``); without any the
+    globe is smooth there.
+    """
+    points = anchors.select(F.col("anchor_id").alias("point_id"), ((F.col("lon") + 180) / 360).alias("u"), ((90 - F.col("lat")) / 180).alias("v"))
+    heights = raster.sample_heights(points, stored, level, tile).select(F.col("point_id").alias("anchor_id"), "height", "answered")
+    radius = anchor_radius(F.lit("surface"), F.col("altitude_km"), F.col("height"), exaggeration)
+    return anchors.join(heights, "anchor_id").select(*anchors.columns, "answered", *_at(F.col("lon"), F.col("lat"), radius))
+
+
 def box_model(spark: SparkSession, name: str, centre: tuple, size: tuple, colour: tuple) -> tuple[DataFrame, DataFrame]:
     """``(vertices, faces)`` of a box: 8 corners, 12 triangles in one colour."""
     i = F.col("i")

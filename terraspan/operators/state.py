@@ -2,13 +2,16 @@
 
 A log is ``(session, at, seq, ...)``; a session's events are ordered by (at, seq) and sessions
 are what is distributed. Sequential rules (clamped sums, windows that open where the last one
-closed) are folds over a session's sorted array; the others are windows.
+closed) read a session's events as a sorted stream and hold one state, so a session's length
+costs time but no memory; the others are windows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,37 +52,62 @@ def published(log: DataFrame) -> DataFrame:
     return changes(shown, ["triangles", "frame_ms", "lon", "lat"])
 
 
+def folded(log: DataFrame, columns: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
+    """``step(state, values)`` over each session's events in the order of ``columns``; it returns the next state and a row to emit or None.
+
+    Sessions are dealt by a shuffle and sorted (on disk where they are long); a task holds one state and one batch.
+    """
+    given = log.select("session", *columns).repartition("session").sortWithinPartitions("session", *columns)
+    full = f"session {log.schema['session'].dataType.simpleString()}, {schema}"
+    empty = log.sparkSession.createDataFrame([], full)
+    kinds = [pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in empty.schema.fields[1:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state = run, None  # no session equals this function
+        for b in batches:
+            out = []
+            for who, *values in zip(*(c.to_pylist() for c in b.columns)):
+                if who != session:
+                    session, state = who, start()
+                state, row = step(state, values)
+                if row is not None:
+                    out.append((who, *row))
+            if out:
+                cells = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(next(cells), b.column(0).type), *(pa.array(c, f.type) for c, f in zip(cells, kinds))], names=["session", *(f.name for f in kinds)])
+
+    return given.mapInArrow(run, full)
+
+
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _reduced(s: dict, event: list) -> tuple[dict, list]:
+    _, seq, act, a, b = event
+    new = dict(s)
+    if act == "rotate" and a is not None and b is not None:
+        new |= {"lon": math.fmod(s["lon"] + a, 2 * math.pi), "lat": min(math.pi / 2, max(-math.pi / 2, s["lat"] + b))}
+    elif act == "zoom" and a is not None:
+        new["zoom"] = min(ZOOM[1], max(ZOOM[0], s["zoom"] * a))
+    elif act == "exaggerate" and a is not None:
+        new["exaggeration"] = min(MAX_EXAGGERATION, max(0.0, a))
+    elif act in ("outlines", "overlay"):
+        new[act] = not s[act]
+    elif act == "reset":
+        new = dict(INITIAL)
+    return new, [seq, *new.values()]
+
+
 def reduce_states(log: DataFrame) -> DataFrame:
     """``(session, seq, lon, lat, zoom, outlines, overlay, exaggeration)`` after each event ``(session, at, seq, action, a, b)``.
 
     Actions: ``rotate`` by a and b (longitude keeps its remainder's sign, latitude is clamped to the
     poles), ``zoom`` by factor a, ``exaggerate`` to a, ``outlines`` and ``overlay`` toggle, ``reset``.
-    Others change nothing.
+    Others, and those that lack their amount, change nothing.
     """
-    first = F.struct(*(F.lit(v).alias(n) for n, v in INITIAL.items()))
-    event = F.struct("at", "seq", "action", "a", "b")
-    listed = log.groupBy("session").agg(F.array_sort(F.collect_list(event)).alias("_e"))
-
-    def step(s: Column, e: Column) -> Column:
-        act, now = e["action"], s["now"]
-        fresh = {
-            "lon": F.when(act == "rotate", (now["lon"] + e["a"]) % (2 * math.pi)).otherwise(now["lon"]),
-            "lat": F.when(act == "rotate", clamp(now["lat"] + e["b"], -math.pi / 2, math.pi / 2)).otherwise(now["lat"]),
-            "zoom": F.when(act == "zoom", clamp(now["zoom"] * e["a"], *ZOOM)).otherwise(now["zoom"]),
-            "outlines": F.when(act == "outlines", ~now["outlines"]).otherwise(now["outlines"]),
-            "overlay": F.when(act == "overlay", ~now["overlay"]).otherwise(now["overlay"]),
-            "exaggeration": F.when(act == "exaggerate", clamp(e["a"], 0.0, MAX_EXAGGERATION)).otherwise(now["exaggeration"]),
-        }
-        after = F.when(act == "reset", first).otherwise(F.struct(*(c.alias(n) for n, c in fresh.items())))
-        return F.struct(after.alias("now"), F.concat(s["all"], F.array(F.struct(e["seq"].alias("seq"), after.alias("s")))).alias("all"))
-
-    kind = f"struct<now:{_STATE},all:array<struct<seq:bigint,s:{_STATE}>>>"
-    start = F.struct(first.alias("now"), F.array().cast(f"array<struct<seq:bigint,s:{_STATE}>>").alias("all")).cast(kind)
-    done = listed.select("session", F.explode(F.aggregate("_e", start, lambda s, e: step(s, e).cast(kind), lambda s: s["all"])).alias("r"))
-    return done.select("session", F.col("r.seq").alias("seq"), "r.s.*")
-
-
-_STATE = "struct<lon:double,lat:double,zoom:double,outlines:boolean,overlay:boolean,exaggeration:double>"
+    schema = "seq bigint, lon double, lat double, zoom double, outlines boolean, overlay boolean, exaggeration double"
+    typed = log.select("session", "at", F.col("seq").cast("bigint").alias("seq"), "action", *(F.col(c).cast("double").alias(c) for c in "ab"))
+    return folded(typed, ["at", "seq", "action", "a", "b"], schema, lambda: dict(INITIAL), _reduced)
 
 
 def clock(frames: DataFrame) -> DataFrame:
@@ -89,28 +117,24 @@ def clock(frames: DataFrame) -> DataFrame:
     return frames.withColumn("delta", delta).withColumn("elapsed", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _closed(s: tuple | None, frame: list) -> tuple[tuple, list | None]:
+    at, _, draw_ms = frame
+    if s is None:  # the first frame opens the window and is no frame of it
+        return (at, 0, 0.0), None
+    start, n, draw = s[0], s[1] + 1, s[2] + draw_ms
+    if at - start < WINDOW_MS:
+        return (start, n, draw), None
+    return (at, 0, 0.0), [at, n * 1000.0 / (at - start), draw / n]
+
+
 def performance(frames: DataFrame) -> DataFrame:
     """``(session, closed, fps, draw_ms)`` of frames ``(session, at, seq, draw_ms)``, times in milliseconds.
 
     A window opens where the last one closed, first at the session's first frame, and closes with
     the first frame that is at least 250 ms later; its length is what it really took.
     """
-    listed = frames.groupBy("session").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "seq", F.col("draw_ms").cast("double").alias("draw_ms")))).alias("_f"))
-    kind = "struct<start:bigint,n:bigint,draw:double,out:array<struct<closed:bigint,fps:double,draw_ms:double>>>"
-
-    def step(s: Column, f: Column) -> Column:
-        n, draw, long = s["n"] + 1, s["draw"] + f["draw_ms"], f["at"] - s["start"]
-        closed = F.struct(f["at"].alias("closed"), (n * 1000.0 / long).alias("fps"), (draw / n).alias("draw_ms"))
-        ends = long >= WINDOW_MS
-        return F.struct(
-            F.when(ends, f["at"]).otherwise(s["start"]).alias("start"), F.when(ends, 0).otherwise(n).cast("long").alias("n"), F.when(ends, 0.0).otherwise(draw).alias("draw"),
-            F.when(ends, F.concat(s["out"], F.array(closed))).otherwise(s["out"]).alias("out"),
-        ).cast(kind)
-
-    start = F.struct(F.element_at("_f", 1)["at"].alias("start"), F.lit(0).alias("n"), F.lit(0.0).alias("draw"), F.array().cast("array<struct<closed:bigint,fps:double,draw_ms:double>>").alias("out")).cast(kind)
-    # the first frame opens the window and is no frame of it
-    done = listed.select("session", F.explode(F.aggregate(F.slice("_f", 2, F.greatest(F.size("_f") - 1, F.lit(0))), start, step, lambda s: s["out"])).alias("w"))
-    return done.select("session", "w.closed", "w.fps", "w.draw_ms")
+    typed = frames.select("session", F.col("at").cast("bigint").alias("at"), "seq", F.coalesce(F.col("draw_ms").cast("double"), F.lit(0.0)).alias("draw_ms"))
+    return folded(typed, ["at", "seq", "draw_ms"], "closed bigint, fps double, draw_ms double", lambda: None, _closed)
 
 
 def handover(frames: DataFrame) -> DataFrame:

@@ -27,15 +27,19 @@ SOUTH = ([[(-36, -12, -31, -19)]], [[(-36, -12, -31, -26)]])
 PHASE = [(0.0, 0.0), (6.0, 1.0)]
 
 
+#: The weather: a mean, a slope from south to north, and travelling waves, each ``(degrees, waves eastward, waves northward, turns a loop, phase)``
+#: over the area. Whole turns make the last frame lead back into the first.
+MEAN, SLOPE = 14.0, -16.0
+WAVES = [(6.0, 0.75, 0.5, 1, 0.0), (3.5, 1.5, -1.0, 1, 0.35), (2.0, 2.25, 1.5, 2, 0.6), (1.25, -3.5, 2.0, 1, 0.15), (0.75, 5.0, 4.5, 3, 0.8)]
+
+
 def forecast(spark: SparkSession, frame: int) -> DataFrame:
-    """``(y, x, v)`` of one of the loop's frames: sunlight, a sweeping front, eddies, the sea's and the land's share."""
-    front = frame / FRAMES * 2 * math.pi
+    """``(y, x, v)`` of one of the loop's frames."""
+    west, east, south, north = (math.radians(d) for d in FORECAST)
 
     def degrees(lon, lat):
-        across = lat * 1.6 - lon * 0.5 - 0.55 + math.sin(front) * 0.7
-        coast = F.exp(-F.pow((lon + 0.15) * 2.2, F.lit(2.0)))
-        eddies = 3 * F.sin(lon * 6 + lat * 3 - front) + 2 * F.sin(lat * 7 - lon * 2 + front * 2)
-        return 26 - 34 * (lat - 0.52) + -9 * F.tanh(across * 4) + eddies + 4 * coast + 5 * math.sin(front) * (1 - coast)
+        u, v = (lon - west) / (east - west), (lat - south) / (north - south)
+        return sum((F.sin((u * k + v * m - frame / FRAMES * turns + phase) * (2 * math.pi)) * a for a, k, m, turns, phase in WAVES), MEAN + (v - 0.5) * SLOPE)
 
     return fields.field(spark, *SIZE, *RANGE, degrees, FORECAST)
 
@@ -136,16 +140,43 @@ def q_phase(spark, sf_dir):
     return out.select("query_id", micro(F.col("value")).alias("value"))
 
 
-QUERIES = {"demo_scene": q_scene, "demo_forecast": q_forecast, "demo_forecast_ramp": q_forecast_ramp, "demo_phase": q_phase}
+def playback(spark: SparkSession, spine: DataFrame) -> DataFrame:
+    """What every layer that moves shows at the times ``(query_id, time)`` in seconds: ``query_id, a, b, mix, phase, orbit_id, angle``.
+
+    The frames around the time and their mix, the borders' share of the way, and each orbit's angle at the scene's faster time.
+    """
+    ask = spine.select(F.lit(0).alias("series_id"), "query_id", F.col("time").cast("double").alias("time"))
+    frames = spark.createDataFrame([(0, k * FRAME_S, k) for k in range(FRAMES)], "series_id int, at double, value int")
+    weather = tracks.sample(frames, ask, loop=True, duration=FRAMES * FRAME_S).select("query_id", "time", "a", "b", "mix")
+    steps = spark.createDataFrame([(0, a, v) for a, v in PHASE], "series_id int, at double, value double")
+    borders = tracks.interpolated(tracks.sample(steps, ask, loop=True, duration=12.0, ease=smoothstep)).select("query_id", F.col("value").alias("share"))
+    each = F.array(*(F.struct(F.lit(o[0]).alias("orbit_id"), F.lit(o[4]).alias("period"), F.lit(o[5]).cast("double").alias("phase")) for o in ORBITS))
+    turned = weather.join(borders, "query_id").withColumn("o", F.explode(each)).select("query_id", "time", "a", "b", "mix", "share", "o.*")
+    return turned.select("query_id", "a", "b", "mix", F.col("share").alias("phase"), "orbit_id", orbits.angle_at(F.col("time") * TIME_SCALE).alias("angle"))
+
+
+def q_playback(spark, sf_dir):
+    """The scene's minute in quarter seconds."""
+    out = playback(spark, spark.range(240).select(F.col("id").alias("query_id"), (F.col("id") / 4.0).alias("time")))
+    return out.select("query_id", "a", "b", micro(F.col("mix")).alias("mix"), micro(F.col("phase")).alias("phase"), "orbit_id", micro(F.cos(F.radians("angle"))).alias("c"), micro(F.sin(F.radians("angle"))).alias("s"))
+
+
+QUERIES = {"demo_playback": q_playback, "demo_scene": q_scene, "demo_forecast": q_forecast, "demo_forecast_ramp": q_forecast_ramp, "demo_phase": q_phase}
 STOPS = ", ".join(f"({k}, {a}::DOUBLE, {r}::DOUBLE, {g}::DOUBLE, {b}::DOUBLE, {alpha}::DOUBLE)" for k, (a, r, g, b, alpha) in enumerate(TEMPERATURE))
 SQL = {
-    "demo_forecast": """WITH c AS (SELECT f, y, x, -22.0::DOUBLE * (pi() / 180) + (x + 0.5::DOUBLE) / 256 * (56.0::DOUBLE * (pi() / 180)) AS lo, 64.0::DOUBLE * (pi() / 180) - (y + 0.5::DOUBLE) / 128 * (34.0::DOUBLE * (pi() / 180)) AS la, f / 8.0::DOUBLE * 2 * pi() AS p FROM range(8) a(f), range(128) b(y), range(256) d(x)),
-k AS (SELECT *, exp(-pow((lo + 0.15::DOUBLE) * 2.2::DOUBLE, 2)) AS coast, (la * 1.6::DOUBLE - lo * 0.5::DOUBLE - 0.55::DOUBLE + sin(p) * 0.7::DOUBLE) * 4 AS across FROM c),
-d AS (SELECT *, 26 - 34 * (la - 0.52::DOUBLE) + -9 * tanh(across) + (3 * sin(lo * 6 + la * 3 - p) + 2 * sin(la * 7 - lo * 2 + p * 2)) + 4 * coast + 5 * sin(p) * (1 - coast) AS t FROM k)
+    "demo_forecast": f"""WITH c AS (SELECT f, y, x, -22.0::DOUBLE * (pi() / 180) + (x + 0.5::DOUBLE) / 256 * (56.0::DOUBLE * (pi() / 180)) AS lo, 64.0::DOUBLE * (pi() / 180) - (y + 0.5::DOUBLE) / 128 * (34.0::DOUBLE * (pi() / 180)) AS la FROM range({FRAMES}) a(f), range(128) b(y), range(256) d(x)),
+k AS (SELECT *, (lo - radians(-22.0::DOUBLE)) / (radians(34.0::DOUBLE) - radians(-22.0::DOUBLE)) AS u, (la - radians(30.0::DOUBLE)) / (radians(64.0::DOUBLE) - radians(30.0::DOUBLE)) AS v FROM c),
+d AS (SELECT *, {MEAN}::DOUBLE + (v - 0.5::DOUBLE) * {SLOPE}::DOUBLE + {" + ".join(f"sin((u * {k}::DOUBLE + v * {m}::DOUBLE - f / {FRAMES}.0::DOUBLE * {turns} + {phase}::DOUBLE) * (2 * pi())) * {a}::DOUBLE" for a, k, m, turns, phase in WAVES)} AS t FROM k)
 SELECT f::INTEGER AS frame, y::INTEGER AS y, x::INTEGER AS x, CAST(floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (t - -15.0::DOUBLE) / 50.0::DOUBLE)) * 255 + 0.5) AS INTEGER) AS v FROM d""",
     "demo_forecast_ramp": f"""WITH s AS (SELECT *, lead(a) OVER (ORDER BY k) AS a2, lead(r) OVER (ORDER BY k) AS r2, lead(g) OVER (ORDER BY k) AS g2, lead(b) OVER (ORDER BY k) AS b2, lead(al) OVER (ORDER BY k) AS al2 FROM (VALUES {STOPS}) v(k, a, r, g, b, al)),
 p AS (SELECT s.*, n, (n / 255.0::DOUBLE - a) / (a2 - a) AS t FROM s JOIN range(256) q(n) ON a2 IS NOT NULL AND n / 255.0::DOUBLE >= a AND (n / 255.0::DOUBLE < a2 OR k = 4))
 SELECT 0 AS palette_id, n::INTEGER AS n, {', '.join(f'CAST(floor({c} + ({c}2 - {c}) * t + 0.5) AS INTEGER) AS {c}' for c in 'rgb')}, CAST(floor((al + (al2 - al) * t) * 255 + 0.5) AS INTEGER) AS a FROM p""",
+    "demo_playback": f"""WITH q AS (SELECT n AS query_id, n / 4.0::DOUBLE AS t FROM range(240) r(n)), u AS (SELECT *, fmod(t, {FRAMES * FRAME_S}::DOUBLE) / {FRAME_S}::DOUBLE AS f, fmod(t, 12.0::DOUBLE) AS w FROM q),
+e AS (SELECT *, CASE WHEN w < 6 THEN w / 6 ELSE (w - 6) / 6 END AS h FROM u),
+o AS (SELECT * FROM (VALUES {", ".join(f"({o[0]}, {o[4]}::DOUBLE, {o[5] or 0.0}::DOUBLE)" for o in ORBITS)}) v(orbit_id, period, phase)),
+j AS (SELECT e.*, o.orbit_id, o.phase + 360 * (t * {TIME_SCALE}) / o.period AS angle, CASE WHEN w < 6 THEN h * h * (3 - 2 * h) ELSE 1 - h * h * (3 - 2 * h) END AS share FROM e, o)
+SELECT query_id, CAST(floor(f) AS INTEGER) AS a, CAST(floor(f) + 1 AS INTEGER) % {FRAMES} AS b, CAST(floor((f - floor(f)) * 1e6 + 0.5) AS BIGINT) AS mix, CAST(floor(share * 1e6 + 0.5) AS BIGINT) AS phase, orbit_id::INTEGER AS orbit_id,
+  CAST(floor(cos(radians(angle)) * 1e6 + 0.5) AS BIGINT) AS c, CAST(floor(sin(radians(angle)) * 1e6 + 0.5) AS BIGINT) AS s FROM j""",
     "demo_phase": """WITH t AS (SELECT n AS query_id, fmod(n / 4.0::DOUBLE, 12.0::DOUBLE) AS t FROM range(97) q(n)), u AS (SELECT *, CASE WHEN t < 6 THEN t / 6 ELSE (t - 6) / 6 END AS u FROM t), e AS (SELECT *, u * u * (3 - 2 * u) AS e FROM u)
 SELECT query_id, CAST(floor(CASE WHEN t < 6 THEN e ELSE 1 - e END * 1e6 + 0.5) AS BIGINT) AS value FROM e""",
 }

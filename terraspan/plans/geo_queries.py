@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.numbers import clamp, micro, smoothstep
-from ..operators import curves, fields, orbits, tracks
+from ..operators import curves, fields, orbits, scene, tracks
 from .raster_queries import read
 
 CAM = geo.globe_camera(800, 600, 1.25, 0.4, 0.35)
@@ -255,6 +255,40 @@ def q_ground(spark, sf_dir):
     return p.select("id", F.col("g.kind").alias("kind"), micro(F.col("g.t")).alias("t"))
 
 
+def q_ground_colour(spark, sf_dir):
+    k = F.col("id")
+    p = places(spark, sf_dir).withColumn("g", fields.ground_colour(k * 11.0 - 8000, ((k * 37) % 200 - 100) / 142.0, ((k * 53) % 200 - 100) / 142.0))
+    return p.select("id", *(micro(F.col(f"g.{c}")).alias(c) for c in "rgb"))
+
+
+def ground_colour_sql() -> str:
+    """The lit ground of places on the disc."""
+    fx, fy = fields.FOCUS
+    ramp = lambda a, b, c: f"CASE WHEN t < {fields.STOP}::DOUBLE THEN {a}::DOUBLE + ({b}::DOUBLE - {a}::DOUBLE) * (t / {fields.STOP}::DOUBLE) ELSE {b}::DOUBLE + ({c}::DOUBLE - {b}::DOUBLE) * ((t - {fields.STOP}::DOUBLE) / (1 - {fields.STOP}::DOUBLE)) END"
+    sea = [f"({ramp(*stops)}) * ({fields.SEA_LIGHT[0]}::DOUBLE + {fields.SEA_LIGHT[1] - fields.SEA_LIGHT[0]}::DOUBLE * w)" for stops in zip(fields.SKY, fields.HORIZON, fields.GROUND)]
+    land = [f"({low}::DOUBLE + {high - low}::DOUBLE * w) * ({ramp(*fields.LAND_LIGHT)})" for low, high in zip(fields.LAND, fields.LAND_HIGH)]
+    return f"""WITH p AS (SELECT c_custkey AS id, c_custkey * 11.0::DOUBLE - 8000 AS h, ((c_custkey * 37) % 200 - 100) / 142.0::DOUBLE - {fx}::DOUBLE AS dx, ((c_custkey * 53) % 200 - 100) / 142.0::DOUBLE - {fy}::DOUBLE AS dy FROM customer),
+f AS (SELECT *, sqrt(dx * dx + dy * dy) AS far FROM p), a AS (SELECT *, CASE WHEN far > 0 THEN ({fx}::DOUBLE * dx + {fy}::DOUBLE * dy) / far ELSE {fx}::DOUBLE END AS along FROM f),
+l AS (SELECT *, sqrt(greatest(0.0::DOUBLE, along * along + {1 - fx**2 - fy**2}::DOUBLE)) - along AS limb FROM a),
+g AS (SELECT id, h, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (far - {fields.INNER}::DOUBLE) / greatest(1e-4::DOUBLE, limb - {fields.INNER}::DOUBLE))) AS t,
+  least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN h < 0 THEN -h / 6000.0::DOUBLE ELSE h / 3500.0::DOUBLE END)) AS w FROM l)
+SELECT id, {", ".join(M(f"CASE WHEN h < 0 THEN {s} ELSE {v} END") + f" AS {n}" for s, v, n in zip(sea, land, "rgb"))} FROM g"""
+
+
+def q_tracking(spark, sf_dir):
+    """Anchors that follow a user's purchases, asked at the user's views."""
+    e, v = frames(spark, sf_dir), F.col("value")
+    feed = e.filter("event_type = 'purchase'").select(F.col("series_id").alias("anchor_id"), "at", ((v * 3) % 360.0 - 180).alias("lon"), (v % 160.0 - 80).alias("lat"), v.alias("altitude_km"))
+    asked = e.filter("event_type = 'view'").select(F.col("series_id").alias("anchor_id"), F.col("event_id").alias("query_id"), F.col("at").alias("time"))
+    return quantised(scene.tracking(feed, asked), "x", "y", "z").drop("time")
+
+
+TRACKING = """WITH e AS (SELECT event_id, event_type, user_id AS s, epoch_us(ts) / 1e6::DOUBLE - 1704067200 AS t, value FROM events),
+j AS (SELECT q.s AS anchor_id, q.event_id AS query_id, coalesce(arg_max(f.value, f.t) FILTER (f.t <= q.t), arg_min(f.value, f.t)) AS value
+  FROM e q LEFT JOIN e f ON f.s = q.s AND f.event_type = 'purchase' WHERE q.event_type = 'view' GROUP BY ALL),
+p AS (SELECT anchor_id, query_id, (fmod(value * 3, 360.0::DOUBLE) - 180) * (pi() / 180) AS lon, (fmod(value, 160.0::DOUBLE) - 80) * (pi() / 180) AS lat, 1 + value / 6371.0::DOUBLE AS r FROM j)"""
+
+
 def ring_points(spark, sf_dir) -> DataFrame:
     """A ring per nation: its customers in turn around a centre, at uneven distances; odd nations run backwards; some points repeat."""
     c = read(spark, sf_dir, "customer")
@@ -347,7 +381,7 @@ def q_readings(spark, sf_dir):
 QUERIES = {
     "geo_places": q_places, "geo_project": q_project, "geo_hemisphere": q_hemisphere, "geo_unproject": q_unproject, "geo_displace": q_displace, "geo_geodesic": q_geodesic, "geo_geodesic_ring": q_geodesic_ring,
     "geo_small_circles": q_small_circles, "geo_graticule": q_graticule, "orbit_positions": q_orbit_positions, "orbit_rings": q_orbit_rings, "orbit_ground_tracks": q_ground_tracks, "orbit_trails": q_trails,
-    "track_hold": q_track_hold, "track_loop": q_track_loop, "field_quantise": q_field, "field_palette": q_palette, "field_overlay": q_overlay, "field_ground": q_ground, "ring_clean": q_clean_rings,
+    "track_hold": q_track_hold, "track_loop": q_track_loop, "field_quantise": q_field, "field_palette": q_palette, "field_overlay": q_overlay, "field_ground": q_ground, "field_ground_colour": q_ground_colour, "anchor_tracking": q_tracking, "ring_clean": q_clean_rings,
     "ring_counts": q_ring_counts, "ring_measures": q_ring_measures, "ring_orient": q_orient_rings, "clip_globe": q_clip, "clip_space": q_clip_space, "clip_rings": q_clip_rings, "text_readings": q_readings,
 }
 
@@ -382,6 +416,8 @@ SELECT orbit_id, i::INTEGER AS i, {M('now - trail * (i + 1) / steps')} AS "from"
     "field_quantise": f"WITH {field_sql(0.25, 'f')} SELECT * FROM f",
     "field_palette": f"WITH {PALETTE} SELECT * FROM ramp",
     "field_overlay": OVERLAY,
+    "field_ground_colour": ground_colour_sql(),
+    "anchor_tracking": f"{TRACKING} SELECT anchor_id, query_id, {M('cos(lat) * sin(lon) * r')} AS x, {M('sin(lat) * r')} AS y, {M('cos(lat) * cos(lon) * r')} AS z FROM p",
     "field_ground": f"WITH h AS (SELECT c_custkey AS id, c_custkey * 11.0::DOUBLE - 8000 AS h FROM customer) SELECT id, CASE WHEN h < 0 THEN 'sea' ELSE 'land' END AS kind, {M('least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN h < 0 THEN -h / 6000.0::DOUBLE ELSE h / 3500.0::DOUBLE END))')} AS t FROM h",
     "ring_clean": f"WITH {CLEAN} SELECT ring_id // 2 AS polygon_id, ring_id, idx, {M('lon')} AS lon, {M('lat')} AS lat FROM kept",
     "ring_counts": f"WITH {CLEAN} SELECT count(DISTINCT ring_id // 2) AS polygons, count(DISTINCT ring_id) AS rings, count(*) AS points FROM kept",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import micro
-from ..operators import raster, tiles
+from ..operators import raster, scene, tiles
 
 SOURCE, FINE, T = (96, 48), (64, 32), 8
 
@@ -147,6 +147,24 @@ FROM points p LEFT JOIN out o USING (point_id)
 """.replace("), at AS (", "), spot AS (").replace("FROM at b", "FROM spot b")
 
 
+def q_anchor_terrain(spark, sf_dir):
+    """Models that stand on the displaced terrain, some where only coarse tiles or none are resident."""
+    k = F.col("c_custkey")
+    anchors = read(spark, sf_dir, "customer").select(k.alias("anchor_id"), ((k * 37) % 3600 / 10.0 - 180).alias("lon"), ((k * 91) % 1700 / 10.0 - 85).alias("lat"), ((k % 3) * 10.0).alias("altitude_km"))
+    resident = stored(spark, sf_dir).filter("not (z = 1 and (tx + ty) % 3 = 0) and not (z = 0 and tx = 2)")
+    out = scene.on_terrain(anchors, resident, 1, 30.0, T)
+    return out.select("anchor_id", F.col("answered").cast("int").alias("answered"), *(micro(F.col(c)).alias(c) for c in "xyz"))
+
+
+ANCHORS = "points AS (SELECT *, (lon + 180) / 360 AS u, (90 - lat) / 180 AS v FROM (SELECT c_custkey AS point_id, (c_custkey * 37) % 3600 / 10.0::DOUBLE - 180 AS lon, (c_custkey * 91) % 1700 / 10.0::DOUBLE - 85 AS lat, (c_custkey % 3) * 10.0::DOUBLE AS altitude FROM customer))"
+ANCHORED = SAMPLED[: SAMPLED.index("SELECT p.point_id")].replace(POINTS, ANCHORS) + """, r AS (
+  SELECT p.point_id, coalesce(o.z, -1) AS answered, lon * (pi() / 180) AS lon, lat * (pi() / 180) AS lat, 1 + altitude / 6371 + coalesce(height, 0) / 6371000 * 30 AS r FROM points p LEFT JOIN out o USING (point_id)
+)
+SELECT point_id AS anchor_id, answered::INTEGER AS answered, CAST(floor(cos(lat) * sin(lon) * r * 1e6 + 0.5) AS BIGINT) AS x, CAST(floor(sin(lat) * r * 1e6 + 0.5) AS BIGINT) AS y,
+       CAST(floor(cos(lat) * cos(lon) * r * 1e6 + 0.5) AS BIGINT) AS z FROM r
+"""
+
+
 def q_tile_ids(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("z", F.col("point_id") % 4)
     z, u, v = F.col("z"), F.col("u"), F.col("v")
@@ -234,7 +252,7 @@ def q_transfers(spark, sf_dir):
 
 QUERIES = {
     "raster_pyramid": q_raster_pyramid, "raster_box_average": q_box_average, "raster_peak": q_peak, "raster_predict": q_predict, "raster_cut_tiles": q_cut_tiles, "raster_codec": q_encode,
-    "raster_sample_heights": q_sample_heights, "tile_ids": q_tile_ids, "tile_offsets": q_offsets, "tile_runs": q_runs, "tile_next_runs": q_next_runs, "tile_evict": q_evict,
+    "raster_sample_heights": q_sample_heights, "anchor_terrain": q_anchor_terrain, "tile_ids": q_tile_ids, "tile_offsets": q_offsets, "tile_runs": q_runs, "tile_next_runs": q_next_runs, "tile_evict": q_evict,
     "tile_evict_fields": q_evict_fields, "tile_ladder": q_ladder, "tile_asks": q_asks, "tile_transfers": q_transfers,
 }
 
@@ -250,6 +268,7 @@ SELECT z::INTEGER AS z, y // 8 AS ty, x // 8 AS tx, least(65535, max(abs(h - pre
 SELECT a.z::INTEGER AS z, a.ty, a.tx, a.r, a.c, ((((a.h - coalesce(b.h, 0)) * 3 + 32768) % 65536 + 65536) % 65536 - 32768) AS residual, true AS same
 FROM stored a LEFT JOIN stored b ON b.z = a.z AND b.ty = a.ty AND b.tx = a.tx AND ((a.c > 0 AND b.r = a.r AND b.c = a.c - 1) OR (a.c = 0 AND b.c = 0 AND b.r = a.r - 1))""",
     "raster_sample_heights": SAMPLED,
+    "anchor_terrain": ANCHORED,
     "tile_ids": f"""WITH {POINTS}, l AS (SELECT *, point_id % 4 AS z, CAST(4 * pow(2, point_id % 4) AS BIGINT) AS across FROM points),
 t AS (SELECT *, least(across - 1, greatest(0, CAST(floor((u - floor(u)) * across) AS BIGINT))) AS tx, least(across // 2 - 1, greatest(0, CAST(floor(v * (across // 2)) AS BIGINT))) AS ty FROM l)
 SELECT point_id, z, tx, ty, CAST(8 * (pow(4, z) - 1) / 3 AS BIGINT) + ty * across + tx AS id, CAST(floor(((u - floor(u)) * (across * 128) - 0.5::DOUBLE - tx * 128 + 1) * 1e6 + 0.5) AS BIGINT) AS fx,
