@@ -145,7 +145,7 @@ def test_codecs():
 def test_media_round_trip(monkeypatch, text):
     n, payload = op4_telephony.payload_of(text)
     media = op4_telephony.wav(payload)
-    got = op4_telephony.features_of(media)
+    got = op4_telephony.features_of([media])[0]
     data = (text or "").encode()
     want = data + b"\xff" * (-len(data) % 576 if data else 576)
     assert payload == want and n == len(data)
@@ -156,7 +156,7 @@ def test_media_round_trip(monkeypatch, text):
     pcm = op4_telephony.MULAW_TABLE[np.frombuffer(want, np.uint8)].tolist()
     assert f"crossings={sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))};" in got["feature"] and f"mulaw_rms={int((sum(x * x for x in pcm) // len(pcm)) ** 0.5)};" in got["feature"]
     monkeypatch.setattr(op4_telephony, "SLICE", 2 * 576)
-    assert op4_telephony.features_of(media) == got
+    assert op4_telephony.features_of([media] * 3) == [got] * 3
 
 
 def test_media_columns(spark, tmp_path):
