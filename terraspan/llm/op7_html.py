@@ -55,6 +55,9 @@ PAGE_WORDS = CHROME_WORDS | {"header", "topbar"}
 ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsor sponsored sidebar widget related comment comments".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Text, or a tag that is closed before the next ``<``: what well-formed pages consist of. Nothing in it is tried twice.
+PLAIN = re.compile(r"[^<]++|<(/?)([a-zA-Z][^\s/<>]*+)([^<>\"']*+(?:(?:\"[^\"<]*+\"|'[^'<]*+')[^<>\"']*+)*+)>")
+RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[\s_-]+")
 
@@ -110,10 +113,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, int]]:
     """
     scan, at, n = Scan(html), 0, len(html)
     while at < n:
-        low = scan.find("<", at)
-        if low > at:
-            yield html[at:low], "", False, low
-            at = low
+        if m := PLAIN.match(html, at):
+            at = m.end()
+            if m[2] is None:
+                yield m[0], "", False, at
+            else:
+                at = (yield m[3], m[2].lower(), m[1] == "/", at) or at
             continue
         if html.startswith("<!--", at):
             at = min(n, scan.find("-->", at + 4) + 3)
@@ -141,7 +146,6 @@ def blocks(html: str) -> list[tuple[int, str]]:
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether article, whether marked
     opened: Counter = Counter()
-    low = Scan(html.lower()) if html.isascii() else Scan("".join(c.lower() if c < "\x80" else c for c in html))  # of the same length
 
     def end_block() -> None:
         if held:
@@ -171,8 +175,9 @@ def blocks(html: str) -> list[tuple[int, str]]:
             if name in BLOCK:
                 end_block()
             if not text.endswith("/"):
-                end = low.find("</" + name, at)
-                go_on = min(len(html), low.find(">", end) + 1)
+                end = RAW_END[name].search(html, at)
+                last = html.find(">", end.end()) if end else -1
+                go_on = len(html) if last < 0 else last + 1
             continue
         if name not in BLOCK and name not in CHROME_TAGS:
             if not closing and "hidden" not in text and "none" not in text:
