@@ -243,7 +243,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return fps.join(classified(fps, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def dedup(docs: DataFrame, width: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     """The documents without near copies: of each class, by fingerprints of ``width``-word shingles, the row with the smallest id stays.
 
     Rows are told apart by id and text, so one id with two texts is two documents; of one id's texts in a class

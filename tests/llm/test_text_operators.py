@@ -125,7 +125,7 @@ def test_simhash_classes_and_survivors(spark):
 
 
 def test_survivors_against_brute_force(spark):
-    """Copies with few edits in long texts: one of each class of five-word fingerprints stays, the smallest id."""
+    """Copies with few edits in long texts: one of each class stays, the smallest id."""
     r, rows = random.Random(4), []
     for group in range(12):
         base = words(900, 1000 + group, 5000).split()
@@ -135,7 +135,7 @@ def test_survivors_against_brute_force(spark):
                 copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
             rows.append(" ".join(copy))
     r.shuffle(rows)
-    fps = [op2_simhash.fingerprint(t, 5) for t in rows]
+    fps = [op2_simhash.fingerprint(t) for t in rows]
     groups = brute_links(sorted(set(fps)))
     want = sorted(min(i for i, f in enumerate(fps) if f in g) for g in groups)
     assert 12 <= len(want) < len(rows) - 20
