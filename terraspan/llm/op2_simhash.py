@@ -15,6 +15,16 @@ skip the first level, so no task reads them; on the second level 46 bits are fix
 holds at most 2^18 fingerprints, on the third 53 bits and at most 2,048. Only edges of a spanning forest leave a run, never all pairs.
 Equal fingerprints are one node from the start, so a group of copies costs one row.
 
+``dedup(..., similar=True)`` also links texts whose sets of 5-word shingles are alike by a Jaccard similarity of
+SIMILARITY or more: such texts differ in about ten bits of a SimHash, out of reach of any
+segment. Texts meet where a band of BAND min-hashes agrees, at one of BANDS places (0.99 of pairs
+at the threshold, more above), by the same scheme: counts first, runs of RUN at most read in
+sorted order, and more frequent bands cut again by a second band. A run gives the edges of its
+maximum spanning forest by similarity, measured on SIGNATURE min-hashes (standard error 0.025)
+and from SURE below the threshold on; these, no more than rows of the run, are then checked
+on the whole sets. A maximum forest connects what the links above any threshold connect, so
+checking its edges alone loses a link only where the measure misorders two near the threshold.
+
 Defined cases: a null text is the empty text; rows with a null ``doc_id`` take part, and a
 class without any id has a null ``component_id``; repeated rows get equal results; an empty
 table gives no rows; extra columns are ignored.
@@ -22,6 +32,7 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -38,31 +49,68 @@ MAX_BITS = 3
 #: The longest run that one task compares with itself. Above 2,048 the third level needs no fourth.
 RUN = 4096
 
+#: The similarity on 5-word shingles from which ``dedup`` links texts if asked to, and the min-hashes it is measured on.
+SIMILARITY, WIDTH, SIGNATURE = 0.8, 5, 256
+BAND, BANDS = 6, 16
+#: The allowance for the measure's error, and the equal bytes of two signatures from which they are a candidate.
+SURE = 0.075
+ALIKE = math.floor(1 + (SIMILARITY - SURE) * (SIGNATURE - 1))
+#: Levels of bands; a run of the last is read whole, whatever its length.
+LEVELS = 4
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit fingerprint of one text, of shingles of ``width`` words."""
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 of each shingle of ``width`` words, repeats included; nothing for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=max(1, len(words) - width + 1))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=max(1, len(words) - width + 1))
+
+
+def signature(text: str | None) -> bytes | None:
+    """The low bytes of SIGNATURE min-hashes over the text's 5-word shingles; None for a text without words."""
+    hashes = shingle_hashes(text, WIDTH)
+    if not len(hashes):
+        return None
+    least = np.full(SIGNATURE, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(hashes), 1024):  # a very long text in pieces
+        part = hashes[at : at + 1024]
+        low, high = part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint32)
+        np.minimum(least, (low + _FACTORS * high).min(axis=1), out=least)
+    return least.astype(np.uint8).tobytes()
+
+
+#: Odd factors, one a min-hash: the k-th hash of a shingle is the low half of its XXH64 plus this times the high half.
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 32, (SIGNATURE, 1), dtype=np.uint32) | np.uint32(1)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit fingerprint of one text, of shingles of ``width`` words."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # a very long text in pieces
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *keep: Column, width: int = 3) -> DataFrame:
-    """The columns ``keep`` and ``fp``, one row per document; no shuffle."""
+def fingerprints(docs: DataFrame, *keep: Column, width: int = 3, signed: bool = False) -> DataFrame:
+    """The columns ``keep`` and ``fp``, one row per document, with ``sig`` if ``signed``; no shuffle."""
     given = docs.select(*keep, text_or_empty().alias("_text"))
     names = given.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column("_text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(fps)], names=[*names, "fp"])
+            texts = b.column("_text").to_pylist()
+            made = {"fp": pa.array(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))}
+            if signed:
+                made["sig"] = pa.array([signature(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), *made.values()], names=[*names, *made])
 
-    return given.mapInArrow(run, given.drop("_text").schema.add("fp", "long"))
+    schema = given.drop("_text").schema.add("fp", "long")
+    return given.mapInArrow(run, schema.add("sig", "binary") if signed else schema)
 
 
 def _mix(key: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -116,6 +164,25 @@ def _forest(fps: np.ndarray) -> tuple[list, list]:
     return left, right
 
 
+def _likest(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges, as places, of the maximum spanning forest by equal bytes, of those with ALIKE or more: grown from one place to the likest outside it."""
+    n = len(sigs)
+    best, via, outside = np.full(n, -1), np.zeros(n, dtype=np.int64), np.arange(1, n)
+    left, right, last = [], [], 0
+    while len(outside):
+        equal = np.count_nonzero(sigs[outside] == sigs[last], axis=1)
+        nearer = outside[equal > best[outside]]
+        best[outside] = np.maximum(best[outside], equal)
+        via[nearer] = last
+        k = int(best[outside].argmax())
+        last = outside[k]
+        outside = np.delete(outside, k)
+        if best[last] >= ALIKE:
+            left.append(via[last])
+            right.append(last)
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
 def _runs(last: bool):
     """Reads rows sorted by ``key``; rows ``(hot, key, fp, at)``: an edge ``fp``-``key`` (hot false) or a row for the next level."""
 
@@ -229,10 +296,97 @@ def links(nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def classified(fps: DataFrame, order: Column) -> DataFrame:
-    """``(fp, least)``: each fingerprint of the materialized ``fps`` with the least ``order`` of its class."""
+def _alike_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows ``(key, sid, sig)`` sorted by ``key``; candidates ``(a, b)`` of a forest of each run."""
+
+    def edges(key: np.ndarray, sid: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        sizes = np.diff(bounds)
+        two = bounds[:-1][sizes == 2]
+        two = two[np.count_nonzero(sig[two] == sig[two + 1], axis=1) >= ALIKE]
+        lefts, rights = [two], [two + 1]
+        for start, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2]):
+            x, y = _likest(sig[start : start + n])
+            lefts.append(start + x)
+            rights.append(start + y)
+        pairs = np.sort(np.stack([sid[np.concatenate(lefts)], sid[np.concatenate(rights)]]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    held: list[tuple] = []  # of the run that isn't ended
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, sid = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sid"))
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE)
+        if held and key[-1] == held[0][0][0]:
+            held.append((key, sid, sig))
+            continue
+        if held:
+            key, sid, sig = (np.concatenate(x) for x in zip(*held, (key, sid, sig)))
+        tail = int(np.searchsorted(key, key[-1]))
+        if tail:
+            yield edges(key[:tail], sid[:tail], sig[:tail])
+        held = [(key[tail:], sid[tail:], sig[tail:])]
+    if held:
+        yield edges(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)`` among the materialized ``nodes`` ``(sid, sig)``.
+
+    Bands are counted as rows of two numbers, so a signature that shares no band with another is never shuffled for it.
+    """
+    bands = [F.substring("sig", 1 + BAND * j, BAND) for j in range(BANDS)]
+    rows, found = nodes.select("sid", F.explode(F.array(*(F.xxhash64(F.lit(j), band) for j, band in enumerate(bands)))).alias("key")), None
+    for level in range(LEVELS):
+        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        met = materialize(rows.join(counted, "key"))
+        fits = F.lit(True) if level == LEVELS - 1 else F.col("_n") <= RUN
+        dealt = met.filter(fits).join(nodes, "sid").select("key", "sid", "sig").repartition("key").sortWithinPartitions("key", "sid")
+        pairs = materialize(dealt.mapInArrow(_alike_runs, "a long, b long").distinct())
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = met.filter(~fits)
+        if hot.isEmpty():
+            break
+        again = F.array_distinct(F.array(*(F.xxhash64("key", F.lit(j), band) for j, band in enumerate(bands))))
+        rows = hot.join(nodes, "sid").select("sid", F.explode(again).alias("key"))
+    return found.distinct()
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            sets = [np.unique(shingle_hashes(t, WIDTH)).view(np.int64) for t in part.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "shingles"])
+
+
+def alike_links(docs: DataFrame, fps: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` between fingerprints of texts alike by SIMILARITY; ``fps`` are the materialized ``(KEY, fp, sig)`` of ``docs``.
+
+    Equal signatures are one node, and one text stands for it.
+    """
+    given = fps.filter("sig is not null").select(*KEY, "fp", "sig", F.xxhash64("sig").alias("sid"))
+    least = F.min(F.struct("fp", *KEY)).alias("least")
+    nodes = materialize(given.groupBy("sid").agg(least, F.any_value("sig").alias("sig")).select("sid", "least.*", "sig"))
+    pairs = materialize(_candidates(nodes.select("sid", "sig")))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(nodes.select("sid", *KEY), "sid")
+    texts = docs.select(*key_columns(), text_or_empty().alias("_text")).join(maybe_broadcast(materialize(wanted)), KEY)
+    sets = materialize(texts.select("sid", "_text").mapInArrow(_shingle_sets, "sid long, shingles array<long>").dropDuplicates(["sid"]))
+    one, other = (sets.select(F.col("sid").alias(s), F.col("shingles").alias(f"_{s}")) for s in ("a", "b"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    linked = pairs.join(one, "a").join(other, "b").filter(shared >= SIMILARITY * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+    for s in ("a", "b"):
+        linked = linked.join(nodes.select(F.col("sid").alias(s), F.col("fp").alias(f"_{s}")), s)
+    same = given.select("sid", F.col("fp").alias("a")).distinct().join(nodes.select("sid", F.col("fp").alias("b")), "sid")
+    return linked.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same.select("a", "b")).filter("a <> b").distinct()
+
+
+def classified(fps: DataFrame, order: Column, more: DataFrame | None = None) -> DataFrame:
+    """``(fp, least)``: each fingerprint of the materialized ``fps`` with the least ``order`` of its class, by its links and ``more`` edges."""
     nodes = materialize(fps.groupBy("fp").agg(F.min(order).alias("least")))
-    joined = connected_components(links(nodes))
+    edges = links(nodes)
+    joined = connected_components(edges if more is None else edges.unionByName(more))
     members = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     return members.select("fp", "component").join(members.groupBy("component").agg(F.min("least").alias("least")), "component").select("fp", "least")
 
@@ -243,15 +397,16 @@ def classes(docs: DataFrame) -> DataFrame:
     return fps.join(classified(fps, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The documents without near copies: of each class, by fingerprints of ``width``-word shingles, the row with the smallest id stays.
+def dedup(docs: DataFrame, width: int = 3, similar: bool = False) -> DataFrame:
+    """The documents without near copies: of each class the row with the smallest id stays.
 
+    Links are those of fingerprints of ``width``-word shingles and, if ``similar``, of texts alike by SIMILARITY on 5-word shingles.
     Rows are told apart by id and text, so one id with two texts is two documents; of one id's texts in a class
     the smallest hash stays, and rows without an id stay only in a class without any. Rows equal in both count as one.
     """
     names = [fresh(docs, k) for k in KEY]
-    fps = materialize(fingerprints(docs, *key_columns(), width=width))
-    kept = classified(fps, F.struct(*KEY)).select("least.*").distinct()
+    fps = materialize(fingerprints(docs, *key_columns(), width=width, signed=similar))
+    kept = classified(fps, F.struct(*KEY), alike_links(docs, fps) if similar else None).select("least.*").distinct()
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(key_columns(), names)))
     kept = kept.select(*(F.col(k).alias(n) for k, n in zip(KEY, names)))
     return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)

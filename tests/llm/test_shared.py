@@ -25,6 +25,7 @@ RUNS = {
     "op1_keep": lambda s, d: op1_decontaminate.decontaminate(d, bench(s)),
     "op2": lambda s, d: op2_simhash.classes(d),
     "op2_keep": lambda s, d: op2_simhash.dedup(d),
+    "op2_similar": lambda s, d: op2_simhash.dedup(d, similar=True),
     "op3": lambda s, d: op3_mixing.mix(d),
     "op4": lambda s, d: op4_telephony.described(op4_telephony.store(d, d.columns)),
     "op5": lambda s, d: op5_toxicity.accept(d, op5_toxicity.fit(d, labels(s, [(4, 1, 0), (5, None, None), (None, 1, 1), (77, 0, 1)]))),

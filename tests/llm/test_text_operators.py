@@ -142,6 +142,64 @@ def test_survivors_against_brute_force(spark):
     assert sorted(x.doc_id for x in op2_simhash.dedup(documents(spark, list(enumerate(rows)))).collect()) == want
 
 
+def edited(r, base, edits):
+    copy = list(base)
+    for _ in range(edits):
+        copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+    return " ".join(copy)
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("run", [4096, 4])
+def test_alike_texts_against_brute_force(spark, monkeypatch, run):
+    """Copies with 1 to 6 edits in 200 words: similarities on both sides of 0.8. Short runs send hot bands on to further levels."""
+    monkeypatch.setattr(op2_simhash, "RUN", run)
+    r = random.Random(7)
+    rows = [edited(r, words(200, 2000 + g, 5000).split(), r.randrange(1, 7)) for g in range(12) for _ in range(8)] + ["a b", "A  b", "c", "", words(9000, 1), words(9000, 1) + " end"]
+    sets = [shingle_set(t) for t in rows]
+    fps = [op2_simhash.fingerprint(t) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if alike or (fps[i] ^ fps[j]).bit_count() <= 3:
+                near += alike
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert near >= 30
+    want = sorted({find(i) for i in range(len(rows))})
+    assert sorted(x.doc_id for x in op2_simhash.dedup(documents(spark, list(enumerate(rows))), similar=True).collect()) == want
+
+
+def test_forest_of_the_likest():
+    """A maximum spanning forest connects what all candidate links connect, above any number of equal bytes."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (3, op2_simhash.SIGNATURE), dtype=np.uint8)
+    sigs = base[rng.integers(0, 3, 60)]
+    sigs = np.where(rng.random(sigs.shape) < rng.random((60, 1)) * 0.25, rng.integers(0, 256, sigs.shape, dtype=np.uint8), sigs)
+    left, right = op2_simhash._likest(sigs)
+    equal = (sigs[:, None] == sigs[None]).sum(axis=2)
+    for least in range(op2_simhash.ALIKE, op2_simhash.SIGNATURE, 7):
+        groups = []
+        for links in (np.argwhere(equal >= least), [(a, b) for a, b in zip(left, right) if equal[a, b] >= least]):
+            label = list(range(60))
+            for _ in range(60):
+                for a, b in links:
+                    label[a] = label[b] = min(label[a], label[b])
+            groups.append(label)
+        assert groups[0] == groups[1]
+
+
 def test_equal_ids_of_different_texts_both_stay(spark):
     kept = op2_simhash.dedup(documents(spark, [(1, words(60, 1)), (1, words(60, 2)), (1, words(60, 2)), (2, words(60, 1))])).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, words(60, 1)), (1, words(60, 2))])
