@@ -18,8 +18,10 @@ Equal fingerprints are one node from the start, so a group of copies costs one r
 ``dedup(..., similar=True)`` also links texts whose sets of 5-word shingles are alike by a Jaccard similarity of
 SIMILARITY or more: such texts differ in about ten bits of a SimHash, out of reach of any
 segment. Texts meet where a band of BAND min-hashes agrees, at one of BANDS places (0.99 of pairs
-at the threshold, more above), by the same scheme: counts first, runs of RUN at most read in
-sorted order, and more frequent bands cut again by a second band. A run gives the edges of its
+at the threshold, more above); bands are counted first and runs of RUN at most read in sorted order.
+A longer run has a leader, its least node, that all others are compared with where they lie. Those surely
+alike are linked to it, and need no comparison with one another; the rest meet everyone, in
+blocks of about RUN rows that are pairs of pieces of the run, so no task's share grows with the run. A run or block gives the edges of its
 maximum spanning forest by similarity, measured on SIGNATURE min-hashes (standard error 0.025)
 and from SURE below the threshold on; these, no more than rows of the run, are then checked
 on the whole sets. A maximum forest connects what the links above any threshold connect, so
@@ -55,8 +57,8 @@ BAND, BANDS = 6, 16
 #: The allowance for the measure's error, and the equal bytes of two signatures from which they are a candidate.
 SURE = 0.075
 ALIKE = math.floor(1 + (SIMILARITY - SURE) * (SIGNATURE - 1))
-#: Levels of bands; a run of the last is read whole, whatever its length.
-LEVELS = 4
+#: The equal bytes from which two texts are taken for alike before the check: as far above the threshold.
+SURELY = math.ceil(1 + (SIMILARITY + SURE) * (SIGNATURE - 1))
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -331,26 +333,47 @@ def _alike_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(*(np.concatenate(x) for x in zip(*held)))
 
 
+def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(key, sid, lead, near)``; ``near``: surely alike the leader."""
+    for b in batches:
+        sig, lead = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE) for c in ("sig", "lead_sig"))
+        near = np.count_nonzero(sig == lead, axis=1) >= SURELY
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "sid", "lead")), pa.array(near)], names=["key", "sid", "lead", "near"])
+
+
+def _blocks(hot: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For the rows ``(key, sid, lead)`` of long runs: links ``(a, b)`` to the leaders, and blocks ``(key, sid)`` in which all other pairs meet."""
+    leaders = hot.select("lead").distinct().join(nodes.select(F.col("sid").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
+    beside = hot.join(nodes, "sid").join(maybe_broadcast(materialize(leaders)), "lead").select("key", "sid", "lead", "sig", "lead_sig")
+    beside = materialize(beside.mapInArrow(_beside_leader, "key long, sid long, lead long, near boolean"))
+    stars = beside.filter("near and sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    pieces = lambda n: F.ceil(n / max(1, RUN // 2))
+    sizes = beside.groupBy("key").agg(pieces(F.count_if("near")).alias("near_pieces"), pieces(F.count_if(~F.col("near"))).alias("far_pieces")).filter("far_pieces > 0")
+    placed = beside.join(maybe_broadcast(materialize(sizes)), "key")
+    # pieces of near rows come first; two of them need not meet
+    piece = F.when(F.col("near"), F.pmod("sid", "near_pieces")).otherwise(F.col("near_pieces") + F.pmod("sid", "far_pieces"))
+    met = F.sequence(F.when(F.col("near"), F.col("near_pieces")).otherwise(F.lit(0).cast("long")), F.expr("near_pieces + far_pieces - 1"))
+    rows = placed.select("key", "sid", piece.alias("piece"), F.explode(met).alias("other")).filter("piece <> other")
+    return stars, rows.select(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("key"), "sid")
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` among the materialized ``nodes`` ``(sid, sig)``.
+    """Distinct candidate pairs ``(a, b)``, the smaller first, among the materialized ``nodes`` ``(sid, sig)``.
 
     Bands are counted as rows of two numbers, so a signature that shares no band with another is never shuffled for it.
     """
-    bands = [F.substring("sig", 1 + BAND * j, BAND) for j in range(BANDS)]
-    rows, found = nodes.select("sid", F.explode(F.array(*(F.xxhash64(F.lit(j), band) for j, band in enumerate(bands)))).alias("key")), None
-    for level in range(LEVELS):
-        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        met = materialize(rows.join(counted, "key"))
-        fits = F.lit(True) if level == LEVELS - 1 else F.col("_n") <= RUN
-        dealt = met.filter(fits).join(nodes, "sid").select("key", "sid", "sig").repartition("key").sortWithinPartitions("key", "sid")
-        pairs = materialize(dealt.mapInArrow(_alike_runs, "a long, b long").distinct())
-        found = pairs if found is None else found.unionByName(pairs)
-        hot = met.filter(~fits)
-        if hot.isEmpty():
-            break
-        again = F.array_distinct(F.array(*(F.xxhash64("key", F.lit(j), band) for j, band in enumerate(bands))))
-        rows = hot.join(nodes, "sid").select("sid", F.explode(again).alias("key"))
-    return found.distinct()
+    bands = F.array(*(F.xxhash64(F.lit(j), F.substring("sig", 1 + BAND * j, BAND)) for j in range(BANDS)))
+    rows = nodes.select("sid", F.explode(bands).alias("key"))
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("sid").alias("_least")).filter("_n > 1")
+    met = materialize(rows.join(counted.select("key", F.when(F.col("_n") > RUN, F.col("_least")).alias("lead")), "key"))
+    runs, stars = met.filter("lead is null").select("key", "sid"), None
+    hot = met.filter("lead is not null")
+    if not hot.isEmpty():
+        stars, blocks = _blocks(hot, nodes)
+        runs = runs.unionByName(blocks)
+    dealt = runs.join(nodes, "sid").select("key", "sid", "sig").repartition("key").sortWithinPartitions("key", "sid")
+    pairs = dealt.mapInArrow(_alike_runs, "a long, b long")
+    return (pairs if stars is None else pairs.unionByName(stars)).distinct()
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

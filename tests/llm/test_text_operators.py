@@ -156,7 +156,7 @@ def shingle_set(text):
 
 @pytest.mark.parametrize("run", [4096, 4])
 def test_alike_texts_against_brute_force(spark, monkeypatch, run):
-    """Copies with 1 to 6 edits in 200 words: similarities on both sides of 0.8. Short runs send hot bands on to further levels."""
+    """Copies with 1 to 6 edits in 200 words: similarities on both sides of 0.8. With short runs, longer ones are compared with leaders and in blocks."""
     monkeypatch.setattr(op2_simhash, "RUN", run)
     r = random.Random(7)
     rows = [edited(r, words(200, 2000 + g, 5000).split(), r.randrange(1, 7)) for g in range(12) for _ in range(8)] + ["a b", "A  b", "c", "", words(9000, 1), words(9000, 1) + " end"]
