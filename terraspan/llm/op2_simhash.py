@@ -405,19 +405,26 @@ def alike_links(docs: DataFrame, fps: DataFrame) -> DataFrame:
     return linked.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same.select("a", "b")).filter("a <> b").distinct()
 
 
-def classified(fps: DataFrame, order: Column, more: DataFrame | None = None) -> DataFrame:
-    """``(fp, least)``: each fingerprint of the materialized ``fps`` with the least ``order`` of its class, by its links and ``more`` edges."""
+def _members(fps: DataFrame, order: Column, more: DataFrame | None = None) -> DataFrame:
+    """``(fp, least, component)``: each fingerprint of the materialized ``fps`` with its rows' least ``order`` and its class, by its links and ``more`` edges."""
     nodes = materialize(fps.groupBy("fp").agg(F.min(order).alias("least")))
     edges = links(nodes)
     joined = connected_components(edges if more is None else edges.unionByName(more))
-    members = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    return members.select("fp", "component").join(members.groupBy("component").agg(F.min("least").alias("least")), "component").select("fp", "least")
+    return nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
+def _least(members: DataFrame) -> DataFrame:
+    """``(component, least)``: the least of each class; a partial aggregate, so a class of any size."""
+    return members.groupBy("component").agg(F.min("least").alias("least"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)``: every row with the smallest id of its class, null if no row of it has one."""
     fps = materialize(fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id")))
-    return fps.join(classified(fps, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+    members = materialize(_members(fps, F.col("doc_id")))
+    # written, so that the join reads plain shuffles on both sides: only then are the rows of one large class split over tasks
+    found = members.select("fp", "component").join(materialize(_least(members)), "component")
+    return fps.join(found.select("fp", "least"), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def dedup(docs: DataFrame, width: int = 3, similar: bool = False) -> DataFrame:
@@ -429,7 +436,7 @@ def dedup(docs: DataFrame, width: int = 3, similar: bool = False) -> DataFrame:
     """
     names = [fresh(docs, k) for k in KEY]
     fps = materialize(fingerprints(docs, *key_columns(), width=width, signed=similar))
-    kept = classified(fps, F.struct(*KEY), alike_links(docs, fps) if similar else None).select("least.*").distinct()
+    kept = _least(_members(fps, F.struct(*KEY), alike_links(docs, fps) if similar else None)).select("least.*")
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(key_columns(), names)))
     kept = kept.select(*(F.col(k).alias(n) for k, n in zip(KEY, names)))
     return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
