@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_decontaminate, op2_simhash, op3_mixing, op4_telephony, op5_toxicity, op6_chat, op7_html, op8_warc, op9_lines, op10_sharding
+from . import op1_decontaminate, op2_simhash, op3_mixing, op4_telephony, op5_toxicity, op6_chat, op7_html, op8_warc, op9_lines, op10_sharding, op11_quality, op12_divergence, op13_lexical
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": op8_warc.query,
     "op9_lines": op9_lines.query,
     "op10_sharding": op10_sharding.query,
+    "op11_quality": op11_quality.query,
+    "op12_divergence": op12_divergence.query,
+    "op13_lexical": op13_lexical.query,
 }
 
 SQL = {
@@ -22,4 +25,7 @@ SQL = {
     "op6_chat": op6_chat.SQL,
     "op8_warc": op8_warc.SQL,
     "op10_sharding": op10_sharding.SQL,
+    "op11_quality": op11_quality.SQL,
+    "op12_divergence": op12_divergence.SQL,
+    "op13_lexical": op13_lexical.SQL,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from compare import DATA, connection, rows
 from fixtures import AWKWARD, documents
-from terraspan.llm import components, op1_decontaminate, op2_simhash, op3_mixing, op4_telephony, op5_toxicity, op9_lines, op10_sharding, registry
+from terraspan.llm import components, op1_decontaminate, op2_simhash, op3_mixing, op4_telephony, op5_toxicity, op9_lines, op10_sharding, op11_quality, op12_divergence, op13_lexical, registry
 
 BENCH = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "one two"), (1, "alpha beta gamma delta epsilon zeta eta theta")]
 
@@ -31,8 +31,12 @@ RUNS = {
     "op5": lambda s, d: op5_toxicity.accept(d, op5_toxicity.fit(d, labels(s, [(4, 1, 0), (5, None, None), (None, 1, 1), (77, 0, 1)]))),
     "op9": lambda s, d: op9_lines.strip(d),
     "op10": lambda s, d: op10_sharding.shard(d),
+    "op11": lambda s, d: op11_quality.judged(d),
+    "op11_keep": lambda s, d: op11_quality.accept(d),
+    "op12": lambda s, d: op12_divergence.audit(d),
+    "op13": lambda s, d: op13_lexical.search(d, bench(s)),
 }
-WHOLE = {"op3", "op4", "op5", "op9", "op10", "op2"}
+WHOLE = {"op3", "op4", "op5", "op9", "op10", "op11", "op2"}
 
 
 @pytest.mark.parametrize("name", sorted(RUNS))
@@ -46,7 +50,7 @@ def test_empty_table(spark, name):
     assert RUNS[name](spark, documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_keep", "op2_keep", "op5"])
+@pytest.mark.parametrize("name", ["op1_keep", "op2_keep", "op5", "op11_keep"])
 def test_filters_keep_their_columns(spark, name):
     docs = documents(spark, AWKWARD, clash=True)
     assert RUNS[name](spark, docs).columns == docs.columns
