@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, round_up, wrap16
+from .series import along, total
 
 #: Samples a side of a tile, border samples, the no-data bound, the cap of an error.
 TILE, BORDER, NODATA, MAX_ERROR = 128, 1, -99_999, 65_535
@@ -89,9 +90,9 @@ def tile_stats(cells: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def payload_offsets(tiles: DataFrame, length: str = "length", order: tuple[str, ...] = ("ty", "tx")) -> DataFrame:
-    """Adds ``offset``: where a tile's payload begins in its level's file."""
-    before = Window.partitionBy("z").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return tiles.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    """Adds ``offset``: where a tile's payload begins in its level's file. A level is cut into pieces of tiles."""
+    summed = along(tiles, ["z"], list(order), _end=total(length))
+    return summed.select(*tiles.columns, (F.coalesce(F.col("_end"), F.lit(0)) - F.coalesce(F.col(length), F.lit(0))).alias("offset"))
 
 
 def cut_tiles(cells: DataFrame, width: int, height: int, tile: int = TILE) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import along, cut, previous, total
+
 #: Reads in flight, cached tiles, cached fields, levels that stay resident.
 MAX_IN_FLIGHT, CACHE_TILES, CACHE_FIELDS, RESIDENT_LEVELS = 8, 320, 32, 2
 
@@ -22,12 +24,11 @@ def asked_once(asks: DataFrame) -> DataFrame:
 def coalesce_runs(tiles: DataFrame) -> DataFrame:
     """Byte runs ``(z, from, to, n, ids, error)`` of tiles ``(z, id, offset, length, error)``: touching payloads join.
 
-    Gaps and islands inside each level's file.
+    Gaps and islands inside each level's file, which is cut into pieces.
     """
-    file = Window.partitionBy("z").orderBy("offset", "id")
-    tiles = tiles.withColumn("_to", F.col("offset") + F.col("length"))
-    begins = F.when(F.col("offset") == F.lag("_to").over(file), 0).otherwise(1)
-    runs = tiles.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(file.rowsBetween(Window.unboundedPreceding, 0)))
+    file = (["z"], ["offset", "id"])
+    tiles = along(cut(tiles.withColumn("_to", F.col("offset") + F.col("length")), *file), *file, _before=previous("_to"))
+    runs = along(tiles.withColumn("_begins", F.when(F.col("offset") == F.col("_before"), 0).otherwise(1)), *file, _run=total("_begins"))
     grouped = runs.groupBy("z", "_run").agg(
         F.min("offset").alias("from"), F.max("_to").alias("to"), F.count(F.lit(1)).alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("offset", "id"))), lambda s: s["id"]).alias("ids"), F.max("error").alias("error"),

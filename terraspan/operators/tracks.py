@@ -1,16 +1,17 @@
 """Keyframe tracks: which two keyframes a time lies between, and how far.
 
-Keyframes are ``(series_id, at, value)`` and queries ``(series_id, query_id, time)``. The
-as-of lookup is a union and two windows per series, so no join compares times; series are
-the unit of distribution.
+Keyframes are ``(series_id, at, value)`` and queries ``(series_id, query_id, time)``. The as-of lookup
+is a union, sorted by time and cut into pieces, where each piece is told the keyframes before and after it (``series``);
+no join compares times, and one long series is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import eased, wrap
+from .series import along, following, last
 
 
 def sample(frames: DataFrame, queries: DataFrame, loop: bool = False, duration: float | None = None, ease=None) -> DataFrame:
@@ -35,11 +36,9 @@ def sample(frames: DataFrame, queries: DataFrame, loop: bool = False, duration:
     ask = asked.select("*", F.col("_t").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(frames.schema["value"].dataType).alias("_value"))
     frame = frames.select("series_id", F.col("at").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.col("value").alias("_value"))
     both = ask.unionByName(frame, allowMissingColumns=True)
-    here = F.when(F.col("_kind") == 0, F.struct("_at", "_value"))
-    order = ["_at", "_kind", "_value"]
-    before = Window.partitionBy("series_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("series_id").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = both.withColumn("_p", F.last(here, ignorenulls=True).over(before)).withColumn("_q", F.first(here, ignorenulls=True).over(after)).filter("_kind = 1")
+    both = both.withColumn("_here", F.when(F.col("_kind") == 0, F.struct("_at", "_value")))
+    both = both.withColumn("_tie", F.xxhash64(*(F.col(c) for c in queries.columns)))  # many queries of one time are no one's piece
+    placed = along(both, ["series_id"], ["_at", "_kind", "_value", "_tie"], _p=last("_here"), _q=following("_here")).filter("_kind = 1")
 
     inside = (F.col("_t") - F.col("_p._at")) / (F.col("_q._at") - F.col("_p._at"))
     gap = F.col("_start") + F.col("_length") - F.col("_end")
