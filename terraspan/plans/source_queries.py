@@ -16,7 +16,7 @@ from .scene_queries import FACE_ROWS, HUT, MAST, models
 def terrain_files(spark, sf_dir) -> str:
     path = scratch(spark)
     stats = raster.tile_stats(rq.cells(spark, sf_dir), rq.T)
-    terrain.write_levels(rq.stored(spark, sf_dir), stats, path, 2, 30_000, rq.T).collect()  # a row a level
+    terrain.write_levels(rq.stored(spark, sf_dir), stats, path, 2, 30_000, rq.T)
     return path
 
 
@@ -33,6 +33,22 @@ def q_terrain_pruned(spark, sf_dir):
     return tiles.select("z", "ty", "tx", "low", "high")
 
 
+def q_geotiff(spark, sf_dir):
+    """The mean of the samples of each place as a float raster, written as GeoTIFF, read back, and averaged to the finest level."""
+    path = scratch(spark)
+    mean = rq.samples(spark, sf_dir).groupBy("sx", "sy").agg((F.sum("value") / F.count(F.lit(1)) / 8.0).alias("value"))
+    terrain.write_geotiff(mean, path, *rq.SOURCE, tile=16)
+    return terrain.read_geotiff(spark, f"{path}/raster.tif").select("sx", "sy", F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("value"))
+
+
+def q_grid(spark, sf_dir):
+    """Each level of the pyramid as a single grid, written and read back; heights are tripled so that residuals overflow 16 bits."""
+    path = scratch(spark)
+    levels = raster.pyramid(rq.finest(spark, sf_dir), 2)
+    terrain.write_grids(levels.select(F.concat(F.lit("level-"), "z").alias("name"), F.col("x").alias("sx"), F.col("y").alias("sy"), raster.wrap16(F.col("h") * 3).alias("value")), path)
+    return terrain.read_grid(spark, path).groupBy("sx", "sy").agg(F.sum("value").cast("long").alias("value"), F.count(F.lit(1)).alias("grids"))
+
+
 def q_geojson(spark, sf_dir):
     """Nations' rings as a feature collection (pairs of rings as polygons, every third pair as a multi-polygon), read back and cleaned."""
     path = scratch(spark)
@@ -54,16 +70,18 @@ def q_outline_counts(spark, sf_dir):
 def q_models(spark, sf_dir):
     path = scratch(spark)
     shapes.write_models(*models(spark), path)
-    v, f, faults = shapes.read_models(spark, path, lines=True)
+    v, f, faults = shapes.read_models(spark, path)
     corners = f.join(v, (f["model"] == v["model"]) & (f["a"] == v["i"])).select(f["model"], "f", "a", "b", "c", "r", "g", F.col("bl").alias("blue"), *(micro(F.col(n)).alias(n) for n in "xyz"))
     return corners.join(faults, "model", "left_anti")
 
 
-QUERIES = {"source_terrain": q_terrain, "source_terrain_pruned": q_terrain_pruned, "source_geojson": q_geojson, "source_outline_counts": q_outline_counts, "source_models": q_models}
+QUERIES = {"source_terrain": q_terrain, "source_terrain_pruned": q_terrain_pruned, "source_geotiff": q_geotiff, "source_grid": q_grid, "source_geojson": q_geojson, "source_outline_counts": q_outline_counts, "source_models": q_models}
 STATS = f"WITH {rq.SAMPLES} {rq.PREDICTED} {rq.BORDERED}, joined AS (SELECT 1 AS z, f.y, f.x, f.h, p.predicted FROM fine f JOIN predicted p USING (y, x) UNION ALL SELECT 0, y, x, h, 0 FROM coarse), st AS (SELECT z::INTEGER AS z, y // 8 AS ty, x // 8 AS tx, least(65535, max(abs(h - predicted)))::INTEGER AS error, min(h)::INTEGER AS low, max(h)::INTEGER AS high FROM joined GROUP BY ALL)"
 SQL = {
     "source_terrain": f"{STATS} SELECT st.z, st.ty, st.tx, error, low, high, sum(s.h * (r * 10 + c + 1))::BIGINT AS checksum FROM st JOIN stored s ON s.z = st.z AND s.ty = st.ty AND s.tx = st.tx GROUP BY ALL",
     "source_terrain_pruned": f"{STATS} SELECT z, ty, tx, low, high FROM st WHERE z = 1 AND tx IN (2, 5)",
+    "source_geotiff": f"WITH {rq.SAMPLES}, mean AS (SELECT sx, sy, (sum(value) / CAST(count(*) AS DOUBLE) / 8.0::DOUBLE)::FLOAT AS v FROM samples GROUP BY 1, 2) SELECT x AS sx, y AS sy, CAST(floor(coalesce(v, 0)::DOUBLE * 1000 + 0.5) AS BIGINT) AS value FROM range(96) a(x), range(48) b(y) LEFT JOIN mean m ON m.sx = x AND m.sy = y",
+    "source_grid": f"WITH {rq.SAMPLES} SELECT x AS sx, y AS sy, sum((h * 3 + 32768) % 65536 - 32768)::BIGINT AS value, count(*) AS grids FROM pyramid GROUP BY 1, 2",
     "source_geojson": f"WITH {CLEAN} SELECT dense_rank() OVER (ORDER BY ring_id // 2) - 1 AS polygon, dense_rank() OVER (PARTITION BY ring_id // 2 ORDER BY ring_id) - 1 AS ring, idx, {M('lon')} AS lon, {M('lat')} AS lat FROM kept",
     "source_outline_counts": f"WITH {CLEAN} SELECT count(DISTINCT ring_id // 2) AS polygons, count(DISTINCT ring_id) AS rings, count(*) AS points FROM kept",
     "source_models": f"WITH v AS ({HUT} UNION ALL {MAST}), {FACE_ROWS} SELECT f.*, {M('round(x, 4)')} AS x, {M('round(y, 4)')} AS y, {M('round(z, 4)')} AS z FROM faces f JOIN v ON v.model = f.model AND v.i = f.a",

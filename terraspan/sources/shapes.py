@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from ..operators import curves
+from .staged import StagedWriter
 
 RESOLUTIONS = ("110m", "50m")
 GEOJSON = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
@@ -46,9 +50,33 @@ def read_models(spark: SparkSession, path: str, lines: bool = False) -> tuple[Da
     return vertices, faces, raw.withColumn("fault", fault).filter("fault is not null").select("model", "fault")
 
 
+class ModelWriter(StagedWriter):
+    """A ``<name>.json`` a row ``(name, content)``."""
+
+    def parts(self, rows):
+        for r in rows:
+            yield f"{quote(r['name'], safe='')}.json", iter([r["content"].encode()])
+
+
+class ModelSource(DataSource):
+    """The sink of model files, from ``(name, content)``; they are read by ``read_models``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "models"
+
+    def schema(self) -> str:
+        return "name string, content string"
+
+    def writer(self, schema, overwrite: bool) -> ModelWriter:
+        return ModelWriter(self.options["path"], overwrite)
+
+
 def write_models(vertices: DataFrame, faces: DataFrame, path: str, places: int = 4) -> None:
-    """A JSON line a model, coordinates rounded."""
+    """A JSON file a model, coordinates rounded; files appear when all are written, in place of what is there."""
     flat = lambda order, *c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.array(*c).alias("v")))), lambda s: s["v"]))
     v = vertices.groupBy("model").agg(flat("i", *(F.round(c, places) for c in "xyz")).alias("positions"))
     f = faces.groupBy("model").agg(flat("f", "a", "b", "c").alias("faces"), flat("f", "r", "g", "bl").alias("colors"))
-    v.join(f, "model").select(F.col("model").alias("name"), "positions", "faces", "colors").write.mode("overwrite").json(path)
+    whole = v.join(f, "model").select(F.col("model").alias("name"), F.to_json(F.struct(F.col("model").alias("name"), "positions", "faces", "colors")).alias("content"))
+    vertices.sparkSession.dataSource.register(ModelSource)
+    whole.write.format("models").mode("overwrite").save(path)
