@@ -80,7 +80,7 @@ STATS = f"WITH {rq.SAMPLES} {rq.PREDICTED} {rq.BORDERED}, joined AS (SELECT 1 AS
 SQL = {
     "source_terrain": f"{STATS} SELECT st.z, st.ty, st.tx, error, low, high, sum(s.h * (r * 10 + c + 1))::BIGINT AS checksum FROM st JOIN stored s ON s.z = st.z AND s.ty = st.ty AND s.tx = st.tx GROUP BY ALL",
     "source_terrain_pruned": f"{STATS} SELECT z, ty, tx, low, high FROM st WHERE z = 1 AND tx IN (2, 5)",
-    "source_geotiff": f"WITH {rq.SAMPLES}, mean AS (SELECT sx, sy, (sum(value) / CAST(count(*) AS DOUBLE) / 8.0::DOUBLE)::FLOAT AS v FROM samples GROUP BY 1, 2) SELECT x AS sx, y AS sy, CAST(floor(coalesce(v, 0)::DOUBLE * 1000 + 0.5) AS BIGINT) AS value FROM range(96) a(x), range(48) b(y) LEFT JOIN mean m ON m.sx = x AND m.sy = y",
+    "source_geotiff": f"WITH {rq.SAMPLES}, at_source AS (SELECT sx, sy, (sum(value) / CAST(count(*) AS DOUBLE) / 8.0::DOUBLE)::FLOAT AS v FROM samples GROUP BY 1, 2) SELECT x AS sx, y AS sy, CAST(floor(coalesce(v, 0)::DOUBLE * 1000 + 0.5) AS BIGINT) AS value FROM range(96) a(x), range(48) b(y) LEFT JOIN at_source m ON m.sx = x AND m.sy = y",
     "source_grid": f"WITH {rq.SAMPLES} SELECT x AS sx, y AS sy, sum((h * 3 + 32768) % 65536 - 32768)::BIGINT AS value, count(*) AS grids FROM pyramid GROUP BY 1, 2",
     "source_geojson": f"WITH {CLEAN} SELECT dense_rank() OVER (ORDER BY ring_id // 2) - 1 AS polygon, dense_rank() OVER (PARTITION BY ring_id // 2 ORDER BY ring_id) - 1 AS ring, idx, {M('lon')} AS lon, {M('lat')} AS lat FROM kept",
     "source_outline_counts": f"WITH {CLEAN} SELECT count(DISTINCT ring_id // 2) AS polygons, count(DISTINCT ring_id) AS rings, count(*) AS points FROM kept",
