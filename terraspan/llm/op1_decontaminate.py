@@ -8,13 +8,14 @@ its distinct shingles.
 
 A document is far larger than an item, so their Jaccard similarity is near zero and a fixed
 signature of the document would miss items. The items are therefore the indexed side: they
-are partitioned by the power of two of their shingle count, and each keeps its bottom-k
-MinHash, the k smallest shingle hashes, where k depends on the partition's largest size U:
+are partitioned by the power of two of their shingle count, and each keeps a bottom-k
+MinHash, k hashes of its shingles, where k depends on the partition's largest size U:
 k = U - ceil(THRESHOLD U) + 1. Whatever part of an item a document may lack, at least one
 of these k is then in it, so probing the index with all of a document's shingle hashes
-finds every item: recall is 1 by construction, at a fraction of the items' hashes. A
-candidate must also be large enough for the item's size. Candidates are verified on the
-shingles' text, not on hashes.
+finds every item: recall is 1 by construction, at a fraction of the items' hashes. The k are the
+smallest hashes among those in the fewest items, so an opening that many items have in common
+makes no candidates unless an item has nothing else. A candidate must also be large enough for
+the item's size. Candidates are verified on the shingles' text, not on hashes.
 
 The index is broadcast only if its counted rows allow it, and shuffled otherwise; so are
 the candidates. Long documents are probed whole.
@@ -27,7 +28,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, fresh, id_of_key, key_columns, materialize, maybe_broadcast, pinned, table, text_or_empty
@@ -70,36 +71,43 @@ def _need(count: Column) -> Column:
 
 def index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The items ``(item_id, width, shingles, n_shingles, need)`` and the index ``(hash, width, item_id, need)``."""
-    given = pinned(items.select("item_id", text_or_empty().alias("_text")), "_words", words_of(F.col("_text"))).filter(F.size("_words") > 0)
+    given = pinned(items.select("item_id", text_or_empty().alias("_text")).distinct().withColumn("_item", F.xxhash64("item_id", "_text")), "_words", words_of(F.col("_text"))).filter(F.size("_words") > 0)
     given = given.withColumn("width", F.least(F.size("_words"), F.lit(WORDS)))
     cut = lambda make: _by_width(F.col("width"), lambda w: _each_shingle(F.col("_words"), w, make))
     made = given.select(
-        "item_id", "width", F.array_distinct(cut(_joined)).alias("shingles"), F.array_sort(F.array_distinct(cut(_hash))).alias("_hashes"),
+        "item_id", "_item", "width", F.array_distinct(cut(_joined)).alias("shingles"), F.array_sort(F.array_distinct(cut(_hash))).alias("_hashes"),
     ).withColumn("n_shingles", F.size("shingles")).withColumn("need", _need(F.col("n_shingles")))
     made = made.withColumn("_class", F.floor(F.log2(F.col("n_shingles"))).cast("int"))
     largest = made.groupBy("_class").agg(F.max("n_shingles").alias("_largest"))
     made = materialize(made.join(largest, "_class").drop("_class"))
     k = F.col("_largest") - _need(F.col("_largest")) + 1
-    entries = made.select("item_id", "width", "need", F.explode(F.slice("_hashes", F.lit(1), k)).alias("hash"))
-    return materialize(made.select("item_id", "width", "shingles", "n_shingles", "need")), materialize(entries)
+    each = made.select("item_id", "_item", "width", "need", k.alias("_k"), F.explode("_hashes").alias("hash"))
+    common = each.groupBy("hash", "width").agg(F.count(F.lit(1)).alias("_items"))
+    rarest = Window.partitionBy("_item").orderBy("_items", "hash")
+    entries = each.join(common, ["hash", "width"]).withColumn("_at", F.row_number().over(rarest)).filter(F.col("_at") <= F.col("_k"))
+    return materialize(made.select("item_id", "width", "shingles", "n_shingles", "need")), materialize(entries.select("item_id", "width", "need", "hash"))
 
 
 def _with_width(width: int):
     return lambda h: F.struct(h.alias("hash"), F.lit(width).alias("width"))
 
 
-def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(KEY, doc_id, item_id, n_shingles, n_found)`` for every item found in a document."""
-    whole, entries = index(items)
-    widths = sorted(r["width"] for r in whole.select("width").distinct().collect()) or [WORDS]  # WORDS rows at most
-    given = docs.select(*key_columns(), text_or_empty().alias("_text"))
+def candidates(given: DataFrame, entries: DataFrame, widths: list[int]) -> DataFrame:
+    """``(KEY, item_id)`` of documents ``(KEY, _text)`` that have one of an item's indexed hashes."""
     words = pinned(given, "_words", words_of(F.col("_text")))
     hashed = words.select(*KEY, F.concat(*(F.transform(_each_shingle(F.col("_words"), w, _hash), _with_width(w)) for w in widths)).alias("_hashes"))
     probes = hashed.select(*KEY, F.size("_hashes").alias("_size"), F.explode_outer("_hashes").alias("hash"))
     probes = probes.select(*KEY, "_size", "hash.*")
     hits = probes.join(maybe_broadcast(entries), ["hash", "width"]).filter(F.col("_size") >= F.col("need"))
-    candidates = materialize(hits.select(*KEY, "item_id").distinct())
-    pairs = given.join(maybe_broadcast(candidates), KEY).join(maybe_broadcast(whole), "item_id")
+    return materialize(hits.select(*KEY, "item_id").distinct())
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(KEY, doc_id, item_id, n_shingles, n_found)`` for every item found in a document."""
+    whole, entries = index(items)
+    widths = sorted(r["width"] for r in whole.select("width").distinct().collect()) or [WORDS]  # WORDS rows at most
+    given = docs.select(*key_columns(), text_or_empty().alias("_text"))
+    pairs = given.join(maybe_broadcast(candidates(given, entries, widths)), KEY).join(maybe_broadcast(whole), "item_id")
     pairs = pinned(pairs, "_words", words_of(F.col("_text")))
     there = _by_width(F.col("width"), lambda w: _each_shingle(F.col("_words"), w, _joined), widths)
     found = pinned(pairs, "n_found", F.size(F.array_intersect("shingles", there))).filter(F.col("n_found") >= F.col("need"))

@@ -379,3 +379,17 @@ def test_one_id_with_two_texts(spark):
 def test_fingerprints_are_fewer_than_lines(spark):
     docs = [(i, "\n".join(words(8, 100 * i + k) for k in range(30))) for i in range(20)]
     assert 20 <= op9_lines.positions(documents(spark, docs)).count() < 20 * 30 * 0.7
+
+
+def test_a_common_opening_makes_no_pairs(spark):
+    """Items and documents that all begin alike, whatever hash the opening has: candidates don't grow with items times documents, and what is contained is found."""
+    opening = "which of the following statements about this"
+    n = 150
+    items = [(k, f"{opening} {words(30, k)}") for k in range(n)]
+    docs = [(k, f"{words(40, 9000 + k)} {opening} {words(30, k) if k % 10 == 0 else words(30, 5000 + k)}") for k in range(n)]
+    table = documents(spark, docs)
+    whole, entries = op1_decontaminate.index(spark.createDataFrame(items, "item_id long, text string"))
+    given = table.select(*op1_decontaminate.key_columns(), op1_decontaminate.text_or_empty().alias("_text"))
+    assert op1_decontaminate.candidates(given, entries, [5]).count() < 2 * n
+    found = op1_decontaminate.contained(table, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(k, k) for k in range(0, n, 10)]
