@@ -1,8 +1,9 @@
 """Operator 10: shards that each mirror the mixture of sources.
 
 Method, proportional stratified interleaving: the rows of each source are shuffled by a
-seeded digest and ranked; rank r of n rows has the fractional rank (2r - 1) / 2n; all rows
-are sorted by it, which spreads each source evenly, and the sorted sequence is cut into
+seeded digest and ranked; rank r of n rows has the fractional rank (r - u) / n, where the phase u in (0, 1)
+is the source's own, by a seeded digest; all rows are sorted by it, which spreads each source evenly, and
+many sources of a row or two over the whole sequence instead of its middle. The sorted sequence is cut into
 shards whose row counts differ by at most one (law ``rows``).
 
 Defined cases: null or empty source is a source of its own; a null text counts as the empty
@@ -37,7 +38,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, keep_row: boo
         (F.octet_length(text).cast("long") + 8).alias("_size"), F.crc32(text.cast("binary")).alias("_crc"),
     ).withColumn("_digest", seeded_digest(seed, F.col("_id"), F.col("_crc")))
     ranked = rank_in_groups(base, "_source", "_digest", ["_id", "_crc", "_size"], "_rank", "_of")
-    ranked = ranked.withColumn("_fraction", (2.0 * F.col("_rank") - 1) / (2.0 * F.col("_of")))
+    phase = (F.conv(F.substring(seeded_digest(seed, F.col("_source")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    ranked = ranked.withColumn("_fraction", (F.col("_rank") - phase) / F.col("_of"))
     placed = rank_by_fraction(ranked, "_fraction", ["_source", "_digest", "_id", "_crc", "_size"], "_at", "_total")
     placed = placed.withColumn("_shard", F.expr(f"cast((_at * {shards}) div _total as int)"))
     first = F.expr(f"(_shard * _total + {shards - 1}) div {shards}")
@@ -89,8 +91,8 @@ WITH RECURSIVE bits(i, k, c) AS (
          md5('{SEED}|' || coalesce(doc_id::VARCHAR, '\\N') || '|' || crc::VARCHAR) AS digest
   FROM documents d JOIN crcs c ON c.text = coalesce(d.text, '')
 ), ranked AS (
-  SELECT *, (2.0::DOUBLE * row_number() OVER (PARTITION BY source ORDER BY digest, doc_id, text_crc32, size) - 1)
-            / (2.0::DOUBLE * count(*) OVER (PARTITION BY source)) AS fraction
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY digest, doc_id, text_crc32, size) - (('0x' || substr(md5('{SEED}|' || source), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE)
+            / (count(*) OVER (PARTITION BY source))::DOUBLE AS fraction
   FROM base
 ), placed AS (
   SELECT *, row_number() OVER (ORDER BY fraction, source, digest, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS total FROM ranked

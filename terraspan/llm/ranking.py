@@ -43,7 +43,7 @@ def rank_in_groups(df: DataFrame, group: str, digest: str, ties: list[str], rank
 def rank_by_fraction(df: DataFrame, fraction: str, ties: list[str], position: str, total: str) -> DataFrame:
     """Adds the 0-based ``position`` by (``fraction``, ``ties``) over all rows and their ``total``.
 
-    ``fraction`` lies in [0, 1) and is near uniform, as ranks divided by a group's size are.
+    ``fraction`` lies in [0, 1] and is near uniform, as ranks less a random phase divided by a group's size are, however small the groups.
     The only window over everything sees one row a bin, BINS rows at most.
     """
     binned = df.withColumn("_bin", F.floor(F.col(fraction) * BINS).cast("int"))

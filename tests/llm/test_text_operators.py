@@ -1,6 +1,8 @@
 """Brute force, held-out accuracy and planted cases for the operators on documents."""
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -9,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fixtures import documents, words
-from terraspan.llm import op1_decontaminate, op2_simhash, op3_mixing, op5_toxicity, op9_lines, op10_sharding
+from terraspan.llm import op1_decontaminate, op2_simhash, op3_mixing, op5_toxicity, op9_lines, op10_sharding, ranking
 
 
 def slow_fingerprint(text):
@@ -393,3 +395,14 @@ def test_a_common_opening_makes_no_pairs(spark):
     assert op1_decontaminate.candidates(given, entries, [5]).count() < 2 * n
     found = op1_decontaminate.contained(table, spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(k, k) for k in range(0, n, 10)]
+
+
+def test_many_small_sources_are_spread(spark):
+    """20,000 sources of one row: they are dealt over all bins of the order, and every shard has its part of them and of a larger source."""
+    docs = documents(spark, [(k, "x", f"s{k}") for k in range(20_000)] + [(k, "y", "big") for k in range(2400)])
+    out = op10_sharding.shard(docs, keep_row=False).withColumn("big", (F.col("source") == "big").cast("int"))
+    by = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.sum("big").alias("big")).collect()
+    assert len(by) == 24 and {r.n for r in by} <= {933, 934} and all(r.last == r.n - 1 and abs(r.big - 100) <= 15 for r in by)
+    digests = [hashlib.md5(f"{op10_sharding.SEED}|s{k}".encode()).hexdigest() for k in range(20_000)]
+    bins = Counter(int((1 - (int(d[:8], 16) + 0.5) / 2**32) * ranking.BINS) for d in digests)
+    assert max(bins.values()) < 25
