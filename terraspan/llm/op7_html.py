@@ -2,13 +2,15 @@
 
 A page is read into blocks (text between block-level tags, character references decoded,
 white space collapsed), each in a zone: article, marked (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments, hidden parts: told by element, role or class), or
-open (neither). The words of all blocks outside articles are the page's token stream. The
+notices, adverts, forms, reader comments, hidden parts: told by element, role or class),
+suspect (in an article, and only a part of a longer class or id hints at chrome, as in ``social-policy``), or
+open (none of these). The words of all blocks but plain article text are the page's token stream. The
 host's suffix array over the streams of its distinct pages gives the substrings of at least
-``DEPTH`` words that two or more distinct pages share. On every page, the words that they
+``DEPTH`` words that two or more distinct pages share, and suspect blocks of fewer words that they share whole. On every page, the words that these
 cover are removed first, whatever the markup says of them, and the unique runs between them
-are kept. Markup decides about what the array leaves: a menu or advert that occurs once is
-no main text either. Article text is never removed for being repeated: pages quote and copy
+are kept. So the array decides open and suspect text: what a host repeats is boilerplate, the rest is text.
+Markup decides about marked blocks that the array leaves: a menu or advert that occurs once is
+no main text either. Plain article text is never removed for being repeated: pages quote and copy
 each other's articles, and the contract's text is the article's.
 
 The array is cut at depth DEPTH, all that coverage needs: a longer repeat is covered by its
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize, maybe_broadcast, table, text_or_empty
 
 DEPTH = 6
-ARTICLE, OPEN, MARKED = 0, 1, 2
+ARTICLE, OPEN, MARKED, SUSPECT = 0, 1, 2, 3
 
 #: Fixed values of HTML: block-level elements, elements without an end, elements whose text isn't markup.
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -50,6 +52,9 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 CHROME_TAGS = frozenset("nav footer aside form head menu dialog button select option search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CHROME_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs pagination sidebar widget related share social footer masthead cookie cookies consent notice notices alert banner popup modal newsletter subscribe signup login search skip copyright comment comments respond disqus discussion".split())
+#: Of these, the words that begin or end the class or id of a container of adverts or reader comments inside an article.
+READER_WORDS = frozenset("ad ads advert advertisement adverts sponsored comment comments respond disqus discussion".split())
+CONTAINERS = frozenset("div section ul ol table dl aside".split())
 PAGE_WORDS = CHROME_WORDS | {"header", "topbar"}
 #: Of these, the words that mark an article itself, whose class often names what goes with it.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsor sponsored sidebar widget related comment comments".split())
@@ -66,15 +71,37 @@ def _marked(attributes: str, words: frozenset = CHROME_WORDS) -> bool:
     """Whether an element's attributes say that it is chrome or hidden."""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not words.isdisjoint(SPLIT.split(value)):
-            return True
-        if name == "role" and value.strip() in CHROME_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        if name in ("class", "id") and not words.isdisjoint(SPLIT.split(value)) or _unseen(name, value):
             return True
     return False
 
 
+def _unseen(name: str, value: str) -> bool:
+    """Whether an attribute hides its element or gives it a role of chrome."""
+    if name == "role":
+        return value.strip() in CHROME_ROLES
+    return name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+
+
+def _inside(element: str, attributes: str) -> int:
+    """What the attributes of an element in an article say: 2 for chrome, 1 for a hint in part of a class or id, else 0.
+
+    A whole class or id must be a word of chrome; containers are also known by one that begins or ends with a word for adverts or comments.
+    """
+    hint = 0
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if _unseen(name, value):
+            return 2
+        for token in value.split() if name in ("class", "id") else ():
+            parts = SPLIT.split(token)
+            if token in CHROME_WORDS or element in CONTAINERS and (parts[0] in READER_WORDS or parts[-1] in READER_WORDS):
+                return 2
+            if not CHROME_WORDS.isdisjoint(parts):
+                hint = 1
+    return hint
+
+
 class Scan:
     """A search for each of some strings whose positions only grow, so a string that doesn't come any more is looked for once."""
 
@@ -144,16 +171,17 @@ def blocks(html: str) -> list[tuple[int, str]]:
     """``(zone, text)`` of the page's non-empty blocks, in page order."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether article, whether marked
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, whether article, whether marked (2) or suspect (1)
     opened: Counter = Counter()
+    foreign = 0  # open drawings and formulas, whose elements may close themselves
 
     def end_block() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                _, article, marked = stack[-1] if stack else ("", False, False)
-                out.append((MARKED if marked else ARTICLE if article else OPEN, text))
+                _, article, marked = stack[-1] if stack else ("", False, 0)
+                out.append((MARKED if marked == 2 else SUSPECT if marked else ARTICLE if article else OPEN, text))
 
     def pop() -> str:
         name = stack.pop()[0]
@@ -174,11 +202,13 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name in RAW and not closing:
             if name in BLOCK:
                 end_block()
-            if not text.endswith("/"):
+            if not (foreign and text.endswith("/")):
                 end = RAW_END[name].search(html, at)
                 last = html.find(">", end.end()) if end else -1
                 go_on = len(html) if last < 0 else last + 1
             continue
+        if name in ("svg", "math"):
+            foreign = max(0, foreign - 1) if closing else foreign + (not text.endswith("/"))
         if name not in BLOCK and name not in CHROME_TAGS:
             if not closing and "hidden" not in text and "none" not in text:
                 continue
@@ -195,10 +225,13 @@ def blocks(html: str) -> list[tuple[int, str]]:
         else:
             if name in ("p", "li") and stack and stack[-1][0] == name:  # their end may be left out
                 pop()
-            _, article, marked = stack[-1] if stack else ("", False, False)
+            _, article, marked = stack[-1] if stack else ("", False, 0)
             begins = name in ("article", "main")
-            words = ARTICLE_WORDS if begins else CHROME_WORDS if article else PAGE_WORDS
-            marked = marked or name in CHROME_TAGS or name == "header" and not article or name not in ("body", "html") and _marked(text, words)
+            if name in CHROME_TAGS or name == "header" and not article:
+                marked = 2
+            elif name not in ("body", "html"):
+                own = _inside(name, text) if article and not begins else 2 * _marked(text, ARTICLE_WORDS if begins else PAGE_WORDS)
+                marked = max(marked, own)
             stack.append((name, article or begins, marked))
             opened[name] += 1
     end_block()
@@ -206,33 +239,42 @@ def blocks(html: str) -> list[tuple[int, str]]:
 
 
 def suffixes(host: str, page: list[tuple[int, str]], depth: int = DEPTH) -> list[tuple[int, int, int]]:
-    """``(position, key high, key low)`` of each suffix of the page's stream that has ``depth`` words before an article intervenes.
+    """``(position, key high, key low)`` of each suffix of the page's stream that has ``depth`` words before article text intervenes.
 
-    The key is of the host and the words, so keys agree within one host only.
+    A suspect block of fewer words has a key of its own, at position -1 - p. The key is of the host and the words, so keys agree within one host only.
     """
     out, run, base = [], [], 0
+
+    def keyed(at: int, *words: str) -> None:
+        key = xxhash.xxh3_128_intdigest("\0".join([host, *words]).encode("utf-8", "surrogatepass"))
+        out.append((at, key >> 64, key & 0xFFFFFFFFFFFFFFFF))
+
     for zone, text in [*page, (ARTICLE, "")]:
         if zone != ARTICLE:
-            run += text.split(" ")
+            words = text.split(" ")
+            if zone == SUSPECT and len(words) < depth:
+                keyed(-1 - base - len(run), *words, "")
+            run += words
             continue
         for p in range(len(run) - depth + 1):
-            key = xxhash.xxh3_128_intdigest("\0".join([host, *run[p : p + depth]]).encode("utf-8", "surrogatepass"))
-            out.append((base + p, key >> 64, key & 0xFFFFFFFFFFFFFFFF))
+            keyed(base + p, *run[p : p + depth])
         base += len(run)
         run = []
     return out
 
 
 def assemble(page: list[tuple[int, str]], starts: list[int], depth: int = DEPTH) -> tuple[str, int, int]:
-    """The main text, given the positions in the page's stream where a shared substring of ``depth`` words begins.
+    """The main text, given the positions in the page's stream where shared substrings of ``depth`` words begin, or (-1 - p) shared short blocks.
 
     Also the number of words that the array removed, and that markup removed of the rest.
     """
     total = sum(len(text.split(" ")) for zone, text in page if zone != ARTICLE)
     covered = np.zeros(total + depth + 1, dtype=np.int64)
+    short = {-1 - s for s in starts if s < 0}
     for s in starts:
-        covered[s] += 1
-        covered[s + depth] -= 1
+        if s >= 0:
+            covered[s] += 1
+            covered[s + depth] -= 1
     covered = np.cumsum(covered) > 0
     kept, at, marked = [], 0, 0
     for zone, text in page:
@@ -240,6 +282,8 @@ def assemble(page: list[tuple[int, str]], starts: list[int], depth: int = DEPTH)
             kept.append(text)
             continue
         words = text.split(" ")
+        if at in short:
+            covered[at : at + len(words)] = True
         unique = [w for k, w in enumerate(words) if not covered[at + k]]
         at += len(words)
         if zone == MARKED:

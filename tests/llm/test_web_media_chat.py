@@ -1,13 +1,16 @@
 """Pages, archives, audio and conversations: round trips, brute force and awkward rows."""
 
 import hashlib
+import os
 import random
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA
 from fixtures import words
 from terraspan.llm import op4_telephony, op6_chat, op7_html, op8_warc
 
@@ -27,6 +30,75 @@ def test_broken_markup(html):
     assert isinstance(op7_html.assemble(op7_html.blocks(html), [])[0], str)
 
 
+def text_of(html):
+    return op7_html.assemble(op7_html.blocks(html), [])[0]
+
+
+def test_a_slash_closes_no_script():
+    assert text_of('<article><p>a</p><script src="x"/>var leaked=1;</script><p>b</p><style/>p{}</style><textarea/>t</textarea>c</article>') == "a b c"
+    assert text_of("<article><svg><script/><text>in</text></svg><p>b</p></article>") == "in b"
+
+
+def test_parts_of_a_class_are_hints_only():
+    """Whole classes, and containers of adverts and comments, are chrome in an article; a longer name that has such a word isn't."""
+    kept = ['<p id="social-policy">', '<section class="search-results">', '<p class="comment-on-it">', '<div class="market-share figures">', '<h2 id="notice-of-sale">']
+    gone = ['<div class="share">', '<p class="x advert">', '<div id="comment-list">', '<section class="post-comments">', '<ul class="ad-slot">', '<div role="search">', '<p hidden>', '<div class="newsletter big">']
+    for tag in kept + gone:
+        page = op7_html.blocks(f"<article><p>one</p>{tag}two</article>")
+        assert [z for z, _ in page][1] in ({op7_html.SUSPECT} if tag in kept else {op7_html.MARKED}), tag
+        assert op7_html.assemble(page, [])[0] == ("one two" if tag in kept else "one")
+
+
+def test_the_array_decides_suspect_blocks(spark):
+    """The same markup on every page of a host: what the pages repeat goes, long or short, what is each page's own stays."""
+    links, more = "follow our good people on every network you like", "Read more"
+    page = lambda k, host, short=more: (k, f"http://{host}/{k}", f'<article><p>{words(20, k)}</p><div class="social-links">{links} {words(3, 700 + k)}</div><p id="share-of-trade">{words(15, 300 + k)}</p><p class="related-note">{short}</p><p>{more} end</p></article>')
+    rows = [page(1, "a"), page(2, "a"), page(3, "b"), (4, *page(3, "b")[1:]), page(5, "c", "Only here"), page(6, "c", "And there")]
+    got = {r.page_id: r.text for r in op7_html.extract(pages(spark, rows)).collect()}
+    own = lambda k: f"{words(20, k)} {{}}{words(3, 700 + k)} {words(15, 300 + k)}"
+    for k in (1, 2):
+        assert got[k] == own(k).format("") + f" {more} end" != text_of(rows[k - 1][2])
+    assert got[3] == got[4] == own(3).format(links + " ") + f" {more} {more} end" == text_of(rows[2][2])
+    assert got[5] == own(5).format("") + f" Only here {more} end"
+
+
+class Reference(HTMLParser):
+    """The text of articles by the parser of the standard library, for pages as plain as the given ones."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.inside, self.skip = [""], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("aside", "nav", "form", "footer", "script", "style", "header") or dict(attrs).get("class") == "ad"
+        self.out += [""] * (tag in ("p", "div", "h1", "h2", "br", "li", "ul", "blockquote"))
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("aside", "nav", "form", "footer", "script", "style", "header")
+        self.out += [""] * (tag in ("p", "div", "h1", "h2", "li", "ul", "blockquote", "article"))
+
+    def handle_data(self, data):
+        if self.inside and self.skip <= 0:
+            self.out[-1] += data
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_all_given_pages_against_another_parser(spark):
+    got = {(r.page_id, r.url): r.text for r in op7_html.query(spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert len(got) == len({(r.page_id, r.url) for r in rows})
+    for r in rows:
+        html = r.html or ""
+        inner = html[html.find("<article") : html.rfind("</article>") + 10] if "<article" in html else ""
+        p = Reference()
+        p.feed(inner)
+        p.close()
+        want = " ".join(" ".join(x.split()) for x in p.out if x.split())
+        assert got[r.page_id, r.url] == want, r.page_id
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("_page", "host", "blocks", "starts", "text", "digest", "size")})
 
