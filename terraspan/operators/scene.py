@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.numbers import clamp, round_up
+from ..storage import materialize
 from . import raster, tracks
 
 #: Padding of a label box, line height, least visible alpha, light direction and share, steps of shading.
@@ -28,24 +29,49 @@ def label_boxes(labels: DataFrame) -> DataFrame:
     return labels.select("*", (left - PADDING).alias("bl"), (middle - height / 2 - PADDING).alias("bt"), (left + F.col("width") + PADDING).alias("br"), (middle + height / 2 + PADDING).alias("bb"))
 
 
-def declutter(labels: DataFrame, by: str = "scene") -> DataFrame:
+def declutter(labels: DataFrame, by: str = "scene", cell: float = 64.0) -> DataFrame:
     """The labels that are drawn, of ``(scene, priority, text, visible, alpha, declutter, bl, bt, br, bb)``.
 
     In order of priority a label claims its box if it overlaps no claimed one; with ``declutter``
-    false it is drawn anyway, and claims too. Hidden, faint and empty labels claim nothing. The
-    choice is sequential: a scene's labels meet in one fold, and scenes are what is distributed.
+    false it is drawn anyway, and claims too. Hidden, faint and empty labels claim nothing.
+
+    The rule is sequential, but only along chains of overlapping labels, so it is carried out in rounds that take all labels of all scenes at once.
+    Boxes lie in the cells of a grid. First, polite labels go that overlap an earlier one drawn anyway. In a round, a label that comes first in
+    every cell it touches has nothing undecided before it and is drawn; there is one such label a cell at most, and labels that overlap it go.
+    A round is a few aggregates and joins on cells with a row a (label, cell), never pairs of labels; rounds are as many as the longest chain of labels
+    each held up by the one before, which for priorities unrelated to places grows with the logarithm of the labels.
     """
     shown = F.col("visible") & (F.col("alpha") >= FAINT) & (F.coalesce(F.col("text"), F.lit("")) != "")
-    box = F.struct("priority", F.coalesce("declutter", F.lit(True)).alias("polite"), "bl", "bt", "br", "bb")
-    listed = labels.filter(shown).groupBy(by).agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
-    kind = listed.schema["_boxes"].dataType
-
-    def claim(taken: Column, b: Column) -> Column:
-        hit = F.exists(taken, lambda t: (b["bl"] < t["br"]) & (b["br"] > t["bl"]) & (b["bt"] < t["bb"]) & (b["bb"] > t["bt"]))
-        return F.when(hit & b["polite"], taken).otherwise(F.concat(taken, F.array(b)))
-
-    drawn = listed.select(by, F.explode(F.aggregate("_boxes", F.array().cast(kind), claim)).alias("_b")).select(by, F.col("_b.priority").alias("priority"))
-    return labels.filter(shown).join(drawn, [by, "priority"], "left_semi")
+    box = F.struct("priority", F.coalesce("declutter", F.lit(True)).alias("polite"), "bl", "bt", "br", "bb").alias("box")
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    cells = labels.filter(shown).select(by, box, "bl", "bt", "br", "bb").distinct().select(by, "box", F.explode(span("bl", "br")).alias("cx"), "bt", "bb")
+    cells = materialize(cells.select(by, "box", "cx", F.explode(span("bt", "bb")).alias("cy")))
+    place = [by, "cx", "cy"]
+    hit = lambda a, b: (a["bl"] < b["br"]) & (a["br"] > b["bl"]) & (a["bt"] < b["bb"]) & (a["bb"] > b["bt"])
+
+    always = cells.filter(~F.col("box.polite"))
+    polite = cells.filter("box.polite").alias("p")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in place]
+    over = F.broadcast if always.limit(1).count() == 0 else (lambda df: df)  # an empty side needs no shuffle
+    refused = polite.join(over(always.alias("q")), [*same, hit(F.col("p.box"), F.col("q.box")), F.col("q.box") < F.col("p.box")], "left_semi").select(by, "box").distinct()
+    open_ = materialize(_without(cells.filter("box.polite"), refused, by))
+    drawn = [always.select(by, "box").distinct()]
+    while open_.limit(1).count():
+        first = open_.groupBy(*place).agg(F.min("box").alias("first"))
+        seen = open_.alias("p").join(first.alias("q"), same).select(*(F.col(f"p.{c}").alias(c) for c in (*place, "box")), "first")
+        winners = materialize(seen.groupBy(by, "box").agg(F.min((F.col("box") == F.col("first")).cast("int")).alias("_won")).filter("_won = 1").select(by, "box"))
+        held = open_.alias("p").join(winners.alias("q"), [F.col(f"p.{by}").eqNullSafe(F.col(f"q.{by}")), F.col("p.box") == F.col("q.box")], "left_semi")
+        gone = open_.alias("p").join(held.alias("q"), [*same, hit(F.col("p.box"), F.col("q.box"))], "left_semi").select(by, "box").distinct()  # the winners themselves too
+        drawn.append(winners)
+        open_ = materialize(_without(open_, gone, by))
+    chosen = drawn[0]
+    for more in drawn[1:]:
+        chosen = chosen.unionByName(more)
+    return labels.filter(shown).join(chosen.select(F.col(by).alias("_by"), F.col("box.priority").alias("_priority")), [F.col(by).eqNullSafe(F.col("_by")), F.col("priority") == F.col("_priority")], "left_semi")
+
+
+def _without(cells: DataFrame, boxes: DataFrame, by: str) -> DataFrame:
+    return cells.alias("p").join(boxes.alias("q"), [F.col(f"p.{by}").eqNullSafe(F.col(f"q.{by}")), F.col("p.box") == F.col("q.box")], "left_anti")
 
 
 def overlaps(boxes: DataFrame, by: str = "scene", key: str = "priority", cell: float = 64.0) -> DataFrame:

@@ -121,7 +121,7 @@ def q_geodesic_ring(spark, sf_dir):
 
 
 def q_small_circles(spark, sf_dir):
-    p = places(spark, sf_dir).filter("id % 25 = 0").select(F.col("id").alias("line_id"), "lon", "lat", (F.col("id") % 50 + 1).cast("double").alias("radius"))
+    p = places(spark, sf_dir).select(F.col("id").alias("line_id"), "lon", "lat", (F.col("id") % 50 + 1).cast("double").alias("radius"))
     return quantised(curves.small_circles(p, 36), "lon", "lat")
 
 
@@ -217,8 +217,8 @@ def q_field(spark, sf_dir):
 
 def stops(spark, sf_dir) -> DataFrame:
     p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
-    return p.filter("p_partkey <= 60").select(
-        (k % 12).alias("palette_id"), (((k * 37) % 101) / 100.0).alias("at"), (k * 91 % 256).cast("double").alias("r"), (k * 57 % 256).cast("double").alias("g"), (k * 23 % 256).cast("double").alias("b"),
+    return p.select(
+        (k % 12 + F.floor((k - 1) / 60) * 12).alias("palette_id"), (((k * 37) % 101) / 100.0).alias("at"), (k * 91 % 256).cast("double").alias("r"), (k * 57 % 256).cast("double").alias("g"), (k * 23 % 256).cast("double").alias("b"),
         F.when(k % 4 > 0, (k % 10) / 10.0).alias("alpha"),
     )
 
@@ -227,8 +227,8 @@ def q_palette(spark, sf_dir):
     return fields.palette(stops(spark, sf_dir))
 
 
-PALETTE = """stops AS (SELECT p_partkey % 12 AS palette_id, ((p_partkey * 37) % 101) / 100.0::DOUBLE AS at_, (p_partkey * 91 % 256)::DOUBLE AS r, (p_partkey * 57 % 256)::DOUBLE AS g, (p_partkey * 23 % 256)::DOUBLE AS b,
-  CASE WHEN p_partkey % 4 > 0 THEN (p_partkey % 10) / 10.0::DOUBLE ELSE 1 END AS al FROM part WHERE p_partkey <= 60),
+PALETTE = """stops AS (SELECT p_partkey % 12 + ((p_partkey - 1) // 60) * 12 AS palette_id, ((p_partkey * 37) % 101) / 100.0::DOUBLE AS at_, (p_partkey * 91 % 256)::DOUBLE AS r, (p_partkey * 57 % 256)::DOUBLE AS g, (p_partkey * 23 % 256)::DOUBLE AS b,
+  CASE WHEN p_partkey % 4 > 0 THEN (p_partkey % 10) / 10.0::DOUBLE ELSE 1 END AS al FROM part),
 k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY palette_id) AS c, lead(at_) OVER w AS at2, lead(r) OVER w AS r2, lead(g) OVER w AS g2, lead(b) OVER w AS b2, lead(al) OVER w AS al2 FROM stops WINDOW w AS (PARTITION BY palette_id ORDER BY at_, r, g, b)),
 n AS (SELECT i, i / 255.0::DOUBLE AS at_ FROM range(256) t(i)),
 pick AS (SELECT k.*, n.i, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (n.at_ - k.at_) / (at2 - k.at_))) AS t FROM k JOIN n ON k < c AND (k = 1 OR k.at_ <= n.at_) QUALIFY row_number() OVER (PARTITION BY palette_id, i ORDER BY k DESC) = 1),
@@ -353,8 +353,7 @@ def q_clip(spark, sf_dir, space=False):
 
 
 def q_clip_space(spark, sf_dir):
-    """Only the pieces' own points: where a crossing is found by halving is left to the tests."""
-    return q_clip(spark, sf_dir, True).filter("seq % 2 = 0")
+    return q_clip(spark, sf_dir, True)
 
 
 def clip_sql(space: bool) -> str:
@@ -363,10 +362,14 @@ def clip_sql(space: bool) -> str:
     own = f"SELECT line_id, piece, idx * 2 AS seq, {sql_micro(f'{C["cx"]} + x * {C["radius"]}')} AS sx, {sql_micro(f'{C["cy"]} - y * {C["radius"]}')} AS sy FROM w WHERE seen"
     t, n = "(pz / (pz - z))", "sqrt((px + (x - px) * (pz / (pz - z))) * (px + (x - px) * (pz / (pz - z))) + (py + (y - py) * (pz / (pz - z))) * (py + (y - py) * (pz / (pz - z))))"
     cross = f" UNION ALL SELECT line_id, piece, idx * 2 - 1, {sql_micro(f'{C["cx"]} + (px + (x - px) * {t}) * (1 / {n}) * {C["radius"]}')}, {sql_micro(f'{C["cy"]} - (py + (y - py) * {t}) * (1 / {n}) * {C["radius"]}')} FROM w WHERE ps IS NOT NULL AND ps <> seen"
+    if space:  # the share of the way to the crossing, by sixteen halvings: a step goes on as long as what is seen there is what was seen before
+        there = lambda c: f"(p{c} + ({c} - p{c}) * (lo + pow(2.0::DOUBLE, -k)))"
+        lo = f"list_reduce(list_transform(range(1, 17), lambda k: k::DOUBLE), lambda lo, k: CASE WHEN (NOT ({there('z')} < 0 AND {there('x')} * {there('x')} + {there('y')} * {there('y')} < 1)) = ps THEN lo + pow(2.0::DOUBLE, -k) ELSE lo END, 0.0::DOUBLE)"
+        cross = f" UNION ALL SELECT line_id, piece, idx * 2 - 1, {sql_micro(f'{C["cx"]} + (px + (x - px) * t) * {C["radius"]}')}, {sql_micro(f'{C["cy"]} - (py + (y - py) * t) * {C["radius"]}')} FROM (SELECT *, {lo} AS t FROM w WHERE ps IS NOT NULL AND ps <> seen)"
     return f"""WITH {TURNED}, s AS (SELECT id // 30 AS line_id, id % 30 AS idx, x * {h} AS x, y * {h} AS y, z * {h} AS z FROM turned), v AS (SELECT *, {seen} AS seen FROM s),
 l AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(z) OVER o AS pz, lag(seen) OVER o AS ps FROM v WINDOW o AS (PARTITION BY line_id ORDER BY idx)),
 w AS (SELECT *, sum(CASE WHEN seen AND NOT coalesce(ps, false) THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY idx)::BIGINT AS piece FROM l)
-{own}{'' if space else cross}"""
+{own}{cross}"""
 
 
 def q_readings(spark, sf_dir):
@@ -399,7 +402,7 @@ SELECT id, CASE WHEN r2 <= 1 THEN {M(f'atan2(nx * {C["cos_lon"]} + z1 * {C["sin_
     "geo_displace": f"WITH {UNITS} SELECT id, {', '.join(f'{M(f"{c} * (1 + (id * 3.5::DOUBLE - 1000) * 30.0::DOUBLE / 6371000)")} AS {c}' for c in 'xyz')} FROM units",
     "geo_geodesic": geodesic_sql(False),
     "geo_geodesic_ring": geodesic_sql(True),
-    "geo_small_circles": f"""WITH {UNITS}, c AS (SELECT id AS line_id, x, y, z, (id % 50 + 1)::DOUBLE * (pi() / 180) AS r, CASE WHEN abs(y) < 0.9 THEN 0.0 ELSE 1.0 END::DOUBLE AS ax, CASE WHEN abs(y) < 0.9 THEN 1.0 ELSE 0.0 END::DOUBLE AS ay FROM units WHERE id % 25 = 0),
+    "geo_small_circles": f"""WITH {UNITS}, c AS (SELECT id AS line_id, x, y, z, (id % 50 + 1)::DOUBLE * (pi() / 180) AS r, CASE WHEN abs(y) < 0.9 THEN 0.0 ELSE 1.0 END::DOUBLE AS ax, CASE WHEN abs(y) < 0.9 THEN 1.0 ELSE 0.0 END::DOUBLE AS ay FROM units),
 u0 AS (SELECT *, y * 0 - z * ay AS p, z * ax - x * 0 AS q, x * ay - y * ax AS s FROM c), u1 AS (SELECT *, p / sqrt(p * p + q * q + s * s) AS ux, q / sqrt(p * p + q * q + s * s) AS uy, s / sqrt(p * p + q * q + s * s) AS uz FROM u0),
 v AS (SELECT *, y * uz - z * uy AS vx, z * ux - x * uz AS vy, x * uy - y * ux AS vz FROM u1), e AS (SELECT *, i, cos(i / 36.0::DOUBLE * (2 * pi())) * sin(r) AS ca, sin(i / 36.0::DOUBLE * (2 * pi())) * sin(r) AS sa FROM v, range(37) t(i)),
 o AS (SELECT line_id, i, x * cos(r) + ux * ca + vx * sa AS a, y * cos(r) + uy * ca + vy * sa AS b, z * cos(r) + uz * ca + vz * sa AS c FROM e)

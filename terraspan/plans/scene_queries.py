@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ SELECT ring_id, s::INTEGER AS s, {', '.join(M(f'{c} / sqrt(x * x + y * y + z * z
 
 def point_pairs(spark, sf_dir) -> DataFrame:
     """Pairs of neighbouring embeddings as rings of 16 points with whole-number coordinates."""
-    e = read(spark, sf_dir, "embeddings").filter("vec_id < 80")
+    e = read(spark, sf_dir, "embeddings")
     whole = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(*(F.floor(F.element_at("embedding", (i * 3 + k + 1).cast("int")).cast("double") * 100).cast("long").alias(n) for k, n in enumerate("xyz"))))
     r = e.select("vec_id", whole.alias("points"))
     a, b = r.filter("vec_id % 2 = 0"), r.filter("vec_id % 2 = 1")
@@ -52,25 +54,25 @@ def q_align(spark, sf_dir):
     return out.select("pair", F.col("k").cast("int").alias("k"), F.element_at(morphs.rotated(F.col("b"), F.col("k")), 1)["x"].alias("first_x"))
 
 
-ALIGN = """WITH v AS (SELECT vec_id, i, floor(embedding[i * 3 + 1]::DOUBLE * 100)::BIGINT AS x, floor(embedding[i * 3 + 2]::DOUBLE * 100)::BIGINT AS y, floor(embedding[i * 3 + 3]::DOUBLE * 100)::BIGINT AS z FROM embeddings, range(16) t(i) WHERE vec_id < 80),
+ALIGN = """WITH v AS (SELECT vec_id, i, floor(embedding[i * 3 + 1]::DOUBLE * 100)::BIGINT AS x, floor(embedding[i * 3 + 2]::DOUBLE * 100)::BIGINT AS y, floor(embedding[i * 3 + 3]::DOUBLE * 100)::BIGINT AS z FROM embeddings, range(16) t(i)),
 p AS (SELECT a.vec_id // 2 AS pair, (b.i - a.i + 16) % 16 AS k, sum(a.x * b.x + a.y * b.y + a.z * b.z) AS s FROM v a JOIN v b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1 GROUP BY 1, 2),
 w AS (SELECT pair, k FROM p QUALIFY row_number() OVER (PARTITION BY pair ORDER BY s DESC, k) = 1)
 SELECT pair, k::INTEGER AS k, v.x AS first_x FROM w JOIN v ON v.vec_id = pair * 2 + 1 AND v.i = k"""
 
 
 def polygons(spark, sf_dir, rest: int) -> DataFrame:
-    """Points of a whole-number lattice as polygon centres, 12 morphs: even customers before, odd ones after (some morphs have more of one)."""
+    """Points of a whole-number lattice as polygon centres, 6 morphs for every 144 customers: even ones before, odd ones after (some morphs have more of one)."""
     k = F.col("c_custkey")
-    c = read(spark, sf_dir, "customer").filter((k < 144) & (k % 2 == rest) & ~((k % 12 == 3) & (k > 60)) & ~((k % 12 == 4) & (k > 60)))
-    return c.select((k % 12 % 6).alias("morph_id"), k.alias("idx"), *(((k * m) % 97 / 128.0).alias(n) for n, m in zip("xyz", (31, 57, 83))), ((k * 41) % 23 / 4.0).alias("extent"))
+    c = read(spark, sf_dir, "customer").filter((k % 2 == rest) & ~((k % 12).isin(3, 4) & (k % 144 > 60)))  # a side of the morphs
+    return c.select((k % 12 % 6 + F.floor(k / 144) * 6).alias("morph_id"), k.alias("idx"), *(((k * m) % 97 / 128.0).alias(n) for n, m in zip("xyz", (31, 57, 83))), ((k * 41) % 23 / 4.0).alias("extent"))
 
 
 def q_match(spark, sf_dir):
     return morphs.match(polygons(spark, sf_dir, 0), polygons(spark, sf_dir, 1)).withColumn("pos", F.col("pos").cast("long"))
 
 
-MATCH = """WITH RECURSIVE p AS (SELECT c_custkey AS k, c_custkey % 12 % 6 AS m, (c_custkey * 31) % 97 / 128.0::DOUBLE AS x, (c_custkey * 57) % 97 / 128.0::DOUBLE AS y, (c_custkey * 83) % 97 / 128.0::DOUBLE AS z, (c_custkey * 41) % 23 / 4.0::DOUBLE AS e
-  FROM customer WHERE c_custkey < 144 AND NOT (c_custkey % 12 = 3 AND c_custkey > 60) AND NOT (c_custkey % 12 = 4 AND c_custkey > 60)),
+MATCH = """WITH RECURSIVE p AS (SELECT c_custkey AS k, c_custkey % 12 % 6 + (c_custkey // 144) * 6 AS m, (c_custkey * 31) % 97 / 128.0::DOUBLE AS x, (c_custkey * 57) % 97 / 128.0::DOUBLE AS y, (c_custkey * 83) % 97 / 128.0::DOUBLE AS z, (c_custkey * 41) % 23 / 4.0::DOUBLE AS e
+  FROM customer WHERE NOT (c_custkey % 12 IN (3, 4) AND c_custkey % 144 > 60)),
 a AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY e DESC, k) AS n FROM p WHERE k % 2 = 0), b AS (SELECT * FROM p WHERE k % 2 = 1),
 d AS (SELECT a.m, a.n, a.k AS i, b.k AS j, 1 - (a.x * b.x + a.y * b.y + a.z * b.z) AS d FROM a JOIN b ON a.m = b.m),
 ms AS (SELECT DISTINCT m FROM p),
@@ -91,7 +93,7 @@ def q_morph_blend(spark, sf_dir):
     b = tuple(F.when(F.col("id") % 10 == 0, -c).otherwise(F.lit(v)) for c, v in zip(xyz(), (0.6, 0.0, 0.8)))
     v = geo.morphed(xyz(), b, (F.col("id") % 13) / 10.0 - 0.1)
     out = p.select("id", *(c.alias(n) for n, c in zip("xyz", v)))
-    return quantised(out.filter("id % 13 <> 6"), "x", "y", "z")
+    return quantised(out, "x", "y", "z")
 
 
 def q_morph(spark, sf_dir):
@@ -103,20 +105,20 @@ def q_morph(spark, sf_dir):
 
 
 def labels(spark, sf_dir) -> DataFrame:
-    """Customers as labels of 25 scenes (their nations), 40 at most in each."""
-    c = read(spark, sf_dir, "customer").filter("c_custkey < 1000")
+    """Customers as labels of scenes, one for every nation among a thousand of them."""
+    c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     pick = F.element_at(F.array(*map(F.lit, ("right", "left", "above", "below", "centre"))), (k % 5 + 1).cast("int"))
     return c.select(
-        F.col("c_nationkey").alias("scene"), k.alias("priority"), F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("c"), k.cast("string"))).alias("text"), (k % 19 != 0).alias("visible"), ((k % 50) / 50.0).alias("alpha"),
+        (F.col("c_nationkey") + 25 * F.floor(k / 1000)).alias("scene"), k.alias("priority"), F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("c"), k.cast("string"))).alias("text"), (k % 19 != 0).alias("visible"), ((k % 50) / 50.0).alias("alpha"),
         F.when(k % 7 == 0, F.lit(False)).alias("declutter"), ((k * 37) % 400).cast("double").alias("x"), ((k * 53) % 300).cast("double").alias("y"), (20 + (k * 11) % 60).cast("double").alias("width"),
         F.when(k % 3 == 0, F.lit(20.0)).alias("size"), F.when(k % 4 > 0, pick).alias("placement"), F.when(k % 6 == 0, F.lit(4.0)).alias("gap"), F.when(k % 8 == 0, F.lit(3.0)).alias("dx"), F.lit(None).cast("double").alias("dy"),
     )
 
 
-BOXES = """lab AS (SELECT c_nationkey AS scene, c_custkey AS priority, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE 'c' || c_custkey END AS text, c_custkey % 19 <> 0 AS visible, (c_custkey % 50) / 50.0::DOUBLE AS alpha, c_custkey % 7 <> 0 AS polite,
+BOXES = """lab AS (SELECT c_nationkey + 25 * (c_custkey // 1000) AS scene, c_custkey AS priority, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE 'c' || c_custkey END AS text, c_custkey % 19 <> 0 AS visible, (c_custkey % 50) / 50.0::DOUBLE AS alpha, c_custkey % 7 <> 0 AS polite,
   ((c_custkey * 37) % 400)::DOUBLE AS x, ((c_custkey * 53) % 300)::DOUBLE AS y, (20 + (c_custkey * 11) % 60)::DOUBLE AS w, CASE WHEN c_custkey % 3 = 0 THEN 20.0 ELSE 12.0 END::DOUBLE * 1.2::DOUBLE AS h,
-  CASE WHEN c_custkey % 4 > 0 THEN (['right', 'left', 'above', 'below', 'centre'])[c_custkey % 5 + 1] ELSE 'right' END AS place, CASE WHEN c_custkey % 6 = 0 THEN 4.0 ELSE 10.0 END::DOUBLE AS gap, CASE WHEN c_custkey % 8 = 0 THEN 3.0 ELSE 0.0 END::DOUBLE AS dx FROM customer WHERE c_custkey < 1000),
+  CASE WHEN c_custkey % 4 > 0 THEN (['right', 'left', 'above', 'below', 'centre'])[c_custkey % 5 + 1] ELSE 'right' END AS place, CASE WHEN c_custkey % 6 = 0 THEN 4.0 ELSE 10.0 END::DOUBLE AS gap, CASE WHEN c_custkey % 8 = 0 THEN 3.0 ELSE 0.0 END::DOUBLE AS dx FROM customer),
 mid AS (SELECT *, CASE place WHEN 'left' THEN x - gap - w WHEN 'right' THEN x + gap ELSE x - w / 2 END + dx AS l, CASE place WHEN 'above' THEN y - gap - h / 2 WHEN 'below' THEN y + gap + h / 2 ELSE y END AS m FROM lab),
 box AS (SELECT scene, priority, text, visible, alpha, polite, l - 2 AS bl, m - h / 2 - 2 AS bt, l + w + 2 AS br, m + h / 2 + 2 AS bb FROM mid)"""
 
@@ -139,6 +141,29 @@ r AS (
 ) SELECT scene, priority, text FROM r WHERE priority IS NOT NULL"""
 
 
+def q_declutter_one_scene(spark, sf_dir):
+    """All customers in one scene, on a plane that grows with them; their priorities are shuffled."""
+    c = read(spark, sf_dir, "customer")
+    n = c.count()
+    side, k = max(1, math.isqrt(n)), F.col("c_custkey")
+    one = labels(spark, sf_dir).select(
+        F.lit(0).alias("scene"), (F.col("priority") * 7919 % 1_000_003).alias("priority"), "text", "visible", "alpha", "declutter", (F.col("priority") * 7907 % (50 * side)).cast("double").alias("x"), (F.col("priority") * 104_729 % (30 * side)).cast("double").alias("y"),
+        *(c for c in ("width", "size", "placement", "gap", "dx", "dy")),
+    )
+    return scene.declutter(scene.label_boxes(one)).select("priority", "text")
+
+
+ONE_SCENE = f"""WITH RECURSIVE {BOXES}, n AS (SELECT floor(sqrt(count(*)))::BIGINT AS side FROM customer),
+moved AS (SELECT (priority * 7919) % 1000003 AS priority, text, visible, alpha, polite, ((priority * 7907) % (50 * side))::DOUBLE - ((priority * 37) % 400) AS ox, ((priority * 104729) % (30 * side))::DOUBLE - ((priority * 53) % 300) AS oy, bl, bt, br, bb FROM box, n),
+shown AS (SELECT row_number() OVER (ORDER BY priority) AS n, priority, text, polite, bl + ox AS bl, bt + oy AS bt, br + ox AS br, bb + oy AS bb FROM moved WHERE visible AND alpha >= 0.02 AND text <> ''),
+before AS (SELECT b.n, list(a.n) AS those FROM shown a JOIN shown b ON a.n < b.n AND a.bl < b.br AND a.br > b.bl AND a.bt < b.bb AND a.bb > b.bt GROUP BY b.n),
+r AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS taken
+  UNION ALL
+  SELECT s.n, CASE WHEN s.polite AND b.those IS NOT NULL AND list_has_any(b.those, r.taken) THEN r.taken ELSE list_append(r.taken, s.n) END FROM r JOIN shown s ON s.n = r.n + 1 LEFT JOIN before b ON b.n = s.n
+) SELECT priority, text FROM shown JOIN (SELECT unnest(taken) AS n FROM r WHERE n = (SELECT count(*) FROM shown)) t ON t.n = shown.n"""
+
+
 def q_overlaps(spark, sf_dir):
     return scene.overlaps(scene.label_boxes(labels(spark, sf_dir)))
 
@@ -251,7 +276,7 @@ def q_mesh_stats(spark, sf_dir):
 
 
 def q_chunk_vertices(spark, sf_dir):
-    v = mesh.vertices(mesh.chunks(spark).filter("k % 8 = 3"), 8)
+    v = mesh.vertices(mesh.chunks(spark), 8)
     return quantised(v.drop("u", "v"), "x", "y", "z")
 
 
@@ -325,7 +350,7 @@ def _stitch_sql() -> str:
 STITCH = _stitch_sql()
 
 QUERIES = {
-    "morph_resample": q_resample, "morph_align": q_align, "morph_match": q_match, "morph_blend": q_morph_blend, "morph_polygons": q_morph, "label_boxes": q_label_boxes, "label_declutter": q_declutter, "label_overlaps": q_overlaps,
+    "morph_resample": q_resample, "morph_align": q_align, "morph_match": q_match, "morph_blend": q_morph_blend, "morph_polygons": q_morph, "label_boxes": q_label_boxes, "label_declutter": q_declutter, "label_declutter_one_scene": q_declutter_one_scene, "label_overlaps": q_overlaps,
     "scene_anchors": q_anchors, "model_vertices": q_model_vertices, "model_faces": q_model_faces, "model_faults": q_model_faults, "model_paint": q_paint, "scene_layers": q_layers, "mesh_chunks": q_chunks, "mesh_caps": q_caps,
     "mesh_build_queue": q_build_queue, "mesh_stats": q_mesh_stats, "mesh_vertices": q_chunk_vertices, "mesh_indices": q_chunk_indices, "mesh_rebuild": q_rebuild, "quadtree_leaves": q_quadtree, "quadtree_edges": q_quadtree_edges,
     "quadtree_stitch": q_quadtree_stitch, "quadtree_bulge": q_bulge,
@@ -335,8 +360,8 @@ HUT = "SELECT 'hut' AS model, i::INTEGER AS i, 0.5::DOUBLE + CASE WHEN i % 4 IN
 MAST = "SELECT 'mast', i::INTEGER, CASE WHEN i < 16 THEN cos((i % 8) / 8.0::DOUBLE * (2 * pi())) * 0.5::DOUBLE ELSE 0 END, 1 + CASE WHEN i < 8 OR i = 16 THEN -1.5 ELSE 1.5 END::DOUBLE, CASE WHEN i < 16 THEN sin((i % 8) / 8.0::DOUBLE * (2 * pi())) * 0.5::DOUBLE ELSE 0 END FROM range(18) t(i)"
 BLEND_B = {"x": "0.6::DOUBLE", "y": "0.0::DOUBLE", "z": "0.8::DOUBLE"}
 SQL = {
-    "morph_resample": RESAMPLE, "morph_align": ALIGN, "morph_match": MATCH, "label_declutter": DECLUTTER,
-    "morph_blend": f"""WITH {PLACES}, u AS (SELECT id, cos(lat * (pi() / 180)) * sin(lon * (pi() / 180)) AS x, sin(lat * (pi() / 180)) AS y, cos(lat * (pi() / 180)) * cos(lon * (pi() / 180)) AS z, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (id % 13) / 10.0::DOUBLE - 0.1::DOUBLE)) AS t FROM places WHERE id % 13 <> 6),
+    "morph_resample": RESAMPLE, "morph_align": ALIGN, "morph_match": MATCH, "label_declutter": DECLUTTER, "label_declutter_one_scene": ONE_SCENE,
+    "morph_blend": f"""WITH {PLACES}, u AS (SELECT id, cos(lat * (pi() / 180)) * sin(lon * (pi() / 180)) AS x, sin(lat * (pi() / 180)) AS y, cos(lat * (pi() / 180)) * cos(lon * (pi() / 180)) AS z, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (id % 13) / 10.0::DOUBLE - 0.1::DOUBLE)) AS t FROM places),
   b AS (SELECT *, {', '.join(f"{c} + (CASE WHEN id % 10 = 0 THEN -{c} ELSE {v} END - {c}) * t AS m{c}" for c, v in BLEND_B.items())} FROM u), n AS (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS n FROM b)
   SELECT id, {', '.join(M(f'CASE WHEN n < 1e-9 THEN {c} ELSE m{c} / n END') + f' AS {c}' for c in 'xyz')} FROM n""",
     "label_boxes": f"WITH {BOXES} SELECT scene, priority, {M('bl')} AS bl, {M('bt')} AS bt, {M('br')} AS br, {M('bb')} AS bb FROM box",
@@ -351,7 +376,7 @@ SQL = {
     "mesh_caps": f"{CAPS} SELECT k, {M('px')} AS x, {M('py')} AS y, {M('pz')} AS z, {M('reach')} AS reach, shown FROM c4",
     "mesh_build_queue": f"{STATE} SELECT k, shown, CASE WHEN sampled = -2 AND shown THEN 0 WHEN sampled = -2 THEN 1 WHEN shown THEN 2 ELSE 3 END AS class FROM st WHERE sampled = -2 OR (sampled < 2 AND stamped <> 40)",
     "mesh_stats": f"{STATE} SELECT count(*) FILTER (shown) AS drawn, count(*) FILTER (shown) * 16384 AS triangles, count(*) FILTER (sampled <> -2) AS built, count(*) AS chunks, min(least(sampled, 2)) FILTER (sampled <> -2) AS detail FROM st",
-    "mesh_vertices": f"""{CHUNKS}, g AS (SELECT *, (8 - i) / 8.0::DOUBLE AS wa, (i - j) / 8.0::DOUBLE AS wb, j / 8.0::DOUBLE AS wc FROM ch, range(9) a(i), range(9) b(j) WHERE j <= i AND k % 8 = 3), v AS (SELECT k, i, j, {', '.join(f'a{c} * wa + e{c} * wb + c{c} * wc AS {c}' for c in 'xyz')} FROM g)
+    "mesh_vertices": f"""{CHUNKS}, g AS (SELECT *, (8 - i) / 8.0::DOUBLE AS wa, (i - j) / 8.0::DOUBLE AS wb, j / 8.0::DOUBLE AS wc FROM ch, range(9) a(i), range(9) b(j) WHERE j <= i), v AS (SELECT k, i, j, {', '.join(f'a{c} * wa + e{c} * wb + c{c} * wc AS {c}' for c in 'xyz')} FROM g)
   SELECT k, i::INTEGER AS i, j::INTEGER AS j, {', '.join(M(f'{c} / sqrt(x * x + y * y + z * z)') + f' AS {c}' for c in 'xyz')} FROM v""",
     "mesh_indices": """WITH t AS (SELECT i, j, (i - 1) * i // 2 AS above, i * (i + 1) // 2 AS r FROM range(1, 17) a(i), range(16) b(j) WHERE j < i)
   SELECT i, j, true AS up, above + j AS a, r + j AS b, r + j + 1 AS c FROM t UNION ALL SELECT i, j, false, above + j, r + j + 1, above + j + 1 FROM t WHERE j < i - 1""",
