@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..storage import materialize
 
 
 def _next(by: str, order: str, *columns: str, wrap: bool = False) -> list:
@@ -141,49 +142,61 @@ def clip_rings(rings: DataFrame, cam: geo.Camera) -> DataFrame:
 
     Visible chains run from where the ring comes over the limb to where it goes behind it. From an
     exit the outline follows the limb counter-clockwise to the nearest entry, in steps of about two
-    degrees, two at least. Following entries is sequential, so a ring is clipped in one call.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def crossing(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        at = (p + (q - p) * (p[2] / (p[2] - q[2])))[:2]
-        size = np.hypot(*at)
-        return at / size if size > geo.TINY else at * 0
-
-    def loops(v: np.ndarray) -> list[np.ndarray]:
-        near = v[:, 2] > 0
-        if len(v) < 3 or not near.any():
-            return []
-        if near.all():
-            return [v[:, :2]]
-        chains = []
-        for s in np.flatnonzero(near & ~np.roll(near, 1)):
-            run = int(np.argmin(np.roll(near, -s)))  # points up to the next hidden one
-            idx = (s + np.arange(run)) % len(v)
-            chains.append(np.vstack([crossing(v[s - 1], v[s]), v[idx, :2], crossing(v[idx[-1]], v[(idx[-1] + 1) % len(v)])]))
-        enter = np.array([np.arctan2(c[0, 1], c[0, 0]) for c in chains])
-        leave = np.array([np.arctan2(c[-1, 1], c[-1, 0]) for c in chains])
-        free, out = set(range(len(chains))), []
-        while free:
-            at, parts = min(free), []
-            while at in free:
-                free.remove(at)
-                turn = np.mod(enter - leave[at], 2 * np.pi)
-                ahead = int(np.argmin(turn))
-                steps = max(2, int(np.ceil(turn[ahead] / (2 * np.pi) * 180)))
-                arc = leave[at] + turn[ahead] * np.arange(1, steps + 1) / steps
-                parts += [chains[at], np.stack([np.cos(arc), np.sin(arc)], axis=1)]
-                at = ahead
-            out.append(np.vstack(parts))
-        return out
-
-    def clip(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        found = loops(frame[["x", "y", "z"]].to_numpy())
-        rows = [(frame["ring_id"].iloc[0], k, i, cam.cx + x * cam.radius, cam.cy - y * cam.radius) for k, loop in enumerate(found) for i, (x, y) in enumerate(loop)]
-        return pd.DataFrame(rows, columns=["ring_id", "loop", "seq", "sx", "sy"])
+    degrees, two at least. A ring of fewer than 3 points, or wholly behind, has no loop; one wholly in front is its own.
 
+    Exits and entries are sorted by their angle on the limb, so an exit's entry is the next row, around the circle. Which chains make a loop,
+    and in what order, is found by pointer doubling: every chain is known by the first one that leads to it and by how many hops.
+    """
+    order = Window.partitionBy("ring_id").orderBy("idx")
+    whole = Window.partitionBy("ring_id")
     turned = rings.select("ring_id", "idx", *(c.alias(n) for n, c in zip("xyz", geo.rotate(cam, tuple(F.col(c) for c in "xyz")))))
-    key = rings.schema["ring_id"].dataType.simpleString()
-    return turned.groupBy("ring_id").applyInPandas(clip, f"ring_id {key}, loop int, seq int, sx double, sy double")
+    point = F.struct(*"xyz")
+    seen = turned.select("*", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(whole).alias("n"), F.sum((F.col("z") > 0).cast("int")).over(whole).alias("_near"))
+    seen = seen.filter((F.col("n") >= 3) & (F.col("_near") > 0))
+    ends = {"_p": F.coalesce(F.lag(point).over(order), F.max_by(point, "idx").over(whole)), "_q": F.coalesce(F.lead(point).over(order), F.min_by(point, "idx").over(whole))}
+    seen = seen.select("*", *(c.alias(k) for k, c in ends.items())).filter("z > 0")
+    front = seen.filter(F.col("_near") == F.col("n")).select("ring_id", F.lit(0).alias("_first"), F.col("i").cast("long").alias("seq"), "x", "y")
+
+    enters, leaves = F.col("_p.z") <= 0, F.col("_q.z") <= 0
+    cut = seen.filter(F.col("_near") < F.col("n")).withColumns({"_count": F.sum(enters.cast("int")).over(order), "_chains": F.sum(enters.cast("int")).over(whole)})
+    cut = materialize(cut.withColumn("chain", F.pmod(F.col("_count") - 1, F.col("_chains")).cast("int")))
+    here = tuple(F.col(c) for c in "xyz")
+    vec = lambda name: tuple(F.col(f"{name}.{c}") for c in "xyz")
+    (ex, ey), (lx, ly) = geo.limb_crossing(vec("_p"), here), geo.limb_crossing(here, vec("_q"))
+    chains = cut.groupBy("ring_id", "chain").agg(
+        F.max(F.when(enters, F.struct(F.col("i").alias("s"), ex.alias("ex"), ey.alias("ey")))).alias("_e"), F.max(F.when(leaves, F.struct(lx.alias("lx"), ly.alias("ly")))).alias("_l"), F.count(F.lit(1)).alias("m"), F.max("_chains").alias("_chains"),
+    ).select("ring_id", "chain", "m", "_chains", "_e.*", "_l.*")
+    chains = materialize(chains.withColumns({"enter": F.atan2("ey", "ex"), "leave": F.atan2("ly", "lx")}))
+
+    around = chains.select("ring_id", "chain", F.col("leave").alias("angle"), F.lit(0).alias("kind")).unionByName(chains.select("ring_id", "chain", F.col("enter").alias("angle"), F.lit(1).alias("kind")))
+    entry = F.when(F.col("kind") == 1, F.struct(F.col("angle"), F.col("chain")))
+    ahead = Window.partitionBy("ring_id").orderBy("angle", "kind", "chain").rowsBetween(1, Window.unboundedFollowing)
+    hops = around.select("ring_id", "chain", "kind", F.first(entry, ignorenulls=True).over(ahead).alias("_next"), F.min(entry).over(whole).alias("_least")).filter("kind = 0")
+    hops = hops.select("ring_id", "chain", F.coalesce("_next", "_least").alias("_to"), F.col("_next").isNull().cast("int").alias("_round"))
+    hops = materialize(hops.select("ring_id", "chain", F.col("_to.chain").alias("ahead"), (F.col("_to.angle") + F.col("_round") * 2 * math.pi).alias("until")))
+
+    known, jump, reach = hops.select("ring_id", "chain", F.struct(F.col("chain").alias("first"), F.lit(0).cast("long").alias("hops")).alias("by")), hops.select("ring_id", "chain", "ahead"), 1
+    most = chains.agg(F.max("_chains")).first()[0] or 0
+    while reach < most:
+        sent = known.join(jump, ["ring_id", "chain"]).select("ring_id", F.col("ahead").alias("chain"), F.struct(F.col("by.first").alias("first"), (F.col("by.hops") + reach).alias("hops")).alias("by"))
+        known = materialize(known.unionByName(sent).groupBy("ring_id", "chain").agg(F.min("by").alias("by")))
+        jump = materialize(jump.join(jump.select("ring_id", F.col("chain").alias("ahead"), F.col("ahead").alias("_further")), ["ring_id", "ahead"]).select("ring_id", "chain", F.col("_further").alias("ahead")))
+        reach *= 2
+
+    turn = F.col("until") - F.col("leave")
+    whole_chains = chains.join(hops.select("ring_id", "chain", "until"), ["ring_id", "chain"]).join(known, ["ring_id", "chain"]).select("*", F.col("by.first").alias("_first"), turn.alias("turn"))
+    whole_chains = whole_chains.withColumn("steps", F.greatest(F.lit(2), F.ceil(F.col("turn") / (2 * math.pi) * 180)).cast("int"))
+    before = Window.partitionBy("ring_id", "_first").orderBy("by.hops").rowsBetween(Window.unboundedPreceding, -1)
+    whole_chains = materialize(whole_chains.withColumn("_at", F.coalesce(F.sum(F.col("m") + 2 + F.col("steps")).over(before), F.lit(0))))
+    arc = F.col("leave") + F.col("turn") * F.col("k") / F.col("steps")
+    limb = whole_chains.select("*", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("k"))
+    points = cut.select("ring_id", "chain", "i", "n", "x", "y").join(whole_chains.select("ring_id", "chain", "_first", "_at", "s"), ["ring_id", "chain"])
+    made = [
+        front, whole_chains.select("ring_id", "_first", F.col("_at").alias("seq"), F.col("ex").alias("x"), F.col("ey").alias("y")), whole_chains.select("ring_id", "_first", (F.col("_at") + F.col("m") + 1).alias("seq"), F.col("lx").alias("x"), F.col("ly").alias("y")),
+        points.select("ring_id", "_first", (F.col("_at") + 1 + F.pmod(F.col("i") - F.col("s"), F.col("n"))).alias("seq"), "x", "y"), limb.select("ring_id", "_first", (F.col("_at") + F.col("m") + 1 + F.col("k")).alias("seq"), F.cos(arc).alias("x"), F.sin(arc).alias("y")),
+    ]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    loop = F.dense_rank().over(Window.partitionBy("ring_id").orderBy("_first")) - 1
+    return out.select("ring_id", loop.cast("int").alias("loop"), F.col("seq").cast("int").alias("seq"), (cam.cx + F.col("x") * cam.radius).alias("sx"), (cam.cy - F.col("y") * cam.radius).alias("sy"))

@@ -218,7 +218,7 @@ def q_field(spark, sf_dir):
 def stops(spark, sf_dir) -> DataFrame:
     p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
     return p.select(
-        (k % 12 + F.floor((k - 1) / 60) * 12).alias("palette_id"), (((k * 37) % 101) / 100.0).alias("at"), (k * 91 % 256).cast("double").alias("r"), (k * 57 % 256).cast("double").alias("g"), (k * 23 % 256).cast("double").alias("b"),
+        (k % 12 + F.floor(k / 60) * 12).alias("palette_id"), (((k * 37) % 101) / 100.0).alias("at"), (k * 91 % 256).cast("double").alias("r"), (k * 57 % 256).cast("double").alias("g"), (k * 23 % 256).cast("double").alias("b"),
         F.when(k % 4 > 0, (k % 10) / 10.0).alias("alpha"),
     )
 
@@ -227,12 +227,12 @@ def q_palette(spark, sf_dir):
     return fields.palette(stops(spark, sf_dir))
 
 
-PALETTE = """stops AS (SELECT p_partkey % 12 + ((p_partkey - 1) // 60) * 12 AS palette_id, ((p_partkey * 37) % 101) / 100.0::DOUBLE AS at_, (p_partkey * 91 % 256)::DOUBLE AS r, (p_partkey * 57 % 256)::DOUBLE AS g, (p_partkey * 23 % 256)::DOUBLE AS b,
+PALETTE = """stops AS (SELECT p_partkey % 12 + (p_partkey // 60) * 12 AS palette_id, ((p_partkey * 37) % 101) / 100.0::DOUBLE AS at_, (p_partkey * 91 % 256)::DOUBLE AS r, (p_partkey * 57 % 256)::DOUBLE AS g, (p_partkey * 23 % 256)::DOUBLE AS b,
   CASE WHEN p_partkey % 4 > 0 THEN (p_partkey % 10) / 10.0::DOUBLE ELSE 1 END AS al FROM part),
 k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY palette_id) AS c, lead(at_) OVER w AS at2, lead(r) OVER w AS r2, lead(g) OVER w AS g2, lead(b) OVER w AS b2, lead(al) OVER w AS al2 FROM stops WINDOW w AS (PARTITION BY palette_id ORDER BY at_, r, g, b)),
 n AS (SELECT i, i / 255.0::DOUBLE AS at_ FROM range(256) t(i)),
-pick AS (SELECT k.*, n.i, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (n.at_ - k.at_) / (at2 - k.at_))) AS t FROM k JOIN n ON k < c AND (k = 1 OR k.at_ <= n.at_) QUALIFY row_number() OVER (PARTITION BY palette_id, i ORDER BY k DESC) = 1),
-ramp AS (SELECT palette_id, i::INTEGER AS n, CAST(floor(r + (r2 - r) * t + 0.5) AS INTEGER) AS r, CAST(floor(g + (g2 - g) * t + 0.5) AS INTEGER) AS g, CAST(floor(b + (b2 - b) * t + 0.5) AS INTEGER) AS b, CAST(floor((al + (al2 - al) * t) * 255 + 0.5) AS INTEGER) AS a FROM pick)"""
+pick AS (SELECT k.*, n.i, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (n.at_ - k.at_) / (at2 - k.at_))) AS t FROM k JOIN n ON (k < c OR c = 1) AND (k = 1 OR k.at_ <= n.at_) QUALIFY row_number() OVER (PARTITION BY palette_id, i ORDER BY k DESC) = 1),
+ramp AS (SELECT palette_id, i::INTEGER AS n, CAST(floor(r + (coalesce(r2, r) - r) * t + 0.5) AS INTEGER) AS r, CAST(floor(g + (coalesce(g2, g) - g) * t + 0.5) AS INTEGER) AS g, CAST(floor(b + (coalesce(b2, b) - b) * t + 0.5) AS INTEGER) AS b, CAST(floor((al + (coalesce(al2, al) - al) * t) * 255 + 0.5) AS INTEGER) AS a FROM pick)"""
 
 
 def q_overlay(spark, sf_dir):
@@ -371,6 +371,32 @@ l AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(z) OVER o AS pz, l
 w AS (SELECT *, sum(CASE WHEN seen AND NOT coalesce(ps, false) THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY idx)::BIGINT AS piece FROM l)
 {own}{cross}"""
 
+def clip_rings_sql() -> str:
+    """The loops' count, points and area: entries and exits along each ring, the nearest entry ahead of every exit, and the walk over them from the first chain on."""
+    cross = lambda ax, bx, az, bz: f"({ax} + ({bx} - {ax}) * ({az} / ({az} - {bz})))"
+    unit_ = lambda s: ", ".join(f"c{s}{a} / sqrt(c{s}x * c{s}x + c{s}y * c{s}y) AS {s}{a}" for a in "xy")
+    return f"""WITH RECURSIVE {CLEAN}, uu AS (SELECT ring_id, idx, cos(lat * (pi() / 180)) * sin(lon * (pi() / 180)) AS x, sin(lat * (pi() / 180)) AS y, cos(lat * (pi() / 180)) * cos(lon * (pi() / 180)) AS z FROM kept),
+v AS (SELECT ring_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY ring_id) AS n, x * {C['cos_lon']} - z * {C['sin_lon']} AS x, y * {C['cos_lat']} - (x * {C['sin_lon']} + z * {C['cos_lon']}) * {C['sin_lat']} AS y, y * {C['sin_lat']} + (x * {C['sin_lon']} + z * {C['cos_lon']}) * {C['cos_lat']} AS z FROM uu WINDOW w AS (PARTITION BY ring_id ORDER BY idx)),
+e AS (SELECT v.*, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz, v.z > 0 AS near, v.z > 0 AND NOT p.z > 0 AS enters, v.z > 0 AND NOT q.z > 0 AS leaves FROM v JOIN v p ON p.ring_id = v.ring_id AND p.i = (v.i + v.n - 1) % v.n JOIN v q ON q.ring_id = v.ring_id AND q.i = (v.i + 1) % v.n WHERE v.n >= 3),
+nears AS (SELECT *, count(*) FILTER (enters) OVER (PARTITION BY ring_id ORDER BY i) AS cum, count(*) FILTER (enters) OVER (PARTITION BY ring_id) AS chains, count(*) FILTER (near) OVER (PARTITION BY ring_id) AS shown FROM e),
+pts AS (SELECT *, (cum + chains - 1) % greatest(1, chains) AS chain FROM nears WHERE near AND chains > 0),
+s AS (SELECT ring_id, chain, i AS s, {cross('px', 'x', 'pz', 'z')} AS cex, {cross('py', 'y', 'pz', 'z')} AS cey FROM pts WHERE enters), l AS (SELECT ring_id, chain, {cross('x', 'qx', 'z', 'qz')} AS clx, {cross('y', 'qy', 'z', 'qz')} AS cly FROM pts WHERE leaves),
+ch AS (SELECT ring_id, chain, s, {unit_('e')}, {unit_('l')}, (SELECT count(*) FROM pts WHERE pts.ring_id = s.ring_id AND pts.chain = s.chain) AS m FROM s JOIN l USING (ring_id, chain)),
+an AS (SELECT *, atan2(ey, ex) AS enter_, atan2(ly, lx) AS leave_ FROM ch),
+hop AS (SELECT a.ring_id, a.chain, b.chain AS ahead, CASE WHEN b.enter_ >= a.leave_ THEN b.enter_ - a.leave_ ELSE b.enter_ - a.leave_ + 2 * pi() END AS turn FROM an a JOIN an b ON b.ring_id = a.ring_id QUALIFY row_number() OVER (PARTITION BY a.ring_id, a.chain ORDER BY turn, b.chain) = 1),
+walk AS (SELECT ring_id, chain AS begun, chain AS at_, 0 AS d FROM hop UNION ALL SELECT w.ring_id, w.begun, h.ahead, w.d + 1 FROM walk w JOIN hop h ON h.ring_id = w.ring_id AND h.chain = w.at_ WHERE w.d + 1 < (SELECT count(*) FROM hop o WHERE o.ring_id = w.ring_id)),
+lab AS (SELECT ring_id, at_ AS chain, begun, d FROM walk QUALIFY row_number() OVER (PARTITION BY ring_id, at_ ORDER BY begun, d) = 1),
+sized AS (SELECT an.*, begun, d, turn, greatest(2, ceil(turn / (2 * pi()) * 180))::BIGINT AS steps FROM an JOIN lab USING (ring_id, chain) JOIN hop USING (ring_id, chain)),
+placed AS (SELECT *, coalesce(sum(m + 2 + steps) OVER (PARTITION BY ring_id, begun ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized),
+loops AS (
+  SELECT ring_id, begun, before AS seq, ex AS x, ey AS y FROM placed UNION ALL SELECT ring_id, begun, before + m + 1, lx, ly FROM placed
+  UNION ALL SELECT p.ring_id, begun, before + 1 + (pts.i - p.s + pts.n) % pts.n, pts.x, pts.y FROM placed p JOIN pts ON pts.ring_id = p.ring_id AND pts.chain = p.chain
+  UNION ALL SELECT ring_id, begun, before + m + 1 + j, cos(leave_ + turn * j / steps), sin(leave_ + turn * j / steps) FROM (SELECT *, unnest(range(1, steps + 1)) AS j FROM placed)
+  UNION ALL SELECT ring_id, 0, i, x, y FROM nears WHERE shown = n
+), xy AS (SELECT ring_id, begun, seq, {C['cx']} + x * {C['radius']} AS sx, {C['cy']} - y * {C['radius']} AS sy FROM loops),
+edges AS (SELECT *, coalesce(lead(sx) OVER w, first_value(sx) OVER w) AS nx, coalesce(lead(sy) OVER w, first_value(sy) OVER w) AS ny FROM xy WINDOW w AS (PARTITION BY ring_id, begun ORDER BY seq))
+SELECT ring_id, count(DISTINCT begun) AS loops, count(*) AS points, round(abs(sum((sx * ny - nx * sy) / 2)), 3) AS area FROM edges GROUP BY ring_id"""
+
 
 def q_readings(spark, sf_dir):
     p = places(spark, sf_dir)
@@ -428,6 +454,7 @@ SELECT orbit_id, i::INTEGER AS i, {M('now - trail * (i + 1) / steps')} AS "from"
     "ring_orient": f"WITH {MEASURES} SELECT u.ring_id, CASE WHEN ax * mx + ay * my + az * mz < 0 THEN n - 1 - idx ELSE idx END AS idx, {M('x')} AS x, {M('y')} AS y, {M('z')} AS z FROM uu u JOIN mm USING (ring_id)",
     "clip_globe": clip_sql(False),
     "clip_space": clip_sql(True),
+    "clip_rings": clip_rings_sql(),
     "text_readings": f"""WITH {PLACES} SELECT id, printf('%.1f', abs(lat + 0.001::DOUBLE)) || '°' || CASE WHEN lat + 0.001::DOUBLE < 0 THEN 'S' ELSE 'N' END AS latitude, printf('%.1f', abs(lon + 0.001::DOUBLE)) || '°' || CASE WHEN lon + 0.001::DOUBLE < 0 THEN 'W' ELSE 'E' END AS longitude,
   printf('%.0f', abs(lat + 0.001::DOUBLE)) || '°' || CASE WHEN lat + 0.001::DOUBLE >= 0 THEN 'N' ELSE 'S' END AS whole, format('{{:,}}', id * 7919) AS count,
   CASE WHEN 40075 / (512 * pow(2, id % 12)) >= 10 THEN CAST(floor(40075 / (512 * pow(2, id % 12)) + 0.5) AS BIGINT)::VARCHAR ELSE printf('%.1f', 40075 / (512 * pow(2, id % 12))) END || ' km' AS spacing,
