@@ -260,6 +260,45 @@ def test_call_levels(spark):
         assert got == want
 
 
+def test_cycles_of_needless_edges_stay_cycles(spark):
+    """Each edge among a, b and c has a way over two others; d hangs on them, e doesn't."""
+    edges = [(x, y) for x in "abc" for y in "abc" if x != y] + [("d", "a"), ("d", "e"), ("f", "e"), ("f", "g"), ("g", "e")]
+    calls = spark.createDataFrame([(x,) for x in "abcdefg"], "call_id string")
+    got = {x.call_id: x.level for x in op6_chat.levels(calls, spark.createDataFrame(edges, "call_id string, on_id string")).collect()}
+    assert got == {"e": 0, "g": 1, "f": 2}
+
+
+def test_a_thousand_turns_take_a_few_rounds(spark):
+    """Every call names the two before it: the needless edges go, and the chain is measured by doubling."""
+    import time
+
+    n = 1000
+    calls = spark.createDataFrame([(str(k),) for k in range(n)], "call_id string")
+    edges = spark.createDataFrame([(str(k), str(k - d)) for k in range(n) for d in (1, 2) if k >= d], "call_id string, on_id string")
+    began = time.monotonic()
+    assert {x.call_id: x.level for x in op6_chat.levels(calls, edges).collect()} == {str(k): k for k in range(n)}
+    assert time.monotonic() - began < 60
+
+
+def test_nested_arguments(spark):
+    """Objects in objects, arrays of objects, lists of allowed values: faults by path, canonical form in key order."""
+    import json
+
+    schemas = {"t": {"to": ({"name": ("string", True), "tags": ([{"k": (("a", "b"), True), "w": ("number", False)}], False)}, True), "rows": ([["integer"]], False), "none": ({}, False)}}
+    given = [
+        {"to": {"tags": [{"w": 2.0, "k": "b"}, {"k": "a", "w": 0.5}], "name": "é"}, "rows": [[1, 2], []]}, {"to": {"name": 1, "tags": [{"k": "c"}, {"w": "x"}], "more": 0}}, {"rows": [1, ["x"], [1.5]]}, {"to": []}, {"to": None, "rows": {}}, {"to": {"name": ""}, "none": {}},
+        {"to": {"name": "x"}, "none": {"y": 1}},
+    ]
+    want = [
+        "", "missing to.tags[].k,type to.name,type to.tags[].w,unexpected to.more,value to.tags[].k", "missing to,type rows[],type rows[][]", "type to", "type rows,type to", "", "unexpected none.y",
+    ]
+    calls = spark.createDataFrame([(str(k), "t", json.dumps(a), None) for k, a in enumerate(given)], "call_id string, name string, arguments string, depends array<string>")
+    got = {r.call_id: r for r in op6_chat.link(calls, spark.createDataFrame([], "call_id string, content string"), schemas).collect()}
+    assert [got[str(k)].errors for k in range(len(given))] == want
+    assert '"arguments":{"rows":[[1,2],[]],"to":{"name":"é","tags":[{"k":"b","w":2},{"k":"a","w":0.5}]}},' in got["0"].record and '"arguments":{"none":{},"to":{"name":""}},' in got["5"].record
+    assert all(json.loads(r.record) for r in got.values())
+
+
 def test_linking(spark):
     calls = spark.createDataFrame([
         ("a", "reply", '{"words": 2, "prompt": "x \\"y\\""}', None), ("b", "reply", '{"prompt": 5}', ["a", "zz"]), ("c", "dance", "{}", ["b"]), ("d", "configure", "not json", []),
