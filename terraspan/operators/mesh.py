@@ -118,12 +118,11 @@ def stats(state: DataFrame, per_chunk: int = 4 ** (MESH_LEVEL - CHUNK_LEVEL)) ->
 def rebuilt(spark: SparkSession, state: DataFrame, resident: int, sample) -> DataFrame:
     """``(k, i, j, x, y, z, height, level)`` of the chunks that want it: only those are sampled anew.
 
-    ``sample`` adds ``height, answered`` to ``(point_id, u, v)``, as ``raster.sample_heights`` does.
+    ``sample`` adds ``height, answered`` to points with ``(point_id, u, v)`` and other columns, as ``raster.sample_heights`` does.
     """
     todo = build_queue(state, resident).select("k")
     grid = vertices(chunks(spark).join(todo, "k", "left_semi")).withColumn("point_id", F.struct("k", "i", "j"))
-    got = sample(grid.select("point_id", "u", "v")).select("point_id", "height", "answered")
-    return grid.join(got, "point_id").select("k", "i", "j", "x", "y", "z", "height", F.col("answered").alias("level"))
+    return sample(grid).select("k", "i", "j", "x", "y", "z", "height", F.col("answered").alias("level"))
 
 
 def bulge(level: Column) -> Column:

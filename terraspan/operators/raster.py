@@ -161,35 +161,44 @@ def in_tile(z: Column, u: Column, v: Column, tile: int = TILE) -> tuple[Column,
     return (u - F.floor(u)) * width - 0.5 - tx * tile + BORDER, v * (width / 2) - 0.5 - ty * tile + BORDER
 
 
+def tile_arrays(stored: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(z, ty, tx, samples)`` from samples ``(z, ty, tx, r, c, h)``: a row a tile, its samples row by row as ``(at, h)``."""
+    at = (F.col("r") * (tile + 2 * BORDER) + F.col("c")).cast("int")
+    return stored.groupBy("z", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("h").cast("double").alias("h")))).alias("samples"))
+
+
+def _tap(samples: Column, at: Column, whole: int) -> Column:
+    """The sample at a place; in tiles that lack some it is looked for."""
+    at = at.cast("int")
+    return F.when(F.size(samples) == whole, F.get(samples, at)["h"]).otherwise(F.get(F.filter(samples, lambda s: s["at"] == at), F.lit(0))["h"])
+
+
 def sample_heights(points: DataFrame, stored: DataFrame, level: int, tile: int = TILE, slopes: bool = False) -> DataFrame:
-    """Adds ``height, answered`` (and ``east, north``) to points ``(point_id, u, v)``.
+    """Adds ``height, answered`` (and ``east, north``) to points ``(point_id, u, v)``; other columns stay.
 
-    ``stored`` has the resident tiles' samples ``(z, ty, tx, r, c, h)``. The finest level up to
+    ``stored`` has the resident tiles' samples ``(z, ty, tx, r, c, h)``, or is ``tile_arrays``. The finest level up to
     ``level`` that has the point's tile answers, bilinearly; without any the height is 0 and the
-    level -1. Levels are tried by one equi-join on (z, ty, tx), taps by another.
+    level -1. A point meets its tile of each level in one equi-join on (z, ty, tx) and takes four elements of the tile's array;
+    the finest answer is a partial aggregate, so neither samples nor tiles travel with the points.
     """
-    z = F.col("z")
-    asked = points.select("point_id", "u", "v", F.explode(F.sequence(F.lit(0), F.lit(level))).alias("z"))
+    z, n = F.col("z"), tile + 2 * BORDER
+    tiles = stored if "samples" in stored.columns else tile_arrays(stored, tile)
+    asked = points.select(F.monotonically_increasing_id().alias("_n"), F.struct(*points.columns).alias("_row"), "u", "v")
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(level))).alias("z"))
     tx, ty = tile_of(z, F.col("u"), F.col("v"))
-    asked = asked.withColumn("tx", tx).withColumn("ty", ty)
-    resident = stored.select("z", "ty", "tx").distinct()
-    found = asked.join(resident, ["z", "ty", "tx"], "left_semi").groupBy("point_id").agg(F.max_by(F.struct("z", "ty", "tx", "u", "v"), "z").alias("_s")).select("point_id", "_s.*")
     fx, fy = in_tile(z, F.col("u"), F.col("v"), tile)
-    found = found.withColumn("_fx", fx).withColumn("_fy", fy)
-    taps = F.array(*(F.struct(F.lit(i).alias("i"), (F.floor("_fx") + i % 2).alias("c"), (F.floor("_fy") + i // 2).alias("r")) for i in range(4)))
-    each = found.withColumn("_t", F.explode(taps)).select("*", "_t.i", "_t.c", "_t.r").drop("_t")
-    got = each.join(stored, ["z", "ty", "tx", "r", "c"])
-    pick = lambda i: F.max(F.when(F.col("i") == i, F.col("h"))).cast("double").alias(f"h{i}")
-    four = got.groupBy("point_id", "z", "v", (F.col("_fx") - F.floor("_fx")).alias("sx"), (F.col("_fy") - F.floor("_fy")).alias("sy")).agg(*(pick(i) for i in range(4)))
-    top, bottom = F.expr("h0 + (h1 - h0) * sx"), F.expr("h2 + (h3 - h2) * sx")
-    added = {"height": top + (bottom - top) * F.col("sy"), "answered": z}
+    asked = asked.withColumns({"tx": tx, "ty": ty, "_fx": fx, "_fy": fy})
+    met = asked.join(tiles.select("z", "ty", "tx", "samples"), ["z", "ty", "tx"], "left")
+    first = F.floor("_fy") * n + F.floor("_fx")
+    taps = [_tap(F.col("samples"), first + step, n * n).alias(f"h{i}") for i, step in enumerate((0, 1, n, n + 1))]
+    four = F.struct(z.alias("z"), (F.col("_fx") - F.floor("_fx")).alias("sx"), (F.col("_fy") - F.floor("_fy")).alias("sy"), *taps)
+    best = met.select("_n", "_row", F.when(F.col("samples").isNotNull(), four).alias("_s")).groupBy("_n").agg(F.any_value("_row").alias("_row"), F.max_by("_s", F.col("_s.z")).alias("_s"))
+    got = best.select("_row.*", F.col("_s.z").alias("_z"), *(F.col(f"_s.{c}").alias(f"_{c}") for c in ("sx", "sy", "h0", "h1", "h2", "h3")))
+    top, bottom = F.expr("_h0 + (_h1 - _h0) * _sx"), F.expr("_h2 + (_h3 - _h2) * _sx")
+    added = {"height": F.coalesce(top + (bottom - top) * F.col("_sy"), F.lit(0.0)), "answered": F.coalesce("_z", F.lit(-1))}
     if slopes:
-        width = tiles_across(z) * tile
+        width = tiles_across(F.col("_z")) * tile
         cos_lat = F.greatest(F.lit(MIN_COS_LAT), F.cos((0.5 - F.col("v")) * F.pi()))
-        added["east"] = F.expr("h1 - h0 + (h3 - h2 - (h1 - h0)) * sy") * width / (2 * F.pi() * EARTH_RADIUS_M * cos_lat)
-        added["north"] = -F.expr("h2 - h0 + (h3 - h1 - (h2 - h0)) * sx") * (width / 2) / (F.pi() * EARTH_RADIUS_M)
-    answers = four.select("point_id", *(c.alias(n) for n, c in added.items()))
-    out = points.join(answers, "point_id", "left").withColumn("height", F.coalesce("height", F.lit(0.0))).withColumn("answered", F.coalesce("answered", F.lit(-1)))
-    for n in ("east", "north") if slopes else ():
-        out = out.withColumn(n, F.coalesce(n, F.lit(0.0)))
-    return out
+        added["east"] = F.coalesce(F.expr("_h1 - _h0 + (_h3 - _h2 - (_h1 - _h0)) * _sy") * width / (2 * F.pi() * EARTH_RADIUS_M * cos_lat), F.lit(0.0))
+        added["north"] = F.coalesce(-F.expr("_h2 - _h0 + (_h3 - _h1 - (_h2 - _h0)) * _sx") * (width / 2) / (F.pi() * EARTH_RADIUS_M), F.lit(0.0))
+    return got.select(*points.columns, *(c.alias(k) for k, c in added.items()))

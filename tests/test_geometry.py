@@ -282,3 +282,32 @@ def test_rebuild_on_arrival(spark, tmp_path):
     stream = spark.readStream.schema("k long").parquet(src)
     sessions.rebuild_on_arrival(stream, lambda b: b.select("k", (F.col("k") * 10).alias("v")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [10, 20]
+
+
+def test_sampling_by_samples_and_by_arrays(spark):
+    """Tiles with all samples, one that lacks some, and points on borders; repeated points and other columns stay."""
+    rows = [(z, ty, tx, r, c, (z * 50 + ty * 31 + tx * 17 + r * 7 + c * 3) % 97) for z in (0, 1) for ty in range(2 << z) for tx in range(4 << z) for r in range(6) for c in range(6) if not (z == 1 and tx % 3 == 0)]
+    lost = (0, 0, 0, 2, 2)
+    stored = spark.createDataFrame([r for r in rows if r[:5] != lost], "z int, ty long, tx long, r long, c long, h long")
+    have, tiles = {r[:5]: float(r[5]) for r in rows if r[:5] != lost}, {r[:3] for r in rows}
+    asked = [(k, ((k * 37) % 101) / 50 - 0.5, ((k * 53) % 97) / 97, "x") for k in range(200)] + [(0, -0.5, 0.0, "x"), (900, 0.99999, 1.0, None)]
+    points = spark.createDataFrame(asked, "point_id long, u double, v double, more string")
+
+    def plain(u, v):
+        for z in (1, 0):
+            across, down, f = 4 << z, 2 << z, u - math.floor(u)
+            tx, ty = min(across - 1, max(0, math.floor(f * across))), min(down - 1, max(0, math.floor(v * down)))
+            if (z, ty, tx) in tiles:
+                x, y = f * across * 4 - 0.5 - tx * 4 + 1, v * down * 4 - 0.5 - ty * 4 + 1
+                c, r = math.floor(x), math.floor(y)
+                h = [have.get((z, ty, tx, r + i // 2, c + i % 2)) for i in range(4)]
+                if None in h:
+                    return 0.0, z
+                top, bottom = h[0] + (h[1] - h[0]) * (x - c), h[2] + (h[3] - h[2]) * (x - c)
+                return top + (bottom - top) * (y - r), z
+        return 0.0, -1
+
+    want = sorted((k, more or "", round(plain(u, v)[0], 9), plain(u, v)[1]) for k, u, v, more in asked)
+    for given in (stored, raster.tile_arrays(stored, 4)):
+        got = raster.sample_heights(points, given, 1, 4).collect()
+        assert sorted((r.point_id, r.more or "", round(r.height, 9), r.answered) for r in got) == want
