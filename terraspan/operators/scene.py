@@ -16,6 +16,8 @@ from . import raster, tracks
 PADDING, LINE, FAINT = 2, 1.2, 0.02
 LIGHT, AMBIENT, SHADES = (-0.42, 0.58, 0.7), 0.3, 64
 LAYERS = ("overlay", "disc", "regions", "graticule", "coast", "limb", "shapes", "orbits", "models", "labels")
+#: The labels of a scene that one row decides.
+FOLD = 512
 
 
 def label_boxes(labels: DataFrame) -> DataFrame:
@@ -35,7 +37,8 @@ def declutter(labels: DataFrame, by: str = "scene", cell: float = 64.0) -> DataF
     In order of priority a label claims its box if it overlaps no claimed one; with ``declutter``
     false it is drawn anyway, and claims too. Hidden, faint and empty labels claim nothing.
 
-    The rule is sequential, but only along chains of overlapping labels, so it is carried out in rounds that take all labels of all scenes at once.
+    The rule is sequential. Scenes of at most FOLD labels are folded each in one row. In larger ones it is sequential only along chains of overlapping
+    labels, so they are carried out in rounds that take all labels at once, until FOLD are undecided, which are then folded.
     Boxes lie in the cells of a grid. First, polite labels go that overlap an earlier one drawn anyway. In a round, a label that comes first in
     every cell it touches has nothing undecided before it and is drawn; there is one such label a cell at most, and labels that overlap it go.
     A round is a few aggregates and joins on cells with a row a (label, cell), never pairs of labels; rounds are as many as the longest chain of labels
@@ -43,35 +46,57 @@ def declutter(labels: DataFrame, by: str = "scene", cell: float = 64.0) -> DataF
     """
     shown = F.col("visible") & (F.col("alpha") >= FAINT) & (F.coalesce(F.col("text"), F.lit("")) != "")
     box = F.struct("priority", F.coalesce("declutter", F.lit(True)).alias("polite"), "bl", "bt", "br", "bb").alias("box")
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    cells = labels.filter(shown).select(by, box, "bl", "bt", "br", "bb").distinct().select(by, "box", F.explode(span("bl", "br")).alias("cx"), "bt", "bb")
+    boxes = materialize(labels.filter(shown).select(by, box).distinct())
+    crowded = _crowded(boxes, by)
+    if crowded.isEmpty():
+        drawn = [_folded(boxes, by)]
+    else:
+        drawn = [_folded(_without(boxes, crowded, by, [by]), by), *_rounds(_without(boxes, crowded, by, [by], "left_semi"), by, cell)]
+    chosen = drawn[0]
+    for more in drawn[1:]:
+        chosen = chosen.unionByName(more)
+    return labels.filter(shown).join(chosen.select(F.col(by).alias("_by"), F.col("box.priority").alias("_priority")), [F.col(by).eqNullSafe(F.col("_by")), F.col("priority") == F.col("_priority")], "left_semi")
+
+
+def _hit(a: Column, b: Column) -> Column:
+    return (a["bl"] < b["br"]) & (a["br"] > b["bl"]) & (a["bt"] < b["bb"]) & (a["bb"] > b["bt"])
+
+
+def _crowded(boxes: DataFrame, by: str) -> DataFrame:
+    return boxes.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FOLD).select(by)
+
+
+def _folded(boxes: DataFrame, by: str) -> DataFrame:
+    """The boxes ``(scene, box)`` that are drawn, by the rule itself, a scene a row."""
+    listed = boxes.groupBy(by).agg(F.array_sort(F.collect_list("box")).alias("_boxes"))
+    claim = lambda taken, b: F.when(F.exists(taken, lambda t: _hit(b, t)) & b["polite"], taken).otherwise(F.concat(taken, F.array(b)))
+    return listed.select(by, F.explode(F.aggregate("_boxes", F.array().cast(listed.schema["_boxes"].dataType), claim)).alias("box"))
+
+
+def _rounds(boxes: DataFrame, by: str, cell: float) -> list[DataFrame]:
+    """Tables of the boxes that are drawn, for scenes of any size."""
+    span = lambda lo, hi: F.sequence(F.floor(F.col(f"box.{lo}") / cell), F.floor(F.col(f"box.{hi}") / cell))
+    cells = boxes.select(by, "box", F.explode(span("bl", "br")).alias("cx"))
     cells = materialize(cells.select(by, "box", "cx", F.explode(span("bt", "bb")).alias("cy")))
     place = [by, "cx", "cy"]
-    hit = lambda a, b: (a["bl"] < b["br"]) & (a["br"] > b["bl"]) & (a["bt"] < b["bb"]) & (a["bb"] > b["bt"])
-
-    always = cells.filter(~F.col("box.polite"))
-    polite = cells.filter("box.polite").alias("p")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in place]
-    over = F.broadcast if always.limit(1).count() == 0 else (lambda df: df)  # an empty side needs no shuffle
-    refused = polite.join(over(always.alias("q")), [*same, hit(F.col("p.box"), F.col("q.box")), F.col("q.box") < F.col("p.box")], "left_semi").select(by, "box").distinct()
-    open_ = materialize(_without(cells.filter("box.polite"), refused, by))
+    always, polite = cells.filter(~F.col("box.polite")), cells.filter("box.polite")
+    refused = polite.alias("p").join(always.alias("q"), [*same, _hit(F.col("p.box"), F.col("q.box")), F.col("q.box") < F.col("p.box")], "left_semi").select(by, "box").distinct()
+    open_ = materialize(_without(polite, refused, by))
     drawn = [always.select(by, "box").distinct()]
-    while open_.limit(1).count():
+    while not _crowded(open_.select(by, "box").distinct(), by).isEmpty():
         first = open_.groupBy(*place).agg(F.min("box").alias("first"))
         seen = open_.alias("p").join(first.alias("q"), same).select(*(F.col(f"p.{c}").alias(c) for c in (*place, "box")), "first")
         winners = materialize(seen.groupBy(by, "box").agg(F.min((F.col("box") == F.col("first")).cast("int")).alias("_won")).filter("_won = 1").select(by, "box"))
-        held = open_.alias("p").join(winners.alias("q"), [F.col(f"p.{by}").eqNullSafe(F.col(f"q.{by}")), F.col("p.box") == F.col("q.box")], "left_semi")
-        gone = open_.alias("p").join(held.alias("q"), [*same, hit(F.col("p.box"), F.col("q.box"))], "left_semi").select(by, "box").distinct()  # the winners themselves too
+        held = _without(open_, winners, by, how="left_semi")
+        gone = open_.alias("p").join(held.alias("q"), [*same, _hit(F.col("p.box"), F.col("q.box"))], "left_semi").select(by, "box").distinct()  # the winners themselves too
         drawn.append(winners)
         open_ = materialize(_without(open_, gone, by))
-    chosen = drawn[0]
-    for more in drawn[1:]:
-        chosen = chosen.unionByName(more)
-    return labels.filter(shown).join(chosen.select(F.col(by).alias("_by"), F.col("box.priority").alias("_priority")), [F.col(by).eqNullSafe(F.col("_by")), F.col("priority") == F.col("_priority")], "left_semi")
+    return [*drawn, _folded(open_.select(by, "box").distinct(), by)]
 
 
-def _without(cells: DataFrame, boxes: DataFrame, by: str) -> DataFrame:
-    return cells.alias("p").join(boxes.alias("q"), [F.col(f"p.{by}").eqNullSafe(F.col(f"q.{by}")), F.col("p.box") == F.col("q.box")], "left_anti")
+def _without(rows: DataFrame, others: DataFrame, by: str, columns: list[str] | None = None, how: str = "left_anti") -> DataFrame:
+    return rows.alias("p").join(others.alias("q"), [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in columns or [by, "box"]], how)
 
 
 def overlaps(boxes: DataFrame, by: str = "scene", key: str = "priority", cell: float = 64.0) -> DataFrame:

@@ -7,6 +7,12 @@ import pytest
 from terraspan.operators import scene
 
 
+@pytest.fixture(autouse=True, params=[8, 512])
+def fold(request, monkeypatch):
+    """In rounds down to a few labels, and by the fold wherever it may be."""
+    monkeypatch.setattr(scene, "FOLD", request.param)
+
+
 def sequential(rows):
     drawn, out = {}, set()
     for s, p, text, visible, alpha, polite, *b in sorted(rows, key=lambda r: (repr(r[0]), r[1])):
