@@ -167,16 +167,18 @@ def tile_arrays(stored: DataFrame, tile: int = TILE) -> DataFrame:
     return stored.groupBy("z", "ty", "tx").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("h").cast("double").alias("h")))).alias("samples"))
 
 
-def _tap(samples: Column, at: Column, whole: int) -> Column:
-    """The sample at a place; in tiles that lack some it is looked for."""
+def _tap(samples: Column, at: Column, whole: int, plain: bool) -> Column:
+    """The sample at a place; in tiles that lack some it is looked for. ``plain``: an array of numbers."""
     at = at.cast("int")
+    if plain:
+        return F.get(samples, at).cast("double")
     return F.when(F.size(samples) == whole, F.get(samples, at)["h"]).otherwise(F.get(F.filter(samples, lambda s: s["at"] == at), F.lit(0))["h"])
 
 
 def sample_heights(points: DataFrame, stored: DataFrame, level: int, tile: int = TILE, slopes: bool = False) -> DataFrame:
     """Adds ``height, answered`` (and ``east, north``) to points ``(point_id, u, v)``; other columns stay.
 
-    ``stored`` has the resident tiles' samples ``(z, ty, tx, r, c, h)``, or is ``tile_arrays``. The finest level up to
+    ``stored`` has the resident tiles' samples ``(z, ty, tx, r, c, h)``, or is ``tile_arrays`` or tiles as they are read, with whole arrays of numbers. The finest level up to
     ``level`` that has the point's tile answers, bilinearly; without any the height is 0 and the
     level -1. A point meets its tile of each level in one equi-join on (z, ty, tx) and takes four elements of the tile's array;
     the finest answer is a partial aggregate, so neither samples nor tiles travel with the points.
@@ -190,7 +192,8 @@ def sample_heights(points: DataFrame, stored: DataFrame, level: int, tile: int =
     asked = asked.withColumns({"tx": tx, "ty": ty, "_fx": fx, "_fy": fy})
     met = asked.join(tiles.select("z", "ty", "tx", "samples"), ["z", "ty", "tx"], "left")
     first = F.floor("_fy") * n + F.floor("_fx")
-    taps = [_tap(F.col("samples"), first + step, n * n).alias(f"h{i}") for i, step in enumerate((0, 1, n, n + 1))]
+    plain = not tiles.schema["samples"].dataType.simpleString().startswith("array<struct")
+    taps = [_tap(F.col("samples"), first + step, n * n, plain).alias(f"h{i}") for i, step in enumerate((0, 1, n, n + 1))]
     four = F.struct(z.alias("z"), (F.col("_fx") - F.floor("_fx")).alias("sx"), (F.col("_fy") - F.floor("_fy")).alias("sy"), *taps)
     best = met.select("_n", "_row", F.when(F.col("samples").isNotNull(), four).alias("_s")).groupBy("_n").agg(F.any_value("_row").alias("_row"), F.max_by("_s", F.col("_s.z")).alias("_s"))
     got = best.select("_row.*", F.col("_s.z").alias("_z"), *(F.col(f"_s.{c}").alias(f"_{c}") for c in ("sx", "sy", "h0", "h1", "h2", "h3")))

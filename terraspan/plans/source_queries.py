@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import micro
 from ..operators import raster
 from ..sources import shapes, terrain
-from ..storage import scratch
+from ..storage import filesystem, scratch
+from ..streaming import arrivals
 from . import raster_queries as rq
 from .geo_queries import CLEAN, M, clean, quantised
 from .scene_queries import FACE_ROWS, HUT, MAST, models
@@ -75,9 +76,32 @@ def q_models(spark, sf_dir):
     return corners.join(faults, "model", "left_anti")
 
 
-QUERIES = {"source_terrain": q_terrain, "source_terrain_pruned": q_terrain_pruned, "source_geotiff": q_geotiff, "source_grid": q_grid, "source_geojson": q_geojson, "source_outline_counts": q_outline_counts, "source_models": q_models}
+def q_late_tiles(spark, sf_dir):
+    """Customers' heights on a surface whose level files arrive one by one; three batches, each refining what is under its tiles."""
+    path, size = scratch(spark), 4
+    levels = raster.pyramid(rq.finest(spark, sf_dir), 3)
+    stored, stats = None, raster.tile_stats(levels.withColumn("predicted", F.lit(0).cast("long")), size)
+    for z in range(3):
+        cut = raster.cut_tiles(levels.filter(F.col("z") == z), rq.FINE[0] >> 2 - z, rq.FINE[1] >> 2 - z, size)
+        stored = cut if stored is None else stored.unionByName(cut)
+    terrain.write_levels(stored, stats, f"{path}/made", 3, 30_000, size)
+    where, root = filesystem(path)
+    where.create_dir(f"{root}/levels", recursive=True)
+    points = rq.points(spark, sf_dir)
+    for z in range(3):
+        where.copy_file(f"{root}/made/level-{z}.bin", f"{root}/_level")
+        where.move(f"{root}/_level", f"{root}/levels/level-{z}.bin")
+        arrivals.start_surface(terrain.stream_levels(spark, f"{path}/levels", magic=terrain.MAGIC, run="16"), points, path, f"{path}/checkpoint", 2, size).awaitTermination()
+    return arrivals.surface(points, path).select("point_id", micro(F.col("height")).alias("height"), F.col("answered").cast("int").alias("answered"))
+
+
+QUERIES = {"stream_late_tiles": q_late_tiles, "source_terrain": q_terrain, "source_terrain_pruned": q_terrain_pruned, "source_geotiff": q_geotiff, "source_grid": q_grid, "source_geojson": q_geojson, "source_outline_counts": q_outline_counts, "source_models": q_models}
 STATS = f"WITH {rq.SAMPLES} {rq.PREDICTED} {rq.BORDERED}, joined AS (SELECT 1 AS z, f.y, f.x, f.h, p.predicted FROM fine f JOIN predicted p USING (y, x) UNION ALL SELECT 0, y, x, h, 0 FROM coarse), st AS (SELECT z::INTEGER AS z, y // 8 AS ty, x // 8 AS tx, least(65535, max(abs(h - predicted)))::INTEGER AS error, min(h)::INTEGER AS low, max(h)::INTEGER AS high FROM joined GROUP BY ALL)"
 SQL = {
+    "stream_late_tiles": f"""WITH {rq.SAMPLES}, {rq.POINTS}, spot AS (SELECT point_id, (u - floor(u)) * 64 - 0.5::DOUBLE AS fx, v * 32 - 0.5::DOUBLE AS fy FROM points),
+  four AS (SELECT point_id, fx - floor(fx) AS sx, fy - floor(fy) AS sy, max(CASE WHEN d = 0 THEN h END)::DOUBLE AS h0, max(CASE WHEN d = 1 THEN h END)::DOUBLE AS h1, max(CASE WHEN d = 2 THEN h END)::DOUBLE AS h2, max(CASE WHEN d = 3 THEN h END)::DOUBLE AS h3
+    FROM spot, range(4) t(d) JOIN fine f ON f.x = (floor(fx)::BIGINT + d % 2 + 64) % 64 AND f.y = least(31, greatest(0, floor(fy)::BIGINT + d // 2)) GROUP BY ALL)
+  SELECT point_id, {M('(h0 + (h1 - h0) * sx) + ((h2 + (h3 - h2) * sx) - (h0 + (h1 - h0) * sx)) * sy')} AS height, 2::INTEGER AS answered FROM four""",
     "source_terrain": f"{STATS} SELECT st.z, st.ty, st.tx, error, low, high, sum(s.h * (r * 10 + c + 1))::BIGINT AS checksum FROM st JOIN stored s ON s.z = st.z AND s.ty = st.ty AND s.tx = st.tx GROUP BY ALL",
     "source_terrain_pruned": f"{STATS} SELECT z, ty, tx, low, high FROM st WHERE z = 1 AND tx IN (2, 5)",
     "source_geotiff": f"WITH {rq.SAMPLES}, at_source AS (SELECT sx, sy, (sum(value) / CAST(count(*) AS DOUBLE) / 8.0::DOUBLE)::FLOAT AS v FROM samples GROUP BY 1, 2) SELECT x AS sx, y AS sy, CAST(floor(coalesce(v, 0)::DOUBLE * 1000 + 0.5) AS BIGINT) AS value FROM range(96) a(x), range(48) b(y) LEFT JOIN at_source m ON m.sx = x AND m.sy = y",

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from .. import storage
 from ..operators import raster
@@ -152,19 +152,23 @@ class TerrainReader(DataSourceReader):
             z = head["level"]
             if z not in self.wanted.get("z", {z}):
                 continue
-            index = storage.read_range(path, HEADER_BYTES, HEADER_BYTES + head["index_bytes"])
-            across = 4 << z
-            chosen = []
-            for k in range(head["tiles"]):
-                ty, tx = divmod(k, across)
-                if ty in self.wanted.get("ty", {ty}) and tx in self.wanted.get("tx", {tx}):
-                    chosen.append((ty, tx, *struct.unpack_from(ENTRY, index, k * ENTRY_BYTES)))
+            chosen = [e for e in _entries(path, head) if e[0] in self.wanted.get("ty", {e[0]}) and e[1] in self.wanted.get("tx", {e[1]})]
             out += [_Run(path, head, chosen[i : i + self.run]) for i in range(0, len(chosen), self.run)]
         return out or [_Run("", {}, [])]
 
     def read(self, partition: _Run) -> Iterator[pa.RecordBatch]:
-        if not partition.entries:
-            return
+        return _tiles(partition)
+
+
+def _entries(path: str, head: dict) -> list[tuple]:
+    """``(ty, tx, offset, length, error, low, high)`` of a level's tiles, in the order of the file."""
+    index = storage.read_range(path, HEADER_BYTES, HEADER_BYTES + head["index_bytes"])
+    return [(*divmod(k, 4 << head["level"]), *struct.unpack_from(ENTRY, index, k * ENTRY_BYTES)) for k in range(head["tiles"])]
+
+
+def _tiles(partition: _Run) -> Iterator[pa.RecordBatch]:
+    """A run's tiles, read by one range, a batch a tile."""
+    if partition.entries:
         base, stored = partition.head["data_offset"], partition.head["tile"] + 2 * partition.head["border"]
         first, last = partition.entries[0][2], max(e[2] + e[3] for e in partition.entries)
         block = storage.read_range(partition.path, base + first, base + last)
@@ -176,6 +180,42 @@ class TerrainReader(DataSourceReader):
             ], names=["z", "ty", "tx", "samples", "error", "low", "high"])
 
 
+class TerrainStream(DataSourceStreamReader):
+    """Tiles of level files as they appear in a folder. An offset says how many tiles of each level there are.
+
+    A level that isn't there although a finer one is counts as missing (-1), and stays so if it comes later. Files must appear whole, as
+    the sinks of this package make them.
+    """
+
+    def __init__(self, path: str, magic: str | None, run: int):
+        self.path, self.magic, self.run = path, magic, run
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        there = {h["level"]: h["tiles"] for _, h in self._heads()}
+        return {str(z): there.get(z, -1) for z in range(max(there, default=-1) + 1)}
+
+    def partitions(self, start: dict, end: dict) -> list[_Run]:
+        out = []
+        for path, head in self._heads():
+            z = str(head["level"])
+            if start.get(z, 0) >= 0 and start.get(z, 0) < end.get(z, 0):
+                chosen = _entries(path, head)[start.get(z, 0) : end[z]]
+                out += [_Run(path, head, chosen[i : i + self.run]) for i in range(0, len(chosen), self.run)]
+        return out or [_Run("", {}, [])]
+
+    def read(self, partition: _Run) -> Iterator[pa.RecordBatch]:
+        return _tiles(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def _heads(self) -> list[tuple[str, dict]]:
+        return [(p, read_header(storage.read_range(p, 0, HEADER_BYTES), self.magic)) for p in storage.files(self.path) if "/_" not in p]
+
+
 class TerrainSource(DataSource):
     """``spark.read.format("terrain").load(path)``; options ``magic`` (checked if given) and ``run`` (tiles a partition).
 
@@ -192,6 +232,9 @@ class TerrainSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return TerrainReader(self.options["path"], self.options.get("magic"), int(self.options.get("run", "64")))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return TerrainStream(self.options["path"], self.options.get("magic"), int(self.options.get("run", "64")))
+
     def writer(self, schema, overwrite: bool) -> LevelWriter:
         number = lambda name, default: int(self.options.get(name, default))
         return LevelWriter(self.options["path"], overwrite, self.options.get("magic", MAGIC), number("tile", raster.TILE), number("levels", 1), number("peak", 0))
@@ -203,6 +246,12 @@ def read_levels(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("terrain").options(**options).load(path)
 
 
+def stream_levels(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The tiles of a folder's level files as a stream; ``read_levels`` has its columns."""
+    spark.dataSource.register(TerrainSource)
+    return spark.readStream.format("terrain").options(**options).load(path)
+
+
 def samples_of(tiles: DataFrame, stored: int) -> DataFrame:
     """``(z, ty, tx, r, c, h)`` from tiles with arrays of samples."""
     each = tiles.select("z", "ty", "tx", F.posexplode("samples").alias("_i", "h"))

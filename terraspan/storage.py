@@ -48,8 +48,15 @@ def files(path: str) -> list[str]:
 
 
 def read_range(path: str, start: int, end: int | None = None) -> bytes:
-    """Bytes ``start`` up to ``end`` of a file, or all from ``start`` on."""
+    """Bytes ``start`` up to ``end`` of a file, or all from ``start`` on. A store that gives no ranges is read from the file's beginning, as far as needed."""
+    from pyarrow import ArrowNotImplementedError
+
     where, name = filesystem(path)
-    with where.open_input_file(name) as f:
+    try:
+        opened = where.open_input_file(name)
+    except (ArrowNotImplementedError, NotImplementedError):
+        with where.open_input_stream(name) as f:
+            return f.read(end)[start:]
+    with opened as f:
         f.seek(start)
         return f.read(None if end is None else end - start)
