@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import geo, tables, text
 from ..functions.numbers import clamp, micro, smoothstep
 from ..operators import curves, fields, orbits, scene, tracks
 from .raster_queries import read
@@ -125,6 +125,23 @@ def q_small_circles(spark, sf_dir):
     return quantised(curves.small_circles(p, 36), "lon", "lat")
 
 
+def q_sql_small_circles(spark, sf_dir):
+    """The rings of ``geo_small_circles`` by SQL alone."""
+    tables.register(spark)
+    p = places(spark, sf_dir)
+    text = "SELECT p.id AS line_id, c.i, CAST(floor(c.lon * 1e6D + 0.5D) AS BIGINT) AS lon, CAST(floor(c.lat * 1e6D + 0.5D) AS BIGINT) AS lat FROM {p} p, LATERAL small_circle(p.lon, p.lat, CAST(p.id % 50 + 1 AS DOUBLE), 36) c"
+    return spark.sql(text, p=p)
+
+
+def q_sql_geodesic(spark, sf_dir):
+    """The lines of ``geo_geodesic`` by SQL alone: legs by ``lead``, a lone waypoint as it is."""
+    tables.register(spark)
+    text = """WITH legs AS (SELECT line_id, row_number() OVER w - 1 AS leg, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, count(*) OVER (PARTITION BY line_id) AS n FROM {p} WINDOW w AS (PARTITION BY line_id ORDER BY idx))
+SELECT l.line_id, CAST(l.leg AS BIGINT) AS leg, g.i, CAST(floor(g.lon * 1e6D + 0.5D) AS BIGINT) AS lon, CAST(floor(g.lat * 1e6D + 0.5D) AS BIGINT) AS lat
+FROM legs l, LATERAL great_circle(l.lon, l.lat, coalesce(l.lon2, l.lon), coalesce(l.lat2, l.lat), 1.0D) g WHERE (l.lon2 IS NOT NULL AND (g.i > 0 OR l.leg = 0)) OR (l.n = 1 AND g.i = 0)"""
+    return spark.sql(text, p=waypoints(spark, sf_dir))
+
+
 def q_graticule(spark, sf_dir):
     return curves.graticule(spark, 30)
 
@@ -409,7 +426,7 @@ def q_readings(spark, sf_dir):
 
 QUERIES = {
     "geo_places": q_places, "geo_project": q_project, "geo_hemisphere": q_hemisphere, "geo_unproject": q_unproject, "geo_displace": q_displace, "geo_geodesic": q_geodesic, "geo_geodesic_ring": q_geodesic_ring,
-    "geo_small_circles": q_small_circles, "geo_graticule": q_graticule, "orbit_positions": q_orbit_positions, "orbit_rings": q_orbit_rings, "orbit_ground_tracks": q_ground_tracks, "orbit_trails": q_trails,
+    "geo_small_circles": q_small_circles, "sql_small_circles": q_sql_small_circles, "sql_geodesic": q_sql_geodesic, "geo_graticule": q_graticule, "orbit_positions": q_orbit_positions, "orbit_rings": q_orbit_rings, "orbit_ground_tracks": q_ground_tracks, "orbit_trails": q_trails,
     "track_hold": q_track_hold, "track_loop": q_track_loop, "field_quantise": q_field, "field_palette": q_palette, "field_overlay": q_overlay, "field_ground": q_ground, "field_ground_colour": q_ground_colour, "anchor_tracking": q_tracking, "ring_clean": q_clean_rings,
     "ring_counts": q_ring_counts, "ring_measures": q_ring_measures, "ring_orient": q_orient_rings, "clip_globe": q_clip, "clip_space": q_clip_space, "clip_rings": q_clip_rings, "text_readings": q_readings,
 }
@@ -428,6 +445,7 @@ SELECT id, CASE WHEN r2 <= 1 THEN {M(f'atan2(nx * {C["cos_lon"]} + z1 * {C["sin_
     "geo_displace": f"WITH {UNITS} SELECT id, {', '.join(f'{M(f"{c} * (1 + (id * 3.5::DOUBLE - 1000) * 30.0::DOUBLE / 6371000)")} AS {c}' for c in 'xyz')} FROM units",
     "geo_geodesic": geodesic_sql(False),
     "geo_geodesic_ring": geodesic_sql(True),
+    "sql_geodesic": geodesic_sql(False),
     "geo_small_circles": f"""WITH {UNITS}, c AS (SELECT id AS line_id, x, y, z, (id % 50 + 1)::DOUBLE * (pi() / 180) AS r, CASE WHEN abs(y) < 0.9 THEN 0.0 ELSE 1.0 END::DOUBLE AS ax, CASE WHEN abs(y) < 0.9 THEN 1.0 ELSE 0.0 END::DOUBLE AS ay FROM units),
 u0 AS (SELECT *, y * 0 - z * ay AS p, z * ax - x * 0 AS q, x * ay - y * ax AS s FROM c), u1 AS (SELECT *, p / sqrt(p * p + q * q + s * s) AS ux, q / sqrt(p * p + q * q + s * s) AS uy, s / sqrt(p * p + q * q + s * s) AS uz FROM u0),
 v AS (SELECT *, y * uz - z * uy AS vx, z * ux - x * uz AS vy, x * uy - y * ux AS vz FROM u1), e AS (SELECT *, i, cos(i / 36.0::DOUBLE * (2 * pi())) * sin(r) AS ca, sin(i / 36.0::DOUBLE * (2 * pi())) * sin(r) AS sa FROM v, range(37) t(i)),
@@ -461,3 +479,4 @@ SELECT orbit_id, i::INTEGER AS i, {M('now - trail * (i + 1) / steps')} AS "from"
   {M('floor(lon * 10 + 0.5) / 10.0::DOUBLE')} AS tenth, CASE WHEN id * 2345 >= 1048576 THEN printf('%.2f', id * 2345 / 1048576.0::DOUBLE) || ' MB' ELSE printf('%.0f', id * 2345 / 1024.0::DOUBLE) || ' kB' END AS size,
   'rgb(' || id % 256 || ',3,7)' AS rgb, '500 ' || CASE WHEN id % 2 = 0 THEN 14 ELSE 12 END || 'px serif' AS font FROM places""",
 }
+SQL["sql_small_circles"] = SQL["geo_small_circles"]
