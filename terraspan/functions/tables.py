@@ -6,7 +6,7 @@
     small_circle(lon, lat, radius, segments)     -> i, lon, lat     segments + 1 points around a centre, the last on the first
     triangle_grid(ax, ay, az, ..., cz, n)        -> i, j, x, y, z   the (n + 1)(n + 2) / 2 directions of a triangle's grid
 
-They are plain SQL, which Spark writes into the query that calls them: no Python, and columns that aren't asked for cost nothing. Their rules are those
+They are plain SQL without filters, which Spark writes into the query that calls them: no join, no Python, and columns that aren't asked for cost nothing. Their rules are those
 of ``curves.geodesic`` (a leg), ``curves.small_circles`` and ``mesh.vertices``; nulls give no rows.
 """
 
@@ -29,17 +29,17 @@ FUNCTIONS = {
 SELECT i, {_LONLAT} FROM (
   SELECT i, ax * wa + bx * wb AS x, ay * wa + by * wb AS y, az * wa + bz * wb AS z FROM (
     SELECT *, CASE WHEN sine < {TINY}D THEN 1 - i ELSE sin((1 - i / steps) * omega) / sine END AS wa, CASE WHEN sine < {TINY}D THEN i ELSE sin(i / steps * omega) / sine END AS wb FROM (
-      SELECT *, explode(sequence(0, steps)) AS i FROM (
+      SELECT *, explode(CASE WHEN ax IS NOT NULL AND bx IS NOT NULL AND great_circle.step IS NOT NULL THEN sequence(0, steps) END) AS i FROM (
         SELECT *, sin(omega) AS sine, CASE WHEN sin(omega) < {TINY}D THEN 1 ELSE CAST(greatest(1, ceil(omega / (pi() / 180) / great_circle.step)) AS INT) END AS steps FROM (
           SELECT *, acos(least(1.0D, greatest(-1.0D, ax * bx + ay * by + az * bz))) AS omega FROM (
-            SELECT {_unit('great_circle.lon1', 'great_circle.lat1', 'a')}, {_unit('great_circle.lon2', 'great_circle.lat2', 'b')}) WHERE ax IS NOT NULL AND bx IS NOT NULL AND great_circle.step IS NOT NULL)))))""",
+            SELECT {_unit('great_circle.lon1', 'great_circle.lat1', 'a')}, {_unit('great_circle.lon2', 'great_circle.lat2', 'b')}))))))""",
     "small_circle": f"""(lon DOUBLE, lat DOUBLE, radius DOUBLE, segments INT) RETURNS TABLE(i INT, lon DOUBLE, lat DOUBLE) RETURN
 SELECT i, {_LONLAT} FROM (
   SELECT i, cx * cos(r) + ux * ca + (cy * uz - cz * uy) * sa AS x, cy * cos(r) + uy * ca + (cz * ux - cx * uz) * sa AS y, cz * cos(r) + uz * ca + (cx * uy - cy * ux) * sa AS z FROM (
     SELECT *, p / size AS ux, q / size AS uy, s / size AS uz, cos(i / small_circle.segments * (2 * pi())) * sin(r) AS ca, sin(i / small_circle.segments * (2 * pi())) * sin(r) AS sa FROM (
-      SELECT *, sqrt(p * p + q * q + s * s) AS size, explode(sequence(0, small_circle.segments)) AS i FROM (
+      SELECT *, sqrt(p * p + q * q + s * s) AS size, explode(CASE WHEN r IS NOT NULL AND cx IS NOT NULL THEN sequence(0, small_circle.segments) END) AS i FROM (
         SELECT *, CASE WHEN abs(cy) < 0.9D THEN -cz ELSE 0.0D END AS p, CASE WHEN abs(cy) < 0.9D THEN 0.0D ELSE cz END AS q, CASE WHEN abs(cy) < 0.9D THEN cx ELSE -cy END AS s, small_circle.radius * (pi() / 180) AS r FROM (
-          SELECT {_unit('small_circle.lon', 'small_circle.lat', 'c')})) WHERE r IS NOT NULL AND cx IS NOT NULL)))""",
+          SELECT {_unit('small_circle.lon', 'small_circle.lat', 'c')})))))""",
     "triangle_grid": """(ax DOUBLE, ay DOUBLE, az DOUBLE, bx DOUBLE, by DOUBLE, bz DOUBLE, cx DOUBLE, cy DOUBLE, cz DOUBLE, n INT) RETURNS TABLE(i INT, j INT, x DOUBLE, y DOUBLE, z DOUBLE) RETURN
 SELECT i, j, x / size, y / size, z / size FROM (
   SELECT *, sqrt(x * x + y * y + z * z) AS size FROM (
