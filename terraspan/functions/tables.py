@@ -1,13 +1,15 @@
-"""Row generators as table functions of SQL, for use with LATERAL.
+"""Row generators for SQL: functions that give arrays of rows, for ``inline``.
 
 ``register`` makes them temporary functions of a session:
 
-    great_circle(lon1, lat1, lon2, lat2, step)   -> i, lon, lat     points along a leg, both ends included
-    small_circle(lon, lat, radius, segments)     -> i, lon, lat     segments + 1 points around a centre, the last on the first
-    triangle_grid(ax, ay, az, ..., cz, n)        -> i, j, x, y, z   the (n + 1)(n + 2) / 2 directions of a triangle's grid
+    great_circle(lon1, lat1, lon2, lat2, step)   -> (i, lon, lat)     points along a leg, both ends included
+    small_circle(lon, lat, radius, segments)     -> (i, lon, lat)     segments + 1 points around a centre, the last on the first
+    triangle_grid(ax, ay, az, ..., cz, n)        -> (i, j, x, y, z)   the (n + 1)(n + 2) / 2 directions of a triangle's grid
 
-They are plain SQL without filters, which Spark writes into the query that calls them: no join, no Python, and columns that aren't asked for cost nothing. Their rules are those
-of ``curves.geodesic`` (a leg), ``curves.small_circles`` and ``mesh.vertices``; nulls give no rows.
+as in ``SELECT line, inline(points) FROM (SELECT line, great_circle(lon1, lat1, lon2, lat2, 1.0) AS points FROM lines)``. They are expressions of SQL,
+which Spark writes into the query that calls them: no Python, no join, no shuffle. (SQL's own table functions, called with LATERAL, are joined
+back to the rows that they are called with, and a generator can't call a function of SQL itself.) Their rules are those of ``curves.geodesic`` (a leg), ``curves.small_circles`` and
+``mesh.vertices``; nulls give no rows. What is common to a call's rows is computed once, in a one-element array.
 """
 
 from __future__ import annotations
@@ -17,39 +19,62 @@ from pyspark.sql import SparkSession
 from .geo import TINY
 
 
-def _unit(lon: str, lat: str, name: str) -> str:
+def _let(values: dict[str, str], name: str, body: str) -> str:
+    """``body`` with the array lambda variable ``name`` as a struct of the values, each computed once."""
+    return f"transform(array(named_struct({', '.join(f"'{k}', {v}" for k, v in values.items())})), {name} -> {body})[0]"
+
+
+def _unit(lon: str, lat: str, name: str) -> dict[str, str]:
     lon, lat = f"({lon} * (pi() / 180))", f"({lat} * (pi() / 180))"
-    return f"cos({lat}) * sin({lon}) AS {name}x, sin({lat}) AS {name}y, cos({lat}) * cos({lon}) AS {name}z"
+    return {f"{name}x": f"cos({lat}) * sin({lon})", f"{name}y": f"sin({lat})", f"{name}z": f"cos({lat}) * cos({lon})"}
+
+
+def _dot(a: str, b: str) -> str:
+    return " + ".join(f"{a}{c} * {b}{c}" for c in "xyz")
+
+
+_LONLAT = "named_struct('i', i, 'lon', atan2(v.x, v.z) * 180 / pi(), 'lat', asin(least(1.0D, greatest(-1.0D, v.y))) * 180 / pi())"
+
+
+def _great_circle() -> str:
+    point = _let({c: f"s.a{c} * w.a + s.b{c} * w.b" for c in "xyz"}, "v", _LONLAT)
+    shares = {"a": f"CASE WHEN s.sine < {TINY}D THEN 1 - i ELSE sin((1 - i / s.steps) * s.omega) / s.sine END", "b": f"CASE WHEN s.sine < {TINY}D THEN i ELSE sin(i / s.steps * s.omega) / s.sine END"}
+    steps = f"CASE WHEN sin(o.omega) < {TINY}D THEN 1 ELSE CAST(greatest(1, ceil(o.omega / (pi() / 180) / step)) AS INT) END"
+    ends = {f"{n}{c}": f"o.{n}{c}" for n in "ab" for c in "xyz"}
+    rows = _let(ends | {"omega": "o.omega", "sine": "sin(o.omega)", "steps": steps}, "s", f"transform(sequence(0, s.steps), i -> {_let(shares, 'w', point)})")
+    angle = _let({f"{n}{c}": f"u.{n}{c}" for n in "ab" for c in "xyz"} | {"omega": f"acos(least(1.0D, greatest(-1.0D, {_dot('u.a', 'u.b')})))"}, "o", rows)
+    whole = _let(_unit("lon1", "lat1", "a") | _unit("lon2", "lat2", "b"), "u", angle)
+    return f"CASE WHEN lon1 + lat1 + lon2 + lat2 + step IS NOT NULL THEN {whole} END"
+
+
+def _small_circle() -> str:
+    cross = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+    on = {c: f"s.c{c} * cos(s.r) + s.u{c} * w.c + (s.c{p} * s.u{q} - s.c{q} * s.u{p}) * w.s" for c, (p, q) in cross.items()}
+    rim = {"c": "cos(i / segments * (2 * pi())) * sin(s.r)", "s": "sin(i / segments * (2 * pi())) * sin(s.r)"}
+    size = "sqrt(a.ux * a.ux + a.uy * a.uy + a.uz * a.uz)"
+    rows = _let({f"c{c}": f"a.c{c}" for c in "xyz"} | {f"u{c}": f"a.u{c} / {size}" for c in "xyz"} | {"r": "radius * (pi() / 180)"}, "s", f"transform(sequence(0, segments), i -> {_let(rim, 'w', _let(on, 'v', _LONLAT))})")
+    steep = "abs(c.cy) < 0.9D"
+    away = {"ux": f"CASE WHEN {steep} THEN -c.cz ELSE 0.0D END", "uy": f"CASE WHEN {steep} THEN 0.0D ELSE c.cz END", "uz": f"CASE WHEN {steep} THEN c.cx ELSE -c.cy END"}
+    whole = _let(_unit("lon", "lat", "c"), "c", _let({f"c{c}": f"c.c{c}" for c in "xyz"} | away, "a", rows))
+    return f"CASE WHEN lon + lat + radius + segments IS NOT NULL THEN {whole} END"
+
 
+def _triangle_grid() -> str:
+    sums = {c: f"a{c} * ((n - i) / n) + b{c} * ((i - j) / n) + c{c} * (j / n)" for c in "xyz"}
+    size = "sqrt(v.x * v.x + v.y * v.y + v.z * v.z)"
+    point = _let(sums, "v", f"named_struct('i', i, 'j', j, {', '.join(f"'{c}', v.{c} / {size}" for c in 'xyz')})")
+    return f"flatten(transform(sequence(0, n), i -> transform(sequence(0, i), j -> {point})))"
 
-_LONLAT = "atan2(x, z) * 180 / pi(), asin(least(1.0D, greatest(-1.0D, y))) * 180 / pi()"
 
+_PLACE, _GRID = "ARRAY<STRUCT<i: INT, lon: DOUBLE, lat: DOUBLE>>", "ARRAY<STRUCT<i: INT, j: INT, x: DOUBLE, y: DOUBLE, z: DOUBLE>>"
 FUNCTIONS = {
-    "great_circle": f"""(lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE, step DOUBLE) RETURNS TABLE(i INT, lon DOUBLE, lat DOUBLE) RETURN
-SELECT i, {_LONLAT} FROM (
-  SELECT i, ax * wa + bx * wb AS x, ay * wa + by * wb AS y, az * wa + bz * wb AS z FROM (
-    SELECT *, CASE WHEN sine < {TINY}D THEN 1 - i ELSE sin((1 - i / steps) * omega) / sine END AS wa, CASE WHEN sine < {TINY}D THEN i ELSE sin(i / steps * omega) / sine END AS wb FROM (
-      SELECT *, explode(CASE WHEN ax IS NOT NULL AND bx IS NOT NULL AND great_circle.step IS NOT NULL THEN sequence(0, steps) END) AS i FROM (
-        SELECT *, sin(omega) AS sine, CASE WHEN sin(omega) < {TINY}D THEN 1 ELSE CAST(greatest(1, ceil(omega / (pi() / 180) / great_circle.step)) AS INT) END AS steps FROM (
-          SELECT *, acos(least(1.0D, greatest(-1.0D, ax * bx + ay * by + az * bz))) AS omega FROM (
-            SELECT {_unit('great_circle.lon1', 'great_circle.lat1', 'a')}, {_unit('great_circle.lon2', 'great_circle.lat2', 'b')}))))))""",
-    "small_circle": f"""(lon DOUBLE, lat DOUBLE, radius DOUBLE, segments INT) RETURNS TABLE(i INT, lon DOUBLE, lat DOUBLE) RETURN
-SELECT i, {_LONLAT} FROM (
-  SELECT i, cx * cos(r) + ux * ca + (cy * uz - cz * uy) * sa AS x, cy * cos(r) + uy * ca + (cz * ux - cx * uz) * sa AS y, cz * cos(r) + uz * ca + (cx * uy - cy * ux) * sa AS z FROM (
-    SELECT *, p / size AS ux, q / size AS uy, s / size AS uz, cos(i / small_circle.segments * (2 * pi())) * sin(r) AS ca, sin(i / small_circle.segments * (2 * pi())) * sin(r) AS sa FROM (
-      SELECT *, sqrt(p * p + q * q + s * s) AS size, explode(CASE WHEN r IS NOT NULL AND cx IS NOT NULL THEN sequence(0, small_circle.segments) END) AS i FROM (
-        SELECT *, CASE WHEN abs(cy) < 0.9D THEN -cz ELSE 0.0D END AS p, CASE WHEN abs(cy) < 0.9D THEN 0.0D ELSE cz END AS q, CASE WHEN abs(cy) < 0.9D THEN cx ELSE -cy END AS s, small_circle.radius * (pi() / 180) AS r FROM (
-          SELECT {_unit('small_circle.lon', 'small_circle.lat', 'c')})))))""",
-    "triangle_grid": """(ax DOUBLE, ay DOUBLE, az DOUBLE, bx DOUBLE, by DOUBLE, bz DOUBLE, cx DOUBLE, cy DOUBLE, cz DOUBLE, n INT) RETURNS TABLE(i INT, j INT, x DOUBLE, y DOUBLE, z DOUBLE) RETURN
-SELECT i, j, x / size, y / size, z / size FROM (
-  SELECT *, sqrt(x * x + y * y + z * z) AS size FROM (
-    SELECT i, j, ax * wa + bx * wb + cx * wc AS x, ay * wa + by * wb + cy * wc AS y, az * wa + bz * wb + cz * wc AS z FROM (
-      SELECT *, (triangle_grid.n - i) / triangle_grid.n AS wa, (i - j) / triangle_grid.n AS wb, j / triangle_grid.n AS wc FROM (
-        SELECT *, explode(sequence(0, i)) AS j FROM (SELECT triangle_grid.ax, triangle_grid.ay, triangle_grid.az, triangle_grid.bx, triangle_grid.by, triangle_grid.bz, triangle_grid.cx, triangle_grid.cy, triangle_grid.cz, explode(sequence(0, triangle_grid.n)) AS i)))))""",
+    "great_circle": ("lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE, step DOUBLE", _PLACE, _great_circle()),
+    "small_circle": ("lon DOUBLE, lat DOUBLE, radius DOUBLE, segments INT", _PLACE, _small_circle()),
+    "triangle_grid": (", ".join(f"{n}{c} DOUBLE" for n in "abc" for c in "xyz") + ", n INT", _GRID, _triangle_grid()),
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the table functions known to the session, in place of earlier ones of these names."""
-    for name, text in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{text}")
+    """Makes the functions known to the session, in place of earlier ones of these names."""
+    for name, (given, made, body) in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({given}) RETURNS {made} RETURN {body}")

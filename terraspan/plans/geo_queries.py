@@ -129,7 +129,8 @@ def q_sql_small_circles(spark, sf_dir):
     """The rings of ``geo_small_circles`` by SQL alone."""
     tables.register(spark)
     p = places(spark, sf_dir)
-    text = "SELECT p.id AS line_id, c.i, CAST(floor(c.lon * 1e6D + 0.5D) AS BIGINT) AS lon, CAST(floor(c.lat * 1e6D + 0.5D) AS BIGINT) AS lat FROM {p} p, LATERAL small_circle(p.lon, p.lat, CAST(p.id % 50 + 1 AS DOUBLE), 36) c"
+    text = """SELECT line_id, i, CAST(floor(lon * 1e6D + 0.5D) AS BIGINT) AS lon, CAST(floor(lat * 1e6D + 0.5D) AS BIGINT) AS lat
+FROM (SELECT line_id, inline(points) FROM (SELECT id AS line_id, small_circle(lon, lat, CAST(id % 50 + 1 AS DOUBLE), 36) AS points FROM {p}))"""
     return spark.sql(text, p=p)
 
 
@@ -137,8 +138,9 @@ def q_sql_geodesic(spark, sf_dir):
     """The lines of ``geo_geodesic`` by SQL alone: legs by ``lead``, a lone waypoint as it is."""
     tables.register(spark)
     text = """WITH legs AS (SELECT line_id, row_number() OVER w - 1 AS leg, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, count(*) OVER (PARTITION BY line_id) AS n FROM {p} WINDOW w AS (PARTITION BY line_id ORDER BY idx))
-SELECT l.line_id, CAST(l.leg AS BIGINT) AS leg, g.i, CAST(floor(g.lon * 1e6D + 0.5D) AS BIGINT) AS lon, CAST(floor(g.lat * 1e6D + 0.5D) AS BIGINT) AS lat
-FROM legs l, LATERAL great_circle(l.lon, l.lat, coalesce(l.lon2, l.lon), coalesce(l.lat2, l.lat), 1.0D) g WHERE (l.lon2 IS NOT NULL AND (g.i > 0 OR l.leg = 0)) OR (l.n = 1 AND g.i = 0)"""
+SELECT line_id, CAST(leg AS BIGINT) AS leg, i, CAST(floor(lon * 1e6D + 0.5D) AS BIGINT) AS lon, CAST(floor(lat * 1e6D + 0.5D) AS BIGINT) AS lat
+FROM (SELECT line_id, leg, lone, inline(points) FROM (SELECT line_id, leg, n = 1 AS lone, great_circle(lon, lat, coalesce(lon2, lon), coalesce(lat2, lat), 1.0D) AS points FROM legs WHERE lon2 IS NOT NULL OR n = 1))
+WHERE CASE WHEN lone THEN i = 0 ELSE i > 0 OR leg = 0 END"""
     return spark.sql(text, p=waypoints(spark, sf_dir))
 
 
