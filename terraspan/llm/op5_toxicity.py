@@ -98,7 +98,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             right = np.searchsorted(near, spots)
             gap = np.minimum(np.abs(near[np.minimum(right, len(near) - 1)] - spots), np.abs(near[np.maximum(right - 1, 0)] - spots))
             close = int((gap <= NEAR).sum())
-    share = lambda removed: (size - len(data.translate(None, removed))) / size
+    share = lambda removed: (len(data) - len(data.translate(None, removed))) / size
     return [
         np.log1p(len(words)), np.log1p(len(at)), len(at) / n, sums / n, most, np.log1p(len(distinct)), len(distinct) / n, np.log1p(sums),
         burst, np.log1p(seeds), seeds / n, close / n, len(second) / n, share(UPPER), len(CAPS.findall(text)) / n, share(MARKS), share(PUNCTUATION),
@@ -167,14 +167,10 @@ class Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the monotone fit (pool adjacent violators); a step's level is smoothed by one row of each label over ten."""
-    order = np.argsort(score, kind="stable")
-    steps: list[list[float]] = []  # sum, count, first score, last score
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        if steps and steps[-1][3] == s:
-            steps[-1][0] += v
-            steps[-1][1] += 1
-        else:
-            steps.append([v, 1, s, s])
+    at, group, count = np.unique(score, return_inverse=True, return_counts=True)
+    steps: list[list[float]] = []  # sum, count, first score, last score; equal scores are one from the start
+    for s, v, n in zip(at.tolist(), np.bincount(group, y, len(at)).tolist(), count.tolist()):
+        steps.append([v, n, s, s])
         while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
             last = steps.pop()
             steps[-1] = [steps[-1][0] + last[0], steps[-1][1] + last[1], steps[-1][2], last[3]]
