@@ -202,6 +202,22 @@ def slow_adpcm(block):
     return out
 
 
+@pytest.mark.parametrize("rate, target", [(8000, 16000), (8000, 11025), (16000, 8000), (8000, 8000)])
+def test_resampling_in_slices(monkeypatch, rate, target):
+    """By the definition, a sample at a time, whatever the slices; from codes too."""
+    codes = np.random.default_rng(3).integers(0, 256, 700, dtype=np.uint8)
+    pcm = op4_telephony.MULAW_TABLE[codes]
+    want = []
+    for k in range(len(pcm) * target // rate):
+        left, part = divmod(k * rate, target)
+        want.append((int(pcm[left]) * (target - part) + int(pcm[min(left + 1, len(pcm) - 1)]) * part) // target)
+    for slice_ in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(op4_telephony, "SLICE", slice_)
+        assert op4_telephony.resample(pcm, rate, target).tolist() == want
+        assert np.concatenate(list(op4_telephony.resampled(codes, rate, target, op4_telephony.MULAW_TABLE))).tolist() == want
+    assert op4_telephony.resample(pcm[:0], rate, target).tolist() == []
+
+
 def test_codecs():
     data = np.random.default_rng(0).integers(0, 256, 576 * 3, dtype=np.uint8)
     assert op4_telephony.decode_adpcm(data).tolist() == [slow_adpcm(data[k : k + 576].tobytes()) for k in range(0, len(data), 576)]
