@@ -285,10 +285,20 @@ def q_chunk_indices(spark, sf_dir):
 
 
 def q_rebuild(spark, sf_dir):
-    """Chunks that want it, sampled on an 128-step grid each, from the raster of ``lineitem``; summed up per chunk."""
+    """Chunks that want it, sampled on an 128-step grid each, from the raster of ``lineitem``; the mean height of each in thousandths."""
     stored = raster_queries.stored(spark, sf_dir)
     built = mesh.rebuilt(spark, state(spark, sf_dir), 40, lambda p: raster.sample_heights(p, stored, 1, raster_queries.T))
-    return built.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("detail"), F.sum(micro(F.col("height"))).alias("total"))
+    return built.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("detail"), F.floor(F.avg("height") * 1000 + 0.5).cast("long").alias("mean"))
+
+
+def rebuild_sql() -> str:
+    taps = ", ".join(f"f{d}.h::DOUBLE AS h{d}" for d in range(4))
+    joins = " ".join(f"JOIN fine f{d} ON f{d}.x = (px + {d % 2} + 64) % 64 AND f{d}.y = least(31, greatest(0, py + {d // 2}))" for d in range(4))
+    return f"""{STATE}, {raster_queries.SAMPLES.strip()}, gg AS (SELECT ch.*, i, j, (128 - i) / 128.0::DOUBLE AS wa, (i - j) / 128.0::DOUBLE AS wb, j / 128.0::DOUBLE AS wc FROM ch JOIN st ON st.k = ch.k, range(129) a(i), range(129) b(j) WHERE j <= i AND (sampled = -2 OR (sampled < 2 AND stamped <> 40))),
+  gv AS (SELECT k, {', '.join(f'a{c} * wa + e{c} * wb + c{c} * wc AS {c}' for c in 'xyz')} FROM gg), gn AS (SELECT k, x, y / sqrt(x * x + y * y + z * z) AS y, z FROM gv),
+  gs AS (SELECT k, ((atan2(x, z) + pi()) / (2 * pi())) AS u, (pi() / 2 - asin(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, y)))) / pi() AS v FROM gn), gf AS (SELECT k, (u - floor(u)) * 64 - 0.5::DOUBLE AS fx, v * 32 - 0.5::DOUBLE AS fy FROM gs),
+  gt AS (SELECT k, fx - floor(fx) AS sx, fy - floor(fy) AS sy, floor(fx)::BIGINT AS px, floor(fy)::BIGINT AS py FROM gf), gh AS (SELECT k, sx, sy, {taps} FROM gt {joins})
+SELECT k, count(*) AS n, 1::INTEGER AS detail, CAST(floor(avg((h0 + (h1 - h0) * sx) + ((h2 + (h3 - h2) * sx) - (h0 + (h1 - h0) * sx)) * sy) * 1000 + 0.5) AS BIGINT) AS mean FROM gh GROUP BY k"""
 
 
 def q_quadtree(spark, sf_dir):
@@ -378,6 +388,7 @@ SQL = {
     "mesh_stats": f"{STATE} SELECT count(*) FILTER (shown) AS drawn, count(*) FILTER (shown) * 16384 AS triangles, count(*) FILTER (sampled <> -2) AS built, count(*) AS chunks, min(least(sampled, 2)) FILTER (sampled <> -2) AS detail FROM st",
     "mesh_vertices": f"""{CHUNKS}, g AS (SELECT *, (8 - i) / 8.0::DOUBLE AS wa, (i - j) / 8.0::DOUBLE AS wb, j / 8.0::DOUBLE AS wc FROM ch, range(9) a(i), range(9) b(j) WHERE j <= i), v AS (SELECT k, i, j, {', '.join(f'a{c} * wa + e{c} * wb + c{c} * wc AS {c}' for c in 'xyz')} FROM g)
   SELECT k, i::INTEGER AS i, j::INTEGER AS j, {', '.join(M(f'{c} / sqrt(x * x + y * y + z * z)') + f' AS {c}' for c in 'xyz')} FROM v""",
+    "mesh_rebuild": rebuild_sql(),
     "mesh_indices": """WITH t AS (SELECT i, j, (i - 1) * i // 2 AS above, i * (i + 1) // 2 AS r FROM range(1, 17) a(i), range(16) b(j) WHERE j < i)
   SELECT i, j, true AS up, above + j AS a, r + j AS b, r + j + 1 AS c FROM t UNION ALL SELECT i, j, false, above + j, r + j + 1, above + j + 1 FROM t WHERE j < i - 1""",
     "quadtree_edges": f"""{QUADTREE}, p AS (SELECT {', '.join(f"concat_ws(',', {M(t + 'x')}, {M(t + 'y')}, {M(t + 'z')}) AS p{t}" for t in CORNERS)} FROM leaves),
