@@ -205,7 +205,7 @@ def paint(placements: DataFrame, vertices: DataFrame, faces: DataFrame, cam: geo
     """Faces ``(placement, rank, f, colour)`` in painter's order: farthest first, ties by face.
 
     Placements are ``(placement, model, x, y, z, size, turn)``. Hidden placements and flat faces are
-    left out. A placement's faces are ranked in its own window.
+    left out. A face is made in the row of its placement, which meets its model in one join; a placement's faces are ranked in its own window.
     """
     here = tuple(F.col(c) for c in "xyz")
     seen = geo.rotate(cam, here)
@@ -213,19 +213,22 @@ def paint(placements: DataFrame, vertices: DataFrame, faces: DataFrame, cam: geo
     place = placements.filter(geo.length(here) >= geo.TINY).select(
         "placement", "model", "size", *(c.alias("p" + n) for n, c in zip("xyz", seen)), *(c.alias(p + n) for p, v in (("r", right), ("u", up), ("f", forward)) for n, c in zip("xyz", v)),
     ).filter(~((F.col("pz") < 0) & (F.col("px") * F.col("px") + F.col("py") * F.col("py") < 1)))
-    v = vertices.select("model", "i", *(F.col(c).alias("v" + c) for c in "xyz"))
-    corner = lambda n: F.col("p" + n) + F.col("size") * F.col("r" + n) * F.col("vx") + F.col("size") * F.col("u" + n) * F.col("vy") + F.col("size") * F.col("f" + n) * F.col("vz")
-    turned = place.join(v, "model").select("placement", "model", "i", F.struct(*(corner(n).alias(n) for n in "xyz")).alias("at"))
-    out = faces.withColumnRenamed("f", "_f").join(place.select("placement", "model"), "model")
-    for n in "abc":
-        out = out.join(turned.select("placement", F.col("i").alias(n), F.col("at").alias("_" + n)), ["placement", n])
+    models = faces.withColumnRenamed("f", "_f")
+    for n in "abc":  # a model's own faces with their corners; placements come to it in one join
+        models = models.join(vertices.select("model", F.col("i").alias(n), F.struct(*"xyz").alias("_v" + n)), ["model", n])
+    corner = lambda n, k: F.col("p" + k) + F.col("size") * F.col("r" + k) * F.col(f"_v{n}.x") + F.col("size") * F.col("u" + k) * F.col(f"_v{n}.y") + F.col("size") * F.col("f" + k) * F.col(f"_v{n}.z")
+    out = place.join(models.withColumnsRenamed({"r": "red", "g": "green", "bl": "blue"}).drop("a", "b", "c"), "model")
+    once = lambda df, **made: df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("_t")).select(*df.columns, "_t.*")  # noqa: E731  # no expression is written out again in those that use it
+    out = once(out.select("*"), **{"_" + n: F.struct(*(corner(n, k).alias(k) for k in "xyz")) for n in "abc"})
     edge = lambda n: tuple(F.col(f"_{n}.{k}") - F.col(f"_a.{k}") for k in "xyz")
-    normal = geo.cross(edge("b"), edge("c"))
-    size = geo.length(normal)
+    out = once(out.select("placement", "_f", "red", "green", "blue", "_a", "_b", "_c"), **dict(zip(("_nx", "_ny", "_nz"), geo.cross(edge("b"), edge("c")))))
+    normal = tuple(F.col(c) for c in ("_nx", "_ny", "_nz"))
+    out = once(out, _size=geo.length(normal))
+    size = F.col("_size")
     lit = sum(normal[k] / size * F.when(normal[2] < 0, -1.0).otherwise(1.0) * LIGHT[k] for k in range(3))
     level = clamp(F.floor((AMBIENT + (1 - AMBIENT) * F.greatest(F.lit(0.0), lit)) * SHADES), F.lit(0), F.lit(SHADES - 1))
     shade = (level + 0.5) / SHADES
-    colour = text.rgb(*(round_up(F.col(c) * shade).cast("int") for c in ("r", "g", "bl")))
+    colour = text.rgb(*(round_up(F.col(c) * shade).cast("int") for c in ("red", "green", "blue")))
     depth = (F.col("_a.z") + F.col("_b.z") + F.col("_c.z")) / 3
     shown = out.filter(size >= 1e-12).select("placement", F.col("_f").alias("f"), depth.alias("depth"), colour.alias("colour"))
     return shown.withColumn("rank", F.row_number().over(Window.partitionBy("placement").orderBy("depth", "f")))

@@ -215,6 +215,25 @@ def _by_depth():
     return Window.partitionBy("placement").orderBy(micro(F.col("depth")))
 
 
+def paint_sql() -> str:
+    """Frames of the placements, corners of their faces in the camera's frame, normals, light, and ranks by depth."""
+    turn = lambda v: (f"({v}x * {C['cos_lon']} - {v}z * {C['sin_lon']})", f"({v}y * {C['cos_lat']} - ({v}x * {C['sin_lon']} + {v}z * {C['cos_lon']}) * {C['sin_lat']})", f"({v}y * {C['sin_lat']} + ({v}x * {C['sin_lon']} + {v}z * {C['cos_lon']}) * {C['cos_lat']})")
+    turned = ", ".join(f"{e} AS {n}{k}" for n, v in (("p", "h"), ("r", "w"), ("u", "n"), ("f", "d")) for k, e in zip("xyz", turn(v)))
+    corners = ", ".join(f"p{k} + 0.03::DOUBLE * r{k} * v{n}.x + 0.03::DOUBLE * u{k} * v{n}.y + 0.03::DOUBLE * f{k} * v{n}.z AS k{n}{k}" for n in "abc" for k in "xyz")
+    e = {n + k: f"(k{n}{k} - ka{k})" for n in "bc" for k in "xyz"}
+    light = " + ".join(f"{'xyz'[k]} / size * CASE WHEN z < 0 THEN -1.0 ELSE 1.0 END::DOUBLE * ({scene.LIGHT[k]})::DOUBLE" for k in range(3))
+    tint = lambda c: f"CAST(floor({c} * shade + 0.5) AS INTEGER)"
+    return f"""WITH {PLACES}, v AS ({HUT} UNION ALL {MAST}), {FACE_ROWS}, h AS (SELECT id AS placement, CASE WHEN id % 2 = 0 THEN 'hut' ELSE 'mast' END AS model, cos(lat * (pi() / 180)) * sin(lon * (pi() / 180)) AS hx, sin(lat * (pi() / 180)) AS hy, cos(lat * (pi() / 180)) * cos(lon * (pi() / 180)) AS hz, (id * 17 % 360)::DOUBLE * (pi() / 180) AS t FROM places),
+  n AS (SELECT *, hx / sqrt(hx * hx + hy * hy + hz * hz) AS nx, hy / sqrt(hx * hx + hy * hy + hz * hz) AS ny, hz / sqrt(hx * hx + hy * hy + hz * hz) AS nz FROM h),
+  ez AS (SELECT *, CASE WHEN sqrt(nx * nx + nz * nz) > 1e-6 THEN nz / sqrt(nx * nx + nz * nz) ELSE 1 END AS ex, CASE WHEN sqrt(nx * nx + nz * nz) > 1e-6 THEN -nx / sqrt(nx * nx + nz * nz) ELSE 0 END AS ez FROM n),
+  d AS (SELECT *, ny * ez * cos(t) + ex * sin(t) AS dx, (nz * ex - nx * ez) * cos(t) AS dy, -ny * ex * cos(t) + ez * sin(t) AS dz FROM ez), w AS (SELECT *, ny * dz - nz * dy AS wx, nz * dx - nx * dz AS wy, nx * dy - ny * dx AS wz FROM d),
+  p AS (SELECT placement, model, {turned} FROM w), seen AS (SELECT * FROM p WHERE NOT (pz < 0 AND px * px + py * py < 1)),
+  c AS (SELECT placement, q.f, q.r, q.g, q.blue, {corners} FROM seen JOIN faces q ON q.model = seen.model JOIN v va ON va.model = q.model AND va.i = q.a JOIN v vb ON vb.model = q.model AND vb.i = q.b JOIN v vc ON vc.model = q.model AND vc.i = q.c),
+  m AS (SELECT *, {e['by']} * {e['cz']} - {e['bz']} * {e['cy']} AS x, {e['bz']} * {e['cx']} - {e['bx']} * {e['cz']} AS y, {e['bx']} * {e['cy']} - {e['by']} * {e['cx']} AS z FROM c), s AS (SELECT *, sqrt(x * x + y * y + z * z) AS size FROM m),
+  l AS (SELECT *, (least({scene.SHADES - 1}, greatest(0, floor(({scene.AMBIENT}::DOUBLE + (1 - {scene.AMBIENT}::DOUBLE) * greatest(0.0::DOUBLE, {light})) * {scene.SHADES}))) + 0.5::DOUBLE) / {scene.SHADES} AS shade, {M('(kaz + kbz + kcz) / 3')} AS depth FROM s WHERE size >= 1e-12)
+SELECT placement, f, depth, 'rgb(' || {tint('r')} || ',' || {tint('g')} || ',' || {tint('blue')} || ')' AS colour, dense_rank() OVER (PARTITION BY placement ORDER BY depth)::INTEGER AS rank FROM l"""
+
+
 def q_layers(spark, sf_dir):
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item"))
     r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("item"))
@@ -389,6 +408,7 @@ SQL = {
     "mesh_vertices": f"""{CHUNKS}, g AS (SELECT *, (8 - i) / 8.0::DOUBLE AS wa, (i - j) / 8.0::DOUBLE AS wb, j / 8.0::DOUBLE AS wc FROM ch, range(9) a(i), range(9) b(j) WHERE j <= i), v AS (SELECT k, i, j, {', '.join(f'a{c} * wa + e{c} * wb + c{c} * wc AS {c}' for c in 'xyz')} FROM g)
   SELECT k, i::INTEGER AS i, j::INTEGER AS j, {', '.join(M(f'{c} / sqrt(x * x + y * y + z * z)') + f' AS {c}' for c in 'xyz')} FROM v""",
     "mesh_rebuild": rebuild_sql(),
+    "model_paint": paint_sql(),
     "mesh_indices": """WITH t AS (SELECT i, j, (i - 1) * i // 2 AS above, i * (i + 1) // 2 AS r FROM range(1, 17) a(i), range(16) b(j) WHERE j < i)
   SELECT i, j, true AS up, above + j AS a, r + j AS b, r + j + 1 AS c FROM t UNION ALL SELECT i, j, false, above + j, r + j + 1, above + j + 1 FROM t WHERE j < i - 1""",
     "quadtree_edges": f"""{QUADTREE}, p AS (SELECT {', '.join(f"concat_ws(',', {M(t + 'x')}, {M(t + 'y')}, {M(t + 'z')}) AS p{t}" for t in CORNERS)} FROM leaves),
