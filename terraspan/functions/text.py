@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from .numbers import round_up
 
 
+def fixed(c: Column, places: int) -> Column:
+    """With so many decimals, by the number's own bits; halves go to the even digit, as in SQL and C (``format_string`` takes halves of the shortest decimal up)."""
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * places if places else "0"))
+
+
 def compass(degrees: Column, positive: str, negative: str) -> Column:
     """Such as 51.5°N: the hemisphere's letter carries the sign."""
-    return F.concat(F.format_string("%.1f", F.abs(degrees)), F.lit("°"), F.when(degrees < 0, negative).otherwise(positive))
+    return F.concat(fixed(F.abs(degrees), 1), F.lit("°"), F.when(degrees < 0, negative).otherwise(positive))
 
 
 def whole_latitude(degrees: Column) -> Column:
     """Such as 52°N; the equator is north."""
-    return F.concat(F.format_string("%.0f", F.abs(degrees)), F.lit("°"), F.when(degrees >= 0, "N").otherwise("S"))
+    return F.concat(fixed(F.abs(degrees), 0), F.lit("°"), F.when(degrees >= 0, "N").otherwise("S"))
 
 
 def count(c: Column) -> Column:
@@ -25,7 +30,7 @@ def count(c: Column) -> Column:
 def spacing(level: Column) -> Column:
     """Ground covered by a sample at the equator."""
     km = F.lit(40_075.0) / (512 * F.pow(F.lit(2.0), level))
-    return F.concat(F.when(km >= 10, round_up(km).cast("string")).otherwise(F.format_string("%.1f", km)), F.lit(" km"))
+    return F.concat(F.when(km >= 10, round_up(km).cast("string")).otherwise(fixed(km, 1)), F.lit(" km"))
 
 
 def tenth(c: Column) -> Column:
@@ -35,7 +40,7 @@ def tenth(c: Column) -> Column:
 def megabytes(c: Column) -> Column:
     """Kibibytes below a mebibyte, else mebibytes with two decimals."""
     mega = F.lit(1024.0 * 1024.0)
-    return F.when(c >= mega, F.concat(F.format_string("%.2f", c / mega), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.0f", c / 1024.0), F.lit(" kB")))
+    return F.when(c >= mega, F.concat(fixed(c / mega, 2), F.lit(" MB"))).otherwise(F.concat(fixed(c / 1024.0, 0), F.lit(" kB")))
 
 
 def rgb(r: Column, g: Column, b: Column) -> Column:
