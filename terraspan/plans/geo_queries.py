@@ -26,7 +26,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     n = c.agg(F.count(F.lit(1)).alias("_n"))
     k = F.col("c_custkey").cast("double")
-    lat = F.asin(2 * (k + 0.5) / F.col("_n") - 1) * 180 / math.pi
+    lat = geo.NEAR.asin(2 * (k + 0.5) / F.col("_n") - 1) * 180 / math.pi
     return c.join(F.broadcast(n)).select(F.col("c_custkey").alias("id"), (F.pmod(k * 137.50776405, F.lit(360.0)) - 180).alias("lon"), lat.alias("lat"))
 
 
@@ -51,10 +51,11 @@ def xyz() -> tuple:
 
 
 def q_places(spark, sf_dir):
-    p = unit(places(spark, sf_dir))
-    lon, lat = geo.to_lonlat(*xyz())
+    p = places(spark, sf_dir)
+    p = p.select("*", *(c.alias(n) for n, c in zip("xyz", geo.to_unit(F.col("lon"), F.col("lat"), geo.NEAR))))
+    lon, lat = geo.to_lonlat(*xyz(), geo.NEAR)
     u, v = geo.lonlat_to_uv(F.col("lon"), F.col("lat"))
-    u2, v2 = geo.unit_to_uv(xyz())
+    u2, v2 = geo.unit_to_uv(xyz(), geo.NEAR)
     return p.select("id", *(micro(F.col(c)).alias(c) for c in "xyz"), micro(lon).alias("lon"), micro(lat).alias("lat"), micro(u).alias("u"), micro(v).alias("v"), micro(u2).alias("u2"), micro(v2).alias("v2"))
 
 
