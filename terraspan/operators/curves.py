@@ -24,39 +24,48 @@ def geodesic(waypoints: DataFrame, step: float = 1.0, closed: bool = False) -> D
     ends are joined directly, and a single waypoint is a point. ``closed`` returns to the first
     corner if there are two at least.
     """
-    lon2, lat2 = _next("line_id", "idx", "lon", "lat", wrap=closed)
+    near = geo.to_unit(F.col("lon"), F.col("lat"), geo.NEAR)
+    at = waypoints.select("line_id", "idx", "lon", *(c.alias("_a" + n) for n, c in zip("xyz", near)))
+    after = _next("line_id", "idx", "lon", "_ax", "_ay", "_az", wrap=closed)
     w = Window.partitionBy("line_id")
     ordered = w.orderBy("idx")
-    legs = waypoints.select("line_id", (F.row_number().over(ordered) - 1).alias("leg"), "lon", "lat", lon2.alias("lon2"), lat2.alias("lat2"), F.count(F.lit(1)).over(w).alias("_n"))
+    names = ["lon2", "_bx", "_by", "_bz"]
+    legs = at.select("line_id", (F.row_number().over(ordered) - 1).alias("leg"), "_ax", "_ay", "_az", *(c.alias(n) for n, c in zip(names, after)), F.count(F.lit(1)).over(w).alias("_n"))
     legs = legs.filter((F.col("lon2").isNotNull() & (F.col("_n") > 1)) | (F.col("_n") == 1))
-    a, b = geo.to_unit(F.col("lon"), F.col("lat")), geo.to_unit(F.col("lon2"), F.col("lat2"))
-    omega = geo.angle(a, b)
-    legs = legs.withColumn("_omega", omega).withColumn("_sine", F.sin("_omega"))
+    a, b = (tuple(F.col(side + c) for c in "xyz") for side in ("_a", "_b"))
+    legs = legs.withColumn("_omega", geo.angle(a, b, geo.NEAR)).withColumn("_sine", geo.NEAR.sin(F.col("_omega")))
     direct = F.col("_sine") < geo.TINY
     steps = F.when(F.col("_n") == 1, 0).when(direct, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("_omega") / (math.pi / 180) / step))).cast("int")
     first = F.when(F.col("leg") == 0, 0).otherwise(1)
     points = legs.withColumn("_steps", steps).withColumn("i", F.explode(F.sequence(first, F.col("_steps"))))
     t = F.col("i") / F.col("_steps")
-    wa = F.when(direct, 1 - F.col("i")).otherwise(F.sin((1 - t) * F.col("_omega")) / F.col("_sine"))
-    wb = F.when(direct, F.col("i")).otherwise(F.sin(t * F.col("_omega")) / F.col("_sine"))
     lone = F.col("_n") == 1
-    v = [F.when(lone, p).otherwise(p * wa + q * wb) for p, q in zip(a, b)]
-    lon, lat = geo.to_lonlat(*v)
-    return points.select("line_id", "leg", "i", lon.alias("lon"), lat.alias("lat"))
+
+    def point(trig: geo.Trig) -> geo.Vec:
+        wa = F.when(direct, 1 - F.col("i")).otherwise(trig.sin((1 - t) * F.col("_omega")) / F.col("_sine"))
+        wb = F.when(direct, F.col("i")).otherwise(trig.sin(t * F.col("_omega")) / F.col("_sine"))
+        return tuple(F.when(lone, p).otherwise(p * wa + q * wb) for p, q in zip(a, b))
+
+    return geo.settled(points, ["line_id", "leg", "i"], point)
 
 
 def small_circles(centres: DataFrame, segments: int = 180) -> DataFrame:
     """``(line_id, i, lon, lat)``: ``segments`` + 1 points around centres ``(line_id, lon, lat, radius)`` in degrees."""
-    c = geo.to_unit(F.col("lon"), F.col("lat"))
-    steep = F.abs(c[1]) < 0.9
+    vector = lambda name: tuple(F.col(f"_{name}.{k}") for k in "xyz")
+    struct = lambda v: F.struct(*(x.alias(k) for k, x in zip("xyz", v)))
+    r = geo.rad(F.col("radius"))
+    each = centres.select("line_id", struct(geo.to_unit(F.col("lon"), F.col("lat"), geo.NEAR)).alias("_c"), geo.NEAR.sin(r).alias("_sin"), geo.NEAR.cos(r).alias("_cos"))
+    steep = F.abs(F.col("_c.y")) < 0.9
     away = (F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0), F.lit(0.0))
-    u = geo.normalised(geo.cross(c, away))
-    v = geo.cross(c, u)
-    each = centres.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(segments))))
-    a, r = F.col("i") / segments * (2 * math.pi), geo.rad(F.col("radius"))
-    ca, sa = F.cos(a) * F.sin(r), F.sin(a) * F.sin(r)
-    lon, lat = geo.to_lonlat(*(p * F.cos(r) + q * ca + s * sa for p, q, s in zip(c, u, v)))
-    return each.select("line_id", "i", lon.alias("lon"), lat.alias("lat"))
+    each = each.withColumn("_u", struct(geo.normalised(geo.cross(vector("c"), away))))
+    each = each.withColumn("_v", struct(geo.cross(vector("c"), vector("u")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(segments))))
+    a = F.col("i") / segments * (2 * math.pi)
+
+    def point(trig: geo.Trig) -> geo.Vec:
+        ca, sa = trig.cos(a) * F.col("_sin"), trig.sin(a) * F.col("_sin")
+        return tuple(p * F.col("_cos") + q * ca + s * sa for p, q, s in zip(vector("c"), vector("u"), vector("v")))
+
+    return geo.settled(each, ["line_id", "i"], point)
 
 
 def graticule(spark: SparkSession, step: int = 30) -> DataFrame:
