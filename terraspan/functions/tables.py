@@ -7,16 +7,18 @@
     triangle_grid(ax, ay, az, ..., cz, n)        -> (i, j, x, y, z)   the (n + 1)(n + 2) / 2 directions of a triangle's grid
 
 as in ``SELECT line, inline(points) FROM (SELECT line, great_circle(lon1, lat1, lon2, lat2, 1.0) AS points FROM lines)``. They are expressions of SQL,
-which Spark writes into the query that calls them: no Python, no join, no shuffle. (SQL's own table functions, called with LATERAL, are joined
+which Spark writes into the query that calls them: no Python, no join, no shuffle. Angle functions are the near ones of ``geo`` a call, and by points where ``geo.settled`` takes them. (SQL's own table functions, called with LATERAL, are joined
 back to the rows that they are called with, and a generator can't call a function of SQL itself.) Their rules are those of ``curves.geodesic`` (a leg), ``curves.small_circles`` and
 ``mesh.vertices``; nulls give no rows. What is common to a call's rows is computed once, in a one-element array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
-from .geo import TINY
+from .geo import HALF_BAND, NEAR_CLASS, POLE, TINY
 
 
 def _let(values: dict[str, str], name: str, body: str) -> str:
@@ -24,35 +26,62 @@ def _let(values: dict[str, str], name: str, body: str) -> str:
     return f"transform(array(named_struct({', '.join(f"'{k}', {v}" for k, v in values.items())})), {name} -> {body})[0]"
 
 
+def _near(name: str, *args: str) -> str:
+    """``geo.NEAR``'s function in SQL."""
+    return f"CAST(java_method('{NEAR_CLASS}', '{name}', {', '.join(args)}) AS DOUBLE)"
+
+
+def _plain(name: str, *args: str) -> str:
+    return f"{name}({', '.join(args)})"
+
+
 def _unit(lon: str, lat: str, name: str) -> dict[str, str]:
     lon, lat = f"({lon} * (pi() / 180))", f"({lat} * (pi() / 180))"
-    return {f"{name}x": f"cos({lat}) * sin({lon})", f"{name}y": f"sin({lat})", f"{name}z": f"cos({lat}) * cos({lon})"}
+    return {f"{name}x": f"{_near('cos', lat)} * {_near('sin', lon)}", f"{name}y": _near("sin", lat), f"{name}z": f"{_near('cos', lat)} * {_near('cos', lon)}"}
 
 
 def _dot(a: str, b: str) -> str:
     return " + ".join(f"{a}{c} * {b}{c}" for c in "xyz")
 
 
-_LONLAT = "named_struct('i', i, 'lon', atan2(v.x, v.z) * 180 / pi(), 'lat', asin(least(1.0D, greatest(-1.0D, v.y))) * 180 / pi())"
+def _settled(rule: Callable[[Callable[..., str]], str]) -> str:
+    """The struct of ``i, lon, lat`` that ``rule`` gives: by plain functions, and by near ones where ``geo.settled`` takes them."""
+    half = lambda c: f"abs(pmod(d.p.{c} * 1e6D, 1.0D) - 0.5D) < {HALF_BAND}D"
+    return _let({"p": rule(_plain)}, "d", f"CASE WHEN abs(d.p.lat) > {POLE}D OR {half('lon')} OR {half('lat')} THEN {rule(_near)} ELSE d.p END")
+
+
+def _lonlat(trig: Callable[..., str]) -> str:
+    return f"named_struct('i', i, 'lon', {trig('atan2', 'v.x', 'v.z')} * 180 / pi(), 'lat', {trig('asin', 'least(1.0D, greatest(-1.0D, v.y))')} * 180 / pi())"
 
 
 def _great_circle() -> str:
-    point = _let({c: f"s.a{c} * w.a + s.b{c} * w.b" for c in "xyz"}, "v", _LONLAT)
-    shares = {"a": f"CASE WHEN s.sine < {TINY}D THEN 1 - i ELSE sin((1 - i / s.steps) * s.omega) / s.sine END", "b": f"CASE WHEN s.sine < {TINY}D THEN i ELSE sin(i / s.steps * s.omega) / s.sine END"}
-    steps = f"CASE WHEN sin(o.omega) < {TINY}D THEN 1 ELSE CAST(greatest(1, ceil(o.omega / (pi() / 180) / step)) AS INT) END"
-    ends = {f"{n}{c}": f"o.{n}{c}" for n in "ab" for c in "xyz"}
-    rows = _let(ends | {"omega": "o.omega", "sine": "sin(o.omega)", "steps": steps}, "s", f"transform(sequence(0, s.steps), i -> {_let(shares, 'w', point)})")
-    angle = _let({f"{n}{c}": f"u.{n}{c}" for n in "ab" for c in "xyz"} | {"omega": f"acos(least(1.0D, greatest(-1.0D, {_dot('u.a', 'u.b')})))"}, "o", rows)
+    def point(trig: Callable[..., str]) -> str:
+        shares = {
+            "a": f"CASE WHEN s.sine < {TINY}D THEN 1 - i ELSE {trig('sin', '(1 - i / s.steps) * s.omega')} / s.sine END",
+            "b": f"CASE WHEN s.sine < {TINY}D THEN i ELSE {trig('sin', 'i / s.steps * s.omega')} / s.sine END",
+        }
+        return _let(shares, "w", _let({c: f"s.a{c} * w.a + s.b{c} * w.b" for c in "xyz"}, "v", _lonlat(trig)))
+
+    steps = f"CASE WHEN o.sine < {TINY}D THEN 1 ELSE CAST(greatest(1, ceil(o.omega / (pi() / 180) / step)) AS INT) END"
+    names = [f"{n}{c}" for n in "ab" for c in "xyz"]
+    rows = _let({n: f"o.{n}" for n in [*names, "omega", "sine"]} | {"steps": steps}, "s", f"transform(sequence(0, s.steps), i -> {_settled(point)})")
+    sine = _let({n: f"m.{n}" for n in [*names, "omega"]} | {"sine": _near("sin", "m.omega")}, "o", rows)
+    angle = _let({n: f"u.{n}" for n in names} | {"omega": _near("acos", f"least(1.0D, greatest(-1.0D, {_dot('u.a', 'u.b')}))")}, "m", sine)
     whole = _let(_unit("lon1", "lat1", "a") | _unit("lon2", "lat2", "b"), "u", angle)
     return f"CASE WHEN lon1 + lat1 + lon2 + lat2 + step IS NOT NULL THEN {whole} END"
 
 
 def _small_circle() -> str:
     cross = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
-    on = {c: f"s.c{c} * cos(s.r) + s.u{c} * w.c + (s.c{p} * s.u{q} - s.c{q} * s.u{p}) * w.s" for c, (p, q) in cross.items()}
-    rim = {"c": "cos(i / segments * (2 * pi())) * sin(s.r)", "s": "sin(i / segments * (2 * pi())) * sin(s.r)"}
+    on = {c: f"s.c{c} * s.cosine + s.u{c} * w.c + (s.c{p} * s.u{q} - s.c{q} * s.u{p}) * w.s" for c, (p, q) in cross.items()}
+
+    def point(trig: Callable[..., str]) -> str:
+        rim = {"c": f"{trig('cos', 'i / segments * (2 * pi())')} * s.sine", "s": f"{trig('sin', 'i / segments * (2 * pi())')} * s.sine"}
+        return _let(rim, "w", _let(on, "v", _lonlat(trig)))
+
     size = "sqrt(a.ux * a.ux + a.uy * a.uy + a.uz * a.uz)"
-    rows = _let({f"c{c}": f"a.c{c}" for c in "xyz"} | {f"u{c}": f"a.u{c} / {size}" for c in "xyz"} | {"r": "radius * (pi() / 180)"}, "s", f"transform(sequence(0, segments), i -> {_let(rim, 'w', _let(on, 'v', _LONLAT))})")
+    angles = {"sine": _near("sin", "(radius * (pi() / 180))"), "cosine": _near("cos", "(radius * (pi() / 180))")}
+    rows = _let({f"c{c}": f"a.c{c}" for c in "xyz"} | {f"u{c}": f"a.u{c} / {size}" for c in "xyz"} | angles, "s", f"transform(sequence(0, segments), i -> {_settled(point)})")
     steep = "abs(c.cy) < 0.9D"
     away = {"ux": f"CASE WHEN {steep} THEN -c.cz ELSE 0.0D END", "uy": f"CASE WHEN {steep} THEN 0.0D ELSE c.cz END", "uz": f"CASE WHEN {steep} THEN c.cx ELSE -c.cy END"}
     whole = _let(_unit("lon", "lat", "c"), "c", _let({f"c{c}": f"c.c{c}" for c in "xyz"} | away, "a", rows))

@@ -17,7 +17,7 @@ def few(spark):
     return spark.createDataFrame(rows, "id long, lon double, lat double")
 
 
-@pytest.mark.parametrize("name", ["geo_places", "geo_small_circles", "geo_geodesic", "geo_geodesic_ring"])
+@pytest.mark.parametrize("name", ["geo_places", "geo_small_circles", "sql_small_circles", "geo_geodesic", "geo_geodesic_ring", "sql_geodesic"])
 def test_halves_fall_as_in_sql(spark, monkeypatch, name):
     monkeypatch.setattr(geo_queries, "places", lambda *_: few(spark))
     got = registry.QUERIES[name](spark, "")
