@@ -52,15 +52,15 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back.
+def materialize(df: DataFrame, compression: str | None = None, **options: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet, with the writer's ``options``, and read back.
 
     This cuts the lineage: a lost executor costs a re-read of files instead of a
     recomputation, and a plan that is read twice is computed once.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -8,9 +8,10 @@ sample. ``resample`` brings PCM from one rate to another by linear interpolation
 numbers only, and ``to_pcm`` stores the result as 16-bit PCM WAV.
 
 ``store`` adds the WAV file (and, if asked, the resampled PCM file) to any table, to be
-written as media columns; ``described`` computes the features from such columns as they are read back.
-Everything is row-local, so there is no shuffle and a lost task is simply redone. For the features, decoded and resampled
-samples exist for SLICE bytes at a time, however long a text is (its file is held whole, and so is what ``to_pcm`` makes of it).
+written as media columns; ``described`` computes the features from such columns as they are read back, those of
+the resampled PCM from its stored file where there is one. The query stores both.
+Everything is row-local, so there is no shuffle and a lost task is simply redone. Decoded and resampled
+samples exist for SLICE bytes at a time, however long a text is; its files, of 1 and 4 times its bytes, are held whole.
 
 Defined cases: a null text is the empty text, whose payload is one padded unit of 576 bytes;
 equal texts give equal values; long texts are stored whole; an empty table gives no rows;
@@ -36,6 +37,8 @@ UNIT = 576
 RATE, TARGET_RATE = 8_000, 16_000
 #: Bytes of payload that are decoded at once, and rows of media that are held at once.
 SLICE, ROWS = 1024 * UNIT, 256
+#: How media columns are written: pages of 8 MB at level 12, as the samples of a text are four times as long as it is and repeat only as far apart.
+WRITING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}
 #: WAV format tags: fixed values.
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 #: IMA ADPCM index changes by code: fixed values.
@@ -124,15 +127,20 @@ def resample(pcm: np.ndarray, rate: int = RATE, target: int = TARGET_RATE) -> np
     return np.concatenate([np.empty(0, dtype=np.int16), *resampled(pcm, rate, target)]).astype(np.int16)
 
 
-def wav(data: bytes, tag: int = MULAW, rate: int = RATE, bits: int = 8, block: int | None = None) -> bytes:
-    """A mono WAV file; formats other than PCM carry a fact chunk."""
+def wav_head(n: int, tag: int = MULAW, rate: int = RATE, bits: int = 8, block: int | None = None) -> bytes:
+    """What comes before ``n`` bytes of data in a mono WAV file; formats other than PCM carry a fact chunk."""
     align = block or bits // 8
     per_block = 2 * align - 7 if tag == IMA_ADPCM else 1
     extra = b"" if tag == PCM else struct.pack("<H", 0) if tag != IMA_ADPCM else struct.pack("<HH", 2, per_block)
     fmt = struct.pack("<HHIIHH", tag, 1, rate, rate * align // per_block, align, bits) + extra
-    fact = b"" if tag == PCM else b"fact" + struct.pack("<II", 4, len(data) // align * per_block)
-    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    fact = b"" if tag == PCM else b"fact" + struct.pack("<II", 4, n // align * per_block)
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + fact + b"data" + struct.pack("<I", n)
+    return b"RIFF" + struct.pack("<I", len(body) + n + n % 2) + body
+
+
+def wav(data: bytes, tag: int = MULAW, rate: int = RATE, bits: int = 8, block: int | None = None) -> bytes:
+    """A mono WAV file."""
+    return wav_head(len(data), tag, rate, bits, block) + data + b"\0" * (len(data) % 2)
 
 
 def read_wav(stored: bytes) -> tuple[int, int, bytes]:
@@ -171,9 +179,12 @@ def _root(squares: int, n: int) -> int:
 def to_pcm(stored: bytes, target: int = TARGET_RATE) -> bytes:
     """A stored mu-law, A-law or ADPCM WAV as a 16-bit PCM WAV at the target rate."""
     tag, rate, data = read_wav(stored)
-    codes = np.frombuffer(data, np.uint8)
-    pcm = {MULAW: lambda: MULAW_TABLE[codes], ALAW: lambda: ALAW_TABLE[codes], IMA_ADPCM: lambda: decode_adpcm(codes).ravel()}[tag]()
-    return wav(resample(pcm, rate, target).astype("<i2").tobytes(), PCM, target, 16)
+    codes, table = np.frombuffer(data, np.uint8), {MULAW: MULAW_TABLE, ALAW: ALAW_TABLE, IMA_ADPCM: None}[tag]
+    values = decode_adpcm(codes).ravel() if table is None else codes
+    out = bytearray(wav_head(2 * (len(values) * target // rate), PCM, target, 16))
+    for part in resampled(values, rate, target, table):
+        out += part.tobytes()
+    return bytes(out)
 
 
 def _adpcm_levels(payloads: list[bytes]) -> list[int]:
@@ -196,27 +207,38 @@ def _adpcm_levels(payloads: list[bytes]) -> list[int]:
     return out
 
 
-def features_of(files: list[bytes]) -> list[dict]:
-    """The features of stored mu-law files, from the bytes in their data chunks."""
+def features_of(files: list[bytes], pcms: list[bytes] | None = None) -> list[dict]:
+    """The features of stored mu-law files, from the bytes in their data chunks; those of the resampled samples from the PCM files, if given."""
     payloads = [read_wav(f)[2] for f in files]
-    return [_features(*x) for x in zip(files, payloads, _adpcm_levels(payloads))]
+    return [_features(*x) for x in zip(files, payloads, _adpcm_levels(payloads), pcms or [None] * len(files))]
+
+
+def _wide(codes: np.ndarray, pcm: bytes | None) -> tuple[int, int]:
+    """Number and CRC of the resampled samples."""
+    if pcm is not None:
+        tag, rate, data = read_wav(pcm)
+        if (tag, rate) != (PCM, TARGET_RATE):
+            raise ValueError("not resampled PCM")
+        return len(data) // 2, zlib.crc32(data)
+    wide, crc = 0, 0
+    for part in resampled(codes, decode=MULAW_TABLE):
+        wide, crc = wide + len(part), zlib.crc32(part, crc)
+    return wide, crc
 
 
-def _features(stored: bytes, back: bytes, adpcm: int) -> dict:
+def _features(stored: bytes, back: bytes, adpcm: int, pcm: bytes | None) -> dict:
     codes = np.frombuffer(back, np.uint8)
     mulaw = alaw = crossings = 0
     before = None
     for first in range(0, len(codes), SLICE):
         part = codes[first : first + SLICE]
-        pcm = MULAW_TABLE[part]
-        mulaw += int(_squares(pcm))
+        samples = MULAW_TABLE[part]
+        mulaw += int(_squares(samples))
         alaw += int(_squares(ALAW_TABLE[part]))
-        down = np.signbit(pcm)
+        down = np.signbit(samples)
         crossings += int(np.count_nonzero(down[1:] != down[:-1])) + (before is not None and bool(before != down[0]))
         before = down[-1]
-    n, wide, crc = len(codes), 0, 0
-    for part in resampled(codes, decode=MULAW_TABLE):
-        wide, crc = wide + len(part), zlib.crc32(part, crc)
+    n, (wide, crc) = len(codes), _wide(codes, pcm)
     return {
         "payload_bytes": n, "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]),
         "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(),
@@ -229,8 +251,8 @@ STORED = {"n_bytes": pa.int64(), "media": pa.binary()}
 NAMES = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
-def _rows(df: DataFrame, source: str, keep: list[str], added: dict, make) -> DataFrame:
-    """``keep`` and what ``make`` returns for values of the column ``source``, at most ROWS of them at a time."""
+def _rows(df: DataFrame, sources: list[str], keep: list[str], added: dict, make) -> DataFrame:
+    """``keep`` and what ``make`` returns for values of the columns ``sources``, at most ROWS of them at a time."""
     schema = df.select(*keep).schema
     for n, t in added.items():
         schema = schema.add(n, NAMES[t])
@@ -239,7 +261,7 @@ def _rows(df: DataFrame, source: str, keep: list[str], added: dict, make) -> Dat
         for b in batches:
             for first in range(0, b.num_rows, ROWS):
                 part = b.slice(first, ROWS)
-                made = make(part.column(source).to_pylist())
+                made = make(*(part.column(c).to_pylist() for c in sources))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([m[n] for m in made], t) for n, t in added.items())], names=[*keep, *added])
 
     return df.mapInArrow(run, schema)
@@ -255,16 +277,17 @@ def store(docs: DataFrame, keep: list[str], pcm: bool = False) -> DataFrame:
         media = wav(payload)
         return {"n_bytes": n, "media": media} | ({"pcm": to_pcm(media)} if pcm else {})
 
-    return _rows(docs.select(*keep, text_or_empty().alias(source)), source, keep, added, lambda texts: [make(t) for t in texts])
+    return _rows(docs.select(*keep, text_or_empty().alias(source)), [source], keep, added, lambda texts: [make(t) for t in texts])
 
 
-def described(stored: DataFrame) -> DataFrame:
-    """The columns of ``stored`` without ``media``, and the features of the files in it."""
-    keep = [c for c in stored.columns if c.lower() not in FEATURES and c != "media"]
-    return _rows(stored.select(*keep, "media"), "media", keep, FEATURES, features_of)
+def described(stored: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``stored`` (all, without ``media``, if not given) and the features of the files in its columns ``media`` and, if it has one, ``pcm``."""
+    keep = [c for c in keep or stored.columns if c.lower() not in FEATURES and c != "media"]
+    sources = ["media"] + ["pcm"] * ("pcm" in stored.columns and stored.schema["pcm"].dataType.simpleString() == "binary")
+    return _rows(stored.select(*dict.fromkeys([*keep, *sources])), sources, keep, FEATURES, features_of)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of every document's audio, written to the shared folder as a media column and read back."""
-    stored = materialize(store(table(spark, sf_dir, "documents"), ["doc_id"]), compression="zstd")
-    return described(stored).select("doc_id", "n_bytes", *FEATURES)
+    """The digest of every document's audio: its mu-law and resampled PCM files, written to the shared folder as media columns and read back."""
+    stored = materialize(store(table(spark, sf_dir, "documents"), ["doc_id"], pcm=True), **WRITING)
+    return described(stored, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", *FEATURES)

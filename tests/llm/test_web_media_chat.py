@@ -260,6 +260,26 @@ def test_media_columns(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
+def test_the_query_stores_resampled_pcm(spark, monkeypatch):
+    """Both files of every document are in the shared folder, and the features are those of what is read back."""
+    from fixtures import AWKWARD, documents
+
+    kept = []
+    monkeypatch.setattr(op4_telephony, "table", lambda *_: documents(spark, AWKWARD))
+    write = op4_telephony.materialize
+    monkeypatch.setattr(op4_telephony, "materialize", lambda df, **options: kept.append(write(df, **options)) or kept[-1])
+    got = {(r.doc_id, r.payload_sha256): r.feature for r in op4_telephony.query(spark, "").collect()}
+    files = {(r.doc_id, hashlib.sha256(op4_telephony.read_wav(bytes(r.media))[2]).hexdigest()): bytes(r.pcm) for r in kept[0].collect()}
+    want = {}
+    for i, t in AWKWARD:
+        payload = op4_telephony.payload_of(t)[1]
+        want[i, hashlib.sha256(payload).hexdigest()] = op4_telephony.to_pcm(op4_telephony.wav(payload))
+    assert files == want and set(got) == set(want)
+    assert all(f";pcm16k_samples={len(want[k]) // 2 - 22};pcm16k_crc={zlib.crc32(want[k][44:])}" in f for k, f in got.items())
+    other = kept[0].withColumn("pcm", F.lit(op4_telephony.wav(b"ab", op4_telephony.PCM, 16_000, 16)))
+    assert all(f"pcm16k_samples=1;pcm16k_crc={zlib.crc32(b'ab')}" in r.feature for r in op4_telephony.described(other).collect())
+
+
 def test_call_levels(spark):
     r = random.Random(4)
     for loops in (False, True):
