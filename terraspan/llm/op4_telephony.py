@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,16 +252,17 @@ STORED = {"n_bytes": pa.int64(), "media": pa.binary()}
 NAMES = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
-def _rows(df: DataFrame, sources: list[str], keep: list[str], added: dict, make) -> DataFrame:
-    """``keep`` and what ``make`` returns for values of the columns ``sources``, at most ROWS of them at a time."""
+def _rows(df: DataFrame, sources: list[str], keep: list[str], added: dict, make, ordered: bool = False) -> DataFrame:
+    """``keep`` and what ``make`` returns for values of the columns ``sources``, at most ROWS of them at a time; if ``ordered``, a batch goes by its first source."""
     schema = df.select(*keep).schema
     for n, t in added.items():
         schema = schema.add(n, NAMES[t])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            order = pc.sort_indices(b.column(sources[0])) if ordered else None
             for first in range(0, b.num_rows, ROWS):
-                part = b.slice(first, ROWS)
+                part = b.take(order.slice(first, ROWS)) if ordered else b.slice(first, ROWS)
                 made = make(*(part.column(c).to_pylist() for c in sources))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([m[n] for m in made], t) for n, t in added.items())], names=[*keep, *added])
 
@@ -268,7 +270,10 @@ def _rows(df: DataFrame, sources: list[str], keep: list[str], added: dict, make)
 
 
 def store(docs: DataFrame, keep: list[str], pcm: bool = False) -> DataFrame:
-    """The columns ``keep`` with the text's ``n_bytes``, its mu-law WAV file ``media`` and, if asked, the resampled 16-bit file ``pcm``."""
+    """The columns ``keep`` with the text's ``n_bytes``, its mu-law WAV file ``media`` and, if asked, the resampled 16-bit file ``pcm``.
+
+    The rows of an Arrow batch come in the order of their texts, so that copies and texts that begin alike are written side by side and pack better.
+    """
     added = STORED | ({"pcm": pa.binary()} if pcm else {})
     source, keep = fresh(docs, "_media_text"), [c for c in keep if c.lower() not in added]
 
@@ -277,7 +282,7 @@ def store(docs: DataFrame, keep: list[str], pcm: bool = False) -> DataFrame:
         media = wav(payload)
         return {"n_bytes": n, "media": media} | ({"pcm": to_pcm(media)} if pcm else {})
 
-    return _rows(docs.select(*keep, text_or_empty().alias(source)), [source], keep, added, lambda texts: [make(t) for t in texts])
+    return _rows(docs.select(*keep, text_or_empty().alias(source)), [source], keep, added, lambda texts: [make(t) for t in texts], ordered=True)
 
 
 def described(stored: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -280,6 +280,24 @@ def test_the_query_stores_resampled_pcm(spark, monkeypatch):
     assert all(f"pcm16k_samples=1;pcm16k_crc={zlib.crc32(b'ab')}" in r.feature for r in op4_telephony.described(other).collect())
 
 
+def test_the_query_stores_copies_together(spark, monkeypatch):
+    """Two copies of each text, farther apart than the compressor looks back, take about the space of one; no row is lost."""
+    from fixtures import documents
+
+    r = random.Random(5)
+    texts = ["".join(r.choices([chr(c) for c in range(33, 127)], k=150_000)) for _ in range(8)]
+    docs, kept = documents(spark, list(enumerate(texts * 2))).coalesce(1), []
+    write = op4_telephony.materialize
+    monkeypatch.setattr(op4_telephony, "table", lambda *_: docs)
+    monkeypatch.setattr(op4_telephony, "materialize", lambda df, **options: kept.append(write(df, **options)) or kept[-1])
+    got = {x.doc_id: x.payload_sha256 for x in op4_telephony.query(spark, "").collect()}
+    assert got == {i: hashlib.sha256(op4_telephony.payload_of(t)[1]).hexdigest() for i, t in enumerate(texts * 2)}
+    as_given = write(kept[0].orderBy("doc_id").coalesce(1), **op4_telephony.WRITING)
+    assert as_given.count() == len(texts) * 2
+    sizes = [sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles()) for df in (kept[0], as_given)]
+    assert sizes[0] < 0.75 * sizes[1]
+
+
 def test_call_levels(spark):
     r = random.Random(4)
     for loops in (False, True):
